@@ -83,14 +83,23 @@ def row_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterato
             i = j
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, byte after the last, and row of each word."""
+def _bytes_but(outside) -> np.ndarray:
+    table = np.ones(256, bool)
+    table[list(outside)] = False
+    return table
+
+
+#: Bytes of words, and of runs of ASCII letters and bytes of longer characters.
+WORD = _bytes_but((32, 9, 10, 11, 12, 13))
+LETTERS = _bytes_but(x for x in range(128) if not chr(x).isalpha())
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, of: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte after the last, and row of each longest run of the given bytes in a row."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = np.ones(256, bool)
-    inside[[32, 9, 10, 11, 12, 13]] = False
-    inside = inside[data]
+    inside = of[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(inside)
