@@ -21,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,6 +33,10 @@ from tessera.llm import sampling, shared, tokens
 
 #: Labelled documents to learn from at most, and mined tokens kept at most: these bound what the driver gathers.
 SAMPLE, TOKENS = 30_000, 4096
+#: Least share of toxic documents among those with a mined token.
+PURITY = 0.6
+#: Copies are found in the sample by so many minima of hashes.
+SKETCHES = 4
 NOUNS = ("idiot", "moron", "loser", "clown", "scum", "trash", "imbecile", "fool", "scumbag", "bastard", "garbage")
 ADJECTIVES = ("stupid", "pathetic", "worthless", "disgusting", "dumb", "moronic", "idiotic", "despicable", "vile", "filthy")
 STEMS = (4, 5)
@@ -70,6 +75,37 @@ def _half(doc_id: np.ndarray) -> np.ndarray:
     return (tokens.mix(doc_id.astype(np.uint64)) & np.uint64(1)).astype(np.int64)
 
 
+#: Documents with a token: clean and toxic ones of either half, then of both without copies.
+COUNTS = ("c0", "t0", "c1", "t1", "c", "t")
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``SKETCHES`` minima of differently mixed hashes of a text's word triples (of its words, if fewer)."""
+    for batch in tokens.row_slices(batches):
+        data, offsets = tokens.buffers(batch.column("text"))
+        start, end, row = tokens.word_spans(data, offsets)
+        words = tokens.word_hashes(data, start, end, lower=True)
+        at = tokens.ngram_rows(row, 3)
+        hashes, rows = np.append(tokens.ngram_hashes(words, 3)[at], words), np.append(row[at], row)
+        single = np.bincount(row, minlength=batch.num_rows)[rows] < 3
+        use = np.append(np.ones(len(at), bool), np.zeros(len(words), bool)) | single
+        least = np.full((SKETCHES, batch.num_rows), np.iinfo(np.uint64).max)
+        for k in range(SKETCHES):
+            np.minimum.at(least[k], rows[use], tokens.mix(hashes[use] + np.uint64(k)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.view(np.int64)) for x in least)], names=[*batch.schema.names, *(f"m{k}" for k in range(SKETCHES))])
+
+
+def mark_copies(rows: DataFrame) -> DataFrame:
+    """Adds ``own``: 1 for one row of each group of rows that agree in any sketch, else 0; copies are no independent witnesses."""
+    names = [f"m{k}" for k in range(SKETCHES)]
+    rows = shared.cut(rows.mapInArrow(_sketch, "doc_id long, text string, label int, " + ", ".join(f"{x} long" for x in names)))
+    first = rows.select("doc_id", *names)
+    for x in names:
+        first = first.join(rows.groupBy(x).agg(F.min("doc_id").alias("doc_id")), ["doc_id", x], "left_semi")
+    first = first.select("doc_id", F.lit(1).alias("own")).distinct()
+    return shared.cut(rows.select("doc_id", "text", "label").join(first, "doc_id", "left").fillna(0, ["own"]))
+
+
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with a token, by half of the sample and label; added up within a slice."""
     for batch in tokens.row_slices(batches):
@@ -82,12 +118,10 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         keys, rows, kinds = keys[new], rows[new], kinds[new]
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         table = np.bincount(inverse * 4 + group[rows], minlength=4 * len(unique)).reshape(-1, 4)
-        columns = [pa.array(unique.view(np.int64)), pa.array(kinds[first].astype(np.int32)), *(pa.array(table[:, g]) for g in range(4))]
-        yield pa.RecordBatch.from_arrays(columns, names=["token", "kind", "c0", "t0", "c1", "t1"])
-
-
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
-    return np.log((toxic + 0.5) / (n_toxic - toxic + 0.5)) - np.log((clean + 0.5) / (n_clean - clean + 0.5))
+        single = batch.column("own").to_numpy()[rows] == 1
+        alone = np.bincount(inverse[single] * 2 + group[rows[single]] % 2, minlength=2 * len(unique)).reshape(-1, 2)
+        columns = [pa.array(unique.view(np.int64)), pa.array(kinds[first].astype(np.int32)), *(pa.array(x) for x in (*table.T, *alone.T))]
+        yield pa.RecordBatch.from_arrays(columns, names=["token", "kind", *COUNTS])
 
 
 def votes(found: list[np.ndarray], half: np.ndarray, label: np.ndarray, flags: np.ndarray, lexicons: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
@@ -142,7 +176,7 @@ def label_model(table: np.ndarray, rounds: int = 40, joined: float = 0.03) -> tu
     return posterior[inverse], {"accuracy": accuracy, "cliques": cliques}
 
 
-def logistic_regression(found: list[np.ndarray], target: np.ndarray, size: int, penalty: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
+def logistic_regression(found: list[np.ndarray], target: np.ndarray, size: int, penalty: float = 1e-5, rounds: int = 1500) -> tuple[np.ndarray, float]:
     """Weights and bias over binary tokens, by Adam on the whole sample."""
     row, token = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
     weights, bias = np.zeros(size), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
@@ -161,23 +195,26 @@ def logistic_regression(found: list[np.ndarray], target: np.ndarray, size: int,
 def fit(documents: DataFrame, labels: DataFrame, of: int = 5, remainder: int = 0, sample: int = SAMPLE) -> dict:
     """Learns from about ``sample`` labelled documents whose id is not held out."""
     chosen = F.broadcast(sampling.labelled(labels, "toxic", of, remainder, sample))
-    rows = shared.cut(shared.texts(documents).join(chosen, "doc_id").select("doc_id", "text", "label"))
-    counted = rows.mapInArrow(_token_counts, "token long, kind int, c0 long, t0 long, c1 long, t1 long")
-    counted = counted.groupBy("token", "kind").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
-    totals = {(r["label"]): r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
+    rows = mark_copies(shared.texts(documents).join(chosen, "doc_id").select("doc_id", "text", "label"))
+    counted = rows.mapInArrow(_token_counts, "token long, kind int, " + ", ".join(f"{x} long" for x in COUNTS))
+    counted = shared.cut(counted.groupBy("token", "kind").agg(*(F.sum(x).alias(x) for x in COUNTS)))
+    totals = {(r["own"], r["label"]): r["n"] for r in rows.groupBy("own", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_clean, n_toxic = (totals.get((0, k), 0) + totals.get((1, k), 0) for k in (0, 1))
     if not n_clean or not n_toxic:
         return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": 0.0, "constant": float(n_toxic > 0)}
-    toxic, clean = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
-    odds = F.log((toxic + 0.5) / (F.lit(n_toxic) - toxic + 0.5)) - F.log((clean + 0.5) / (F.lit(n_clean) - clean + 0.5))
-    spread = F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    mined = counted.where((toxic >= 3) & (odds >= 2.5)).orderBy((odds / spread).desc(), "token").limit(TOKENS).toArrow()
+    share = max(1e-6, totals.get((1, 1), 0) / max(1, totals.get((1, 0), 0) + totals.get((1, 1), 0)))
+    part = F.col("t") / (F.col("t") + F.col("c"))
+    # twice the log likelihood ratio against the overall share; beyond the bound, of all counted tokens a tenth of one is expected to get in by chance
+    ratio = 2 * (F.col("t") * F.log(part / share) + F.col("c") * F.log(F.greatest(1 - part, F.lit(1e-9)) / (1 - share)))
+    bound = 2 * (math.log(max(2, counted.count())) + math.log(10))
+    pure = (F.col("t0") + F.col("t1")) / (F.col("t0") + F.col("t1") + F.col("c0") + F.col("c1")) >= PURITY
+    mined = counted.where((F.col("t") > 0) & (part >= max(PURITY, share)) & pure & (ratio >= bound)).orderBy(ratio.desc(), "token").limit(TOKENS).toArrow()
     mined = mined.set_column(0, "token", pa.array(mined.column("token").to_numpy().view(np.uint64))).sort_by("token")
     keys, kind = mined.column("token").to_numpy(), mined.column("kind").to_numpy()
     lexicons = {}
     for h in (0, 1):
         t, c = (mined.column(f"{x}{h}").to_numpy() for x in "tc")
-        strong = (t >= 2) & (log_odds(t, c, n_toxic / 2, n_clean / 2) >= 3)
+        strong = (t >= 2) & (t >= 0.95 * (t + c))
         lexicons |= {(k, h): strong & (kind == k) for k in (0, *STEMS)}
     nouns, adjectives = word_keys(NOUNS), word_keys(ADJECTIVES)
 
