@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, language, licences, packing, quality, shared, toxicity
+from tessera.llm import decontamination, language, licences, media, packing, quality, shared, toxicity
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(shared.table(spark, sf_dir, "documents"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(shared.table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.scan(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +37,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op5_decontamination, op6_quality, op9_licence_scan, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op4_media, op5_decontamination, op6_quality, op9_licence_scan, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {"op9_licence_scan": licences.sql()}
