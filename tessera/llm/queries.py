@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, language, licences, media, packing, quality, shared, toxicity
+from tessera.llm import decontamination, jaccard, language, licences, media, packing, quality, shared, toxicity
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(shared.table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(shared.table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op4_media, op5_decontamination, op6_quality, op9_licence_scan, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op4_media, op5_decontamination, op6_quality, op8_jaccard_join, op9_licence_scan, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {"op9_licence_scan": licences.sql()}
