@@ -11,14 +11,17 @@ by hash, g + 1 shared frequent shingles put two into one group.  The class of
 a shingle steers cost only; any classes give the same links.
 
 Equal sets are one node.  A posting list of up to ``SMALL`` nodes is verified
-pair by pair.  A longer one is never paired off: a member becomes its pivot,
-and every member is compared with that.  Let d(x) be the symmetric difference
-of x and the pivot.  If x and y are similar, then either |d(x)| + |d(y)| is so
-small that both are similar to the pivot, hence connected through it, or d(x)
-and d(y) share an element within their first D(x) + 1 and D(y) + 1 ones, where
-D(x) bounds the symmetric difference of x and a partner.  So the members are
-indexed anew by those elements, and the step is repeated until no list is
-long.  Connected components of the verified links are the classes.
+pair by pair.  A longer one is never paired off: its members are compared with
+a centre, the shingles that most of them have.  Let d(x) be the symmetric
+difference of x and the centre.  If x and y are similar, then either
+|d(x)| + |d(y)| is so small that this proves it (such pairs are connected
+through the members nearest to the centre, see ``close_links``), or d(x) and
+d(y) share an element within their first D(x) + 1 and D(y) + 1 ones, where D(x)
+bounds the symmetric difference of x and any partner.  So the members are
+indexed anew by those elements, of which no one is common to most of them, and
+the step is repeated until no list is long; after ``STEPS`` steps the lists
+left are verified pair by pair.  Connected components of the links are the
+classes.
 
 Defined cases: null and empty texts have no shingle and link with nothing; a
 text of fewer than k words is one shingle; very long texts are read whole;
@@ -38,7 +41,9 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm import shared, tokens
 
 #: Longest posting list that is verified pair by pair.
-SMALL = 12
+SMALL = 16
+#: Members from which a group's centre is taken, and steps before lists are verified pair by pair whatever their length.
+SAMPLE, STEPS = 25, 12
 #: At most so many shingles are known as frequent, each in at least so many documents by the block counts.
 FREQUENT, FREQUENT_FROM = 1 << 17, 64
 #: Shingles counted together; blocks report those that occur so often in them.
@@ -232,62 +237,94 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _with_sets(pairs, sets).select("xa", "xb", "ya", "yb", "xs", "ys").mapInArrow(run, "xa long, xb long, ya long, yb long")
 
 
-def difference_keys(x: np.ndarray, pivot: np.ndarray, frequent: np.ndarray, pivot_node: int, limit: int) -> np.ndarray:
-    """The first elements of the symmetric difference with the pivot: added rare, added frequent, then missing ones."""
-    added, missing = np.setdiff1d(x, pivot, assume_unique=True), np.setdiff1d(pivot, x, assume_unique=True)
+def difference(x: np.ndarray, centre: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Elements of the symmetric difference: added rare ones, added frequent ones, then missing ones (marked)."""
+    added, missing = np.setdiff1d(x, centre, assume_unique=True), np.setdiff1d(centre, x, assume_unique=True)
     often = in_table(frequent, added)
-    added = np.concatenate([added[~often], added[often]])
-    salt = U64(pivot_node & (1 << 64) - 1)
-    elements = np.concatenate([added, tokens.mix(missing + U64(1))])[:limit]
-    return tokens.mix(elements ^ tokens.mix(np.full(len(elements), salt)))
+    return np.concatenate([added[~often], added[often], tokens.mix(missing + U64(1))])
 
 
-def compared(members: DataFrame, sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Rows xa, xb, n, ya, yb of members x and their pivots y: link rows (key null), and postings under new keys."""
+def centres(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """g, centre: the shingles that most of a group's sample of up to ``SAMPLE`` members have."""
+    part = F.pmod(F.xxhash64("a", "b", "g"), F.lit(SAMPLE))
+    sample = groups.groupBy("g", part.alias("_part")).agg(F.min(F.struct("a", "b")).alias("_s")).select("g", F.col("_s.a").alias("a"), F.col("_s.b").alias("b"))
+    sample = sample.join(sets, ["a", "b"]).groupBy("g").agg(F.collect_list("shingles").alias("sample"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "xa", "xb", "n", "ya", "yb"]
         for batch in batches:
-            keys, rows = [], []
-            links = np.zeros(batch.num_rows, bool)
-            for i, (p, q, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("xs", "ys", "ya")), strict=True)):
-                x, y = np.frombuffer(p, U64), np.frombuffer(q, U64)
-                links[i] = similar(x, y, percent)
-                keys.append(difference_keys(x, y, frequent, node, most_difference(len(x), percent) + 1))
-                rows.append(np.full(len(keys[-1]), i))
-            own = batch.select(names[1:])
-            linked = own.filter(pa.array(links))
-            yield pa.RecordBatch.from_arrays([pa.nulls(linked.num_rows, pa.int64()), *linked.columns], names=names)
-            at = pa.array(np.concatenate([np.zeros(0, int), *rows]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([_long(np.concatenate([np.zeros(0, U64), *keys])), *own.take(at).columns], names=names)
-
-    rows = _with_sets(members, sets).select("xa", "xb", "n", "ya", "yb", "xs", "ys")
-    return rows.mapInArrow(run, "key long, xa long, xb long, n int, ya long, yb long")
+            out = []
+            for own in batch.column("sample").to_pylist():
+                value, count = np.unique(np.frombuffer(b"".join(own), U64), return_counts=True)
+                out.append(value[2 * count > len(own)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(out, pa.binary())], names=["g", "centre"])
+
+    return sample.mapInArrow(run, "g long, centre binary")
+
+
+def differences(groups: DataFrame, sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
+    """g, a, b, n, size of the symmetric difference with the group's centre, keys of its first elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys = [], []
+            for g, x, centre in zip(*(batch.column(c).to_pylist() for c in ("g", "shingles", "centre")), strict=True):
+                x = np.frombuffer(x, U64)
+                elements = difference(x, np.frombuffer(centre, U64), frequent)
+                sizes.append(len(elements))
+                elements = elements[: most_difference(len(x), percent) + 1]
+                keys.append(tokens.mix(elements ^ tokens.mix(np.full(len(elements), U64(g & (1 << 64) - 1)))))
+            cut = np.cumsum([0, *(len(x) for x in keys)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cut), _long(np.concatenate([np.zeros(0, U64), *keys])))
+            yield pa.RecordBatch.from_arrays([*batch.select(["g", "a", "b", "n"]).columns, pa.array(sizes, pa.int64()), lists], names=["g", "a", "b", "n", "size", "keys"])
+
+    rows = groups.join(sets, ["a", "b"]).join(centres(groups, sets), "g")
+    return rows.select("g", "a", "b", "n", "shingles", "centre").mapInArrow(run, f"g long, {NODE}, size long, keys array<long>")
+
+
+def close_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links that follow from two differences that are small together.
+
+    Each member is held against the member of each set size with the smallest
+    difference: if x and y are close, then x to the nearest of y's size, that
+    to the nearest of x's size, and that to y are close, too.
+    """
+    near = rows.where((100 + percent) * F.col("size") * percent <= (100 - percent) * F.col("n") * (100 + percent))
+    best = near.groupBy("g", F.col("n").alias("zn")).agg(F.min(F.struct("size", "a", "b")).alias("_z"))
+    pairs = near.join(best, "g").where((100 + percent) * (F.col("size") + F.col("_z.size")) <= (100 - percent) * (F.col("n") + F.col("zn")))
+    pairs = pairs.where("a <> _z.a OR b <> _z.b")
+    return pairs.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("_z.a").alias("ya"), F.col("_z.b").alias("yb")).distinct()
+
+
+def _pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs within each list ``l``, once, that may be similar by their sizes."""
+    pairs = lists.select(F.posexplode("l").alias("i", "x"), "l").select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y"))
+    near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    return pairs.where(near).select(F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb")).distinct()
 
 
 def links(postings: DataFrame, sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Enough verified links xa, xb, ya, yb that their components are those of all links."""
-    found, node = [], F.struct("a", "b", "n")
+    """Enough links xa, xb, ya, yb that their components are those of all links."""
+    found, node, step = [], F.struct("a", "b", "n"), 0
     while True:
         sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
         sized = shared.cut(postings.join(sizes.where("_size > 1"), "key"))
-        lists = sized.where(F.col("_size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(node)).alias("l")).select("l").distinct()
-        pairs = lists.select(F.posexplode("l").alias("i", "x"), "l").select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y"))
-        near = F.col("x.n") * 100 >= F.col("y.n") * percent
-        near &= F.col("y.n") * 100 >= F.col("x.n") * percent
-        pairs = pairs.where(near).select(F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb")).distinct()
-        found.append(shared.cut(verified(pairs, sets, percent)))
-        long_lists = sized.where(F.col("_size") > SMALL)
+        small = SMALL if step < STEPS else 1 << 30
+        lists = sized.where(F.col("_size") <= small).groupBy("key").agg(F.array_sort(F.collect_list(node)).alias("l")).select("l").distinct()
+        found.append(shared.cut(verified(_pairs(lists, percent), sets, percent)))
+        long_lists = sized.where(F.col("_size") > small)
         if long_lists.isEmpty():
             break
-        weight = long_lists.groupBy("a", "b").agg(F.sum("_size").alias("_weight"))  # a text without edits of its own is in many long lists
-        pivots = long_lists.join(weight, ["a", "b"]).groupBy("key").agg(F.max(F.struct("_weight", "a", "b")).alias("_p"))
-        pivots = pivots.select("key", F.col("_p.a").alias("ya"), F.col("_p.b").alias("yb"))
-        against = long_lists.join(pivots, "key").select(F.col("a").alias("xa"), F.col("b").alias("xb"), "n", "ya", "yb")
-        against = against.where("xa <> ya OR xb <> yb").distinct()
-        rows = shared.cut(compared(against, sets, percent, frequent))
-        found.append(rows.where("key IS NULL").select("xa", "xb", "ya", "yb"))
-        postings = rows.where("key IS NOT NULL").select("key", F.col("xa").alias("a"), F.col("xb").alias("b"), "n").distinct()
+        if step == 0:  # lists of one group of copies have the same heaviest member
+            weight = long_lists.groupBy("a", "b").agg(F.sum("_size").alias("_weight"))
+            heaviest = long_lists.join(weight, ["a", "b"]).groupBy("key").agg(F.max(F.struct("_weight", "a", "b")).alias("_p"))
+            names = heaviest.select("key", F.col("_p.a").alias("g"))
+        else:  # equal lists
+            names = long_lists.groupBy("key").agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("_sum"), F.count(F.lit(1)).alias("_n")).select("key", F.xxhash64("_sum", "_n").alias("g"))
+        groups = shared.cut(long_lists.join(names, "key").select("g", "a", "b", "n").distinct())
+        rows = shared.cut(differences(groups, sets, percent, frequent))
+        found.append(close_links(rows, percent))
+        postings = rows.select(F.explode("keys").alias("key"), "a", "b", "n").distinct()
+        step += 1
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
