@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, jaccard, language, licences, media, packing, quality, shared, toxicity
+from tessera.llm import decontamination, jaccard, language, licences, media, packing, quality, shared, substrings, toxicity
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(shared.table(spark, sf_dir, "documents"), length=13)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +45,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op4_media, op5_decontamination, op6_quality, op8_jaccard_join, op9_licence_scan, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_language_id, op4_media, op5_decontamination, op6_quality, op8_jaccard_join, op9_licence_scan, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {"op9_licence_scan": licences.sql()}
