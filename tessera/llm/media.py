@@ -138,8 +138,9 @@ def _shared_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         rows = []
         for packed, owned in zip(batch.column("packed").to_pylist(), batch.column("owned").to_pylist(), strict=True):
-            parts = chunks(zstandard.decompress(packed))
-            rows += [parts[i] for i in owned]
+            if owned:
+                parts = chunks(zstandard.decompress(packed))
+                rows += [parts[i] for i in owned]
         if rows:
             digest, part = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(part, pa.binary())], names=["digest", "part"])
@@ -182,7 +183,8 @@ def media(documents: DataFrame) -> DataFrame:
     ).withColumnsRenamed({"doc_id": "_doc_id", "key": "_key"})
     packed = shared.texts(documents).mapInArrow(_pack, f"{_KEY}, packed binary")
     held = packed.join(by_document, same(packed, by_document), "left").drop("_doc_id", "_key")
-    parts = held.where(F.size("owned") > 0).select("packed", "owned").mapInArrow(_shared_chunks, "digest binary, part binary").dropDuplicates(["digest"])
+    # without a filter here both uses of ``held`` keep one and the same exchange of the packed payloads
+    parts = held.select("packed", "owned").mapInArrow(_shared_chunks, "digest binary, part binary").dropDuplicates(["digest"])
     wanted = marked.where("_foreign").select("doc_id", "key", "place", "digest").distinct()
     fetched = wanted.join(parts, "digest").groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "part")).alias("fetched")).withColumnsRenamed({"doc_id": "_doc_id", "key": "_key"})
     whole = held.join(fetched, same(held, fetched), "left").select("doc_id", "key", "packed", "foreign", "fetched")
