@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, jaccard, language, licences, media, packing, quality, shared, substrings, toxicity
+from tessera.llm import decontamination, jaccard, language, licences, lm, media, packing, quality, shared, substrings, toxicity
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.evaluate(shared.table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(shared.table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -45,6 +49,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_language_id, op4_media, op5_decontamination, op6_quality, op8_jaccard_join, op9_licence_scan, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_language_id, op4_media, op5_decontamination, op6_quality, op7_lm_score, op8_jaccard_join, op9_licence_scan, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {"op9_licence_scan": licences.sql()}
