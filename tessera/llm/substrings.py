@@ -39,6 +39,8 @@ from tessera.llm import shared, tokens
 #: Words of an anchor, and bits of the three filters.
 ANCHOR = 4
 ANCHOR_BITS, DOCUMENT_BITS = 26, 23
+#: Bits of an anchor by which it is counted; collisions cost time only.
+COUNT_BITS = 40
 U64 = np.uint64
 
 
@@ -90,28 +92,52 @@ def _known(documents: DataFrame) -> DataFrame:
     return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
 
 
-def anchors(documents: DataFrame, length: int) -> DataFrame:
-    """Anchors that occur in more than one document."""
+def _first_of_each(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Sorted distinct keys, the columns in the same order, and where each key begins."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[new], [c[order] for c in columns], new
+
+
+def repeated_anchors(documents: DataFrame, length: int) -> DataFrame:
+    """h: the first ``COUNT_BITS`` bits of anchors that more than one row has (and of a few others, by collision)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.row_slices(batches):
             p = Passages(batch.column("text"), length)
             first, _ = p.runs()
-            if not len(first):
-                continue
-            anchor, doc = p.anchor[first], batch.column("doc_id").to_numpy()[p.row[first]]
-            order = np.argsort(anchor, kind="stable")
-            anchor, doc = anchor[order], doc[order]
-            new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-            columns = [_long(anchor[new]), pa.array(np.minimum.reduceat(doc, new)), pa.array(np.maximum.reduceat(doc, new))]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "low", "high"])
+            if len(first):
+                h = p.anchor[first] >> U64(64 - COUNT_BITS)
+                pair = np.unique(h << U64(10) | p.row[first].astype(U64))  # a row counts once
+                h, n = np.unique(pair >> U64(10), return_counts=True)
+                yield pa.RecordBatch.from_arrays([_long(h), pa.array(n.astype(np.int32))], names=["h", "n"])
+
+    rows = _known(documents).mapInArrow(run, "h long, n int")
+    return rows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+
+
+def nodes(documents: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
+    """anchor, low, fork: anchors of more than one document, their smallest id, and whether their paths differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tokens.row_slices(batches):
+            p = Passages(batch.column("text"), length)
+            first, count = p.runs()
+            use = shared.in_bitmap(wanted, p.anchor[first] >> U64(64 - COUNT_BITS))
+            first, count = first[use], count[use]
+            if len(first):
+                anchor, (doc, path), new = _first_of_each(p.anchor[first], batch.column("doc_id").to_numpy()[p.row[first]], p.paths(first, count).view(np.int64))
+                columns = [_long(anchor), *(pa.array(f.reduceat(c, new)) for c in (doc, path) for f in (np.minimum, np.maximum))]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "low", "high", "one", "other"])
 
-    rows = _known(documents).mapInArrow(run, "anchor long, low long, high long")
-    return rows.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor")
+    rows = _known(documents).mapInArrow(run, "anchor long, low long, high long, one long, other long")
+    rows = rows.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("one").alias("one"), F.max("other").alias("other"))
+    return rows.where("low < high").select("anchor", "low", (F.col("one") != F.col("other")).alias("fork"))
 
 
-def paths(documents: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
-    """anchor, path, doc_id, first, count: runs of passages under wanted anchors."""
+def runs_under(documents: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
+    """anchor, doc_id, run (first word and number of passages in one number) under wanted anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.row_slices(batches):
@@ -120,14 +146,14 @@ def paths(documents: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
             use = shared.in_bitmap(wanted, p.anchor[first])
             first, count = first[use], count[use]
             if len(first):
-                columns = [_long(p.anchor[first]), _long(p.paths(first, count)), batch.column("doc_id").take(pa.array(p.row[first])), pa.array(p.places(p.at[first]).astype(np.int32)), pa.array(count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "path", "doc_id", "first", "count"])
+                columns = [_long(p.anchor[first]), batch.column("doc_id").take(pa.array(p.row[first])), pa.array(p.places(p.at[first]) << 32 | count)]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "run"])
 
-    return _known(documents).mapInArrow(run, "anchor long, path long, doc_id long, first int, count int")
+    return _known(documents).mapInArrow(run, "anchor long, doc_id long, run long")
 
 
-def full_prefixes(documents: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
-    """h0, h1, doc_id, first: single passages, by two hashes of all their words, under wanted anchors."""
+def full_prefixes(documents: DataFrame, length: int, wanted: np.ndarray, places: bool) -> DataFrame:
+    """h0, h1, doc_id (and run): single passages, by 96 bits of two hashes of all their words, under wanted anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.row_slices(batches):
@@ -136,36 +162,32 @@ def full_prefixes(documents: DataFrame, length: int, wanted: np.ndarray) -> Data
             if len(use):
                 at = p.at[use]
                 other = tokens.word_hashes(p.data, p.start, p.end, lane=1)
-                hashes = [tokens.ngram_hashes(w, length, lane)[at] for lane, w in enumerate((p.words, other))]
-                columns = [*map(_long, hashes), batch.column("doc_id").take(pa.array(p.row[use])), pa.array(p.places(at).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["h0", "h1", "doc_id", "first"])
+                h0, h1 = (tokens.ngram_hashes(w, length, lane)[at] for lane, w in enumerate((p.words, other)))
+                columns = [_long(h0), pa.array((h1 >> U64(32)).astype(np.uint32).view(np.int32)), batch.column("doc_id").take(pa.array(p.row[use])), pa.array(p.places(at) << 32 | 1)]
+                names = ["h0", "h1", "doc_id", "run"]
+                yield pa.RecordBatch.from_arrays(columns[: 3 + places], names=names[: 3 + places])
 
-    return _known(documents).mapInArrow(run, "h0 long, h1 long, doc_id long, first int")
+    return _known(documents).mapInArrow(run, "h0 long, h1 int, doc_id long" + ", run long" * places)
 
 
 def repeats(documents: DataFrame, length: int = 13) -> DataFrame:
-    """doc_id, runs: the passages (first word, number of passages) that a document with a smaller id has, too."""
+    """doc_id, runs: the passages (first word << 32 | number of passages) that a document with a smaller id has, too."""
     shared.prepare(documents.sparkSession)
-    wanted = shared.bitmap(anchors(documents, length), ANCHOR_BITS)
-    rows = paths(documents, length, wanted)
-    nodes = rows.groupBy("anchor", "path").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    nodes = shared.cut(nodes)
-    forks = nodes.groupBy("anchor").agg(F.min("path").alias("_low"), F.max("path").alias("_high")).where("_low <> _high").select("anchor")
-    forks = shared.cut(forks)
-    settled = nodes.where("low < high").join(forks, "anchor", "left_anti").select("anchor", "path", "low")
-    whole = rows.join(settled, ["anchor", "path"]).where("doc_id > low").select("doc_id", "first", "count")
-    single = full_prefixes(documents, length, shared.bitmap(forks, ANCHOR_BITS))
-    least = single.groupBy("h0", "h1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h0", "h1", "low")
-    single = single.join(least, ["h0", "h1"]).where("doc_id > low").select("doc_id", "first", F.lit(1).alias("count"))
-    return whole.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
-
-
-def kept_words(words: list[bytes], runs: list[dict], length: int) -> list[bytes]:
+    found = nodes(documents, length, shared.bitmap(repeated_anchors(documents, length), ANCHOR_BITS))
+    found = shared.cut(found)
+    settled, forks = (found.where(c).select("anchor", "low") for c in ("NOT fork", "fork"))
+    whole = runs_under(documents, length, shared.bitmap(settled.select("anchor"), ANCHOR_BITS))
+    whole = whole.join(settled, "anchor").where("doc_id > low").select("doc_id", "run")
+    extended = shared.bitmap(forks.select("anchor"), ANCHOR_BITS)
+    least = full_prefixes(documents, length, extended, False).groupBy("h0", "h1").agg(F.min("doc_id").alias("low"))
+    single = full_prefixes(documents, length, extended, True).join(least, ["h0", "h1"]).where("doc_id > low").select("doc_id", "run")
+    return whole.union(single).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+
+
+def kept_words(words: list[bytes], runs: list[int], length: int) -> list[bytes]:
     """Words that no removed passage covers."""
-    change = np.zeros(len(words) + 1, np.int64)
-    for r in runs:
-        change[min(r["first"], len(words))] += 1
-        change[min(r["first"] + r["count"] + length - 1, len(words))] -= 1
+    first, count = np.divmod(np.array(runs, np.int64), 1 << 32)
+    change = np.bincount(np.minimum(first, len(words)), minlength=len(words) + 1) - np.bincount(np.minimum(first + count + length - 1, len(words)), minlength=len(words) + 1)
     covered = np.cumsum(change)[:-1] > 0
     return [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]
 
@@ -190,10 +212,10 @@ def _with_runs(documents: DataFrame, length: int, finish, schema) -> DataFrame:
 
     def cut_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [x or [] for x in batch.column("_runs").to_pylist()]
-            yield finish(batch.select([c for c in batch.schema.names if c != "_runs"]), runs)
+            runs = [x or [] for x in batch.column("__runs").to_pylist()]
+            yield finish(batch.select([c for c in batch.schema.names if c != "__runs"]), runs)
 
-    dealt = documents.mapInArrow(some, documents.schema).join(found.select(F.col("doc_id").alias("_doc_id"), F.col("runs").alias("_runs")), F.col("doc_id") == F.col("_doc_id"), "left").drop("_doc_id")
+    dealt = documents.mapInArrow(some, documents.schema).join(found.select(F.col("doc_id").alias("__doc_id"), F.col("runs").alias("__runs")), F.col("doc_id") == F.col("__doc_id"), "left").drop("__doc_id")
     return documents.mapInArrow(whole, schema).union(dealt.mapInArrow(cut_down, schema))
 
 
