@@ -2,6 +2,25 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "multi_search"
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "url_inventory"
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with the DuckDB statement for its rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+from tessera.plans import queries_graph, queries_relational, queries_search, queries_text, queries_urls  # noqa: E402, F401
