@@ -51,7 +51,7 @@ def consistency(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     n = evidence.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
     got = answers.select("id").join(n, "id", "left").join(per, "id", "left")
     verdict = F.when(F.coalesce("_n", F.lit(0)) == 0, "empty_evidence").when(F.col("_files").isNull(), "no_refs").when(~F.col("_files"), "unsupported_refs").when(~F.col("_lines"), "line_mismatch").otherwise("ok")
-    return got.select("id", verdict.alias("verdict"), F.coalesce("unsupported", F.array().cast("array<string>")).alias("unsupported"))
+    return got.select("id", verdict.alias("verdict"), F.when(verdict == "unsupported_refs", F.col("unsupported")).otherwise(F.array().cast("array<string>")).alias("unsupported"))
 
 
 #: Fixed plan: rows, threshold and strategies of each retrieval round.

@@ -45,6 +45,13 @@ def analyze(query: str) -> tuple[str, float]:
     return ("constant", 0.8) if re.search(r"^[A-Z_]+$|^E\d+$", query) else ("general", 0.5)
 
 
+def searched_name(query: str, kind: str) -> str:
+    """The name that a query of a kind asks for: a URL's path, the function or class named, else the query."""
+    patterns = {"url": r"(?:https?://[^/\s]+)?(/[^\s?#]+)", "function": r"function\s+(\w+)|(\w+)\s*\(", "class": r"(?:class|interface|type)\s+(\w+)"}
+    m = re.search(patterns[kind], query) if kind in patterns else None
+    return next((g for g in m.groups() if g), query) if m else query
+
+
 def strategies(kind: str, confidence: float, wanted: tuple[str, ...]) -> list[str]:
     """Exact search only beyond a confidence of 0.8; dependencies for URLs and functions, the graph for functions."""
     rule = {"exact": confidence > 0.8, "dependency": kind in ("url", "function"), "graph": kind == "function"}
@@ -67,13 +74,13 @@ def search(tables: Tables, query: str, limit: int = 20, threshold: float = 0.5,
     width = max(limit, 50) if reranker else limit
     found: list[DataFrame] = []
     for strategy in strategies(kind, confidence, wanted):
-        for name in names:
+        for name in ["code_chunks"] if strategy == "fuzzy" and "code_chunks" in tables.entities else names:
             rows = tables.entities[name]
             if strategy == "vector" and tables.query_vector is not None and "embedding" in rows.columns:
                 top = ops.vector_top_k(rows, tables.query_vector, width)
                 found.append(_rows(top, name, strategy, ops.row_score(F.col("similarity"), F.lit(None).cast("double"))))
             elif strategy == "exact" and kind in ("url", "constant", "function"):
-                top = ops.exact(rows, "name", query).orderBy("match_rank", "id").limit(width)
+                top = ops.exact(rows, "name", searched_name(query, kind)).orderBy("match_rank", "id").limit(width)
                 found.append(_rows(top, name, strategy, F.lit(0.5)))
             elif strategy == "fuzzy" and name == "code_chunks":
                 top = ops.trigram_top_k(rows, "content", query, width, threshold=0.1)
