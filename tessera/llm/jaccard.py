@@ -41,15 +41,21 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm import shared, tokens
 
 #: Longest posting list that is verified pair by pair.
-SMALL = 16
+SMALL = 64
 #: Members from which a group's centre is taken, and steps before lists are verified pair by pair whatever their length.
 SAMPLE, STEPS = 25, 12
-#: At most so many shingles are known as frequent, each in at least so many documents by the block counts.
-FREQUENT, FREQUENT_FROM = 1 << 17, 64
-#: Shingles counted together; blocks report those that occur so often in them.
-COUNT_BLOCK, BLOCK_FROM = 1 << 21, 3
+#: Bytes of centres up to which they are broadcast; beyond, they are joined by shuffles.
+BROADCAST = 16 << 20
+#: Nodes up to which a list of them is broadcast (some MB).
+FEW = 1 << 17
+#: Nodes (about) from which a shingle is frequent, and bits of the map of frequent ones.
+FREQUENT_FROM, FREQUENT_BITS = 12, 26
+#: Buckets of the counts that bound an overlap from above.
+BUCKETS = 64
+#: Bits of a shingle's hash; the rest of 64 holds a row's number within a slice and a class.
+BITS = 53
 #: Bits of the filter in front of the shuffle of candidate sets.
-FILTER_BITS = 24
+FILTER_BITS, DOCUMENT_BITS = 24, 23
 U64 = np.uint64
 NODE = "a long, b long, n int"
 
@@ -70,13 +76,14 @@ class Shingles:
             at = at[count[row[at]] == short]
             hashes.append(tokens.ngram_hashes(words, short)[at])
             of.append(row[at])
-        hashes, of = np.concatenate(hashes), np.concatenate(of)
-        often = in_table(frequent, hashes) if frequent is not None else np.zeros(len(hashes), bool)
-        order = np.lexsort((hashes, often, of))
-        hashes, of, often = hashes[order], of[order], often[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-        self.hash, self.row, self.often = hashes[new], of[new], often[new]
+        hashes, of = np.concatenate(hashes) >> U64(64 - BITS), np.concatenate(of)
+        often = shared.in_bitmap(frequent, hashes) if frequent is not None else np.zeros(len(hashes), bool)
+        # row, class and hash in one word: sorting it sorts by all three
+        code = of.astype(U64) << U64(BITS + 1) | often.astype(U64) << U64(BITS) | hashes
+        code.sort()
+        code = code[np.r_[True, code[1:] != code[:-1]]] if len(code) else code
+        self.hash, self.often = code & U64((1 << BITS) - 1), code >> U64(BITS) & U64(1) == 1
+        self.row = (code >> U64(BITS + 1)).astype(np.int64)
         self.start = np.searchsorted(self.row, np.arange(rows + 1))
         self.n = np.diff(self.start)
         # sums over well-mixed hashes do not depend on the order
@@ -84,12 +91,6 @@ class Shingles:
         self.a, self.b = (t[self.start[1:]] - t[self.start[:-1]] for t in total)
 
 
-def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
-
-
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     """Shared shingles of a set of n with any partner, at least."""
     return -(-percent * n // 100)
@@ -109,7 +110,7 @@ def levels(n: np.ndarray, percent: int) -> np.ndarray:
 def combinations(hashes: np.ndarray, level: int) -> np.ndarray:
     """Keys of the pairs of frequent shingles that fall into one of 2**level groups."""
     out = []
-    group = hashes >> U64(64 - level) if level else np.zeros(len(hashes), U64)
+    group = hashes >> U64(BITS - level) if level else np.zeros(len(hashes), U64)
     order = np.lexsort((hashes, group))
     hashes, group = hashes[order], group[order]
     bounds = np.append(np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)) if len(group) else np.zeros(1, int)
@@ -150,58 +151,79 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def members(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, a, b: set size and node of each document."""
+    """doc_id, n, a, b, sketch: set size and node of each document, and how many of its shingles fall into each of ``BUCKETS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.row_slices(batches):
             s = Shingles(batch.column("text"), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s.n.astype(np.int32)), _long(s.a), _long(s.b)], names=["doc_id", "n", "a", "b"])
-
-    return shared.texts(documents).mapInArrow(run, "doc_id long, n int, a long, b long")
-
+            bucket = s.row * BUCKETS + (s.hash >> U64(BITS - 6)).astype(np.int64)
+            counts = np.bincount(bucket, minlength=len(s.n) * BUCKETS).reshape(-1, BUCKETS).astype("<u4" if s.n.max(initial=0) > 65535 else "<u2")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s.n.astype(np.int32)), _long(s.a), _long(s.b), pa.array([x.tobytes() for x in counts], pa.binary())], names=["doc_id", "n", "a", "b", "sketch"])
 
-def frequent_shingles(documents: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of the most frequent shingles, by counts of blocks of documents; ``FREQUENT`` at most."""
+    return shared.texts(documents).mapInArrow(run, "doc_id long, n int, a long, b long, sketch binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def report() -> pa.RecordBatch:
-            value, count = np.unique(np.concatenate([np.zeros(0, U64), *held]), return_counts=True)
-            often = count >= BLOCK_FROM
-            return pa.RecordBatch.from_arrays([_long(value[often]), pa.array(count[often])], names=["h", "c"])
-
-        for batch in tokens.row_slices(batches):
-            held.append(Shingles(batch.column("text"), k).hash)
-            size += len(held[-1])
-            if size >= COUNT_BLOCK:
-                yield report()
-                held, size = [], 0
-        yield report()
 
-    counted = shared.texts(documents).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    got = counted.where(F.col("c") >= FREQUENT_FROM).orderBy(F.col("c").desc(), "h").limit(FREQUENT).select("h").toArrow()
-    return np.sort(got.column("h").to_numpy().view(U64))
+def frequent_shingles(documents: DataFrame, k: int, percent: int) -> np.ndarray:
+    """A bitmap of the shingles with long posting lists; a few others share their bits and count as frequent, too.
 
-
-def index(documents: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """key, a, b, n: each node's postings under keys that more than one node has."""
+    Counted over all documents, for prefixes in hash order that are a quarter
+    longer than needed: those shingles are the ones that single keys would be
+    made of.  A list's nodes are counted by 64 bits, each set by some nodes, so
+    that copies do not count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.row_slices(batches):
-            s = Shingles(batch.column("text"), k, frequent)
-            keys, rows = signatures(s, percent)
-            if len(keys):
-                yield pa.RecordBatch.from_arrays([_long(keys), _long(s.a[rows]), _long(s.b[rows]), pa.array(s.n[rows].astype(np.int32))], names=["key", "a", "b", "n"])
-
-    rows = shared.texts(documents).mapInArrow(run, f"key long, {NODE}")
+            s = Shingles(batch.column("text"), k)
+            place = np.arange(len(s.hash)) - s.start[s.row]
+            use = place < ((s.n - least_overlap(s.n, percent) + 1) * 5 // 4)[s.row]
+            value, bit = s.hash[use], U64(1) << (s.a[s.row[use]] & U64(63))
+            order = np.argsort(value, kind="stable")
+            value, bit = value[order], bit[order]
+            new = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, int)
+            if len(new):
+                yield pa.RecordBatch.from_arrays([_long(value[new]), _long(np.bitwise_or.reduceat(bit, new))], names=["h", "nodes"])
+
+    counted = shared.texts(documents).mapInArrow(run, "h long, nodes long").groupBy("h").agg(F.bit_count(F.bit_or("nodes")).alias("c"))
+    return shared.bitmap(counted.where(F.col("c") >= FREQUENT_FROM).select("h"), FREQUENT_BITS)
+
+
+def index(documents: DataFrame, k: int, percent: int, frequent: np.ndarray, copies: DataFrame) -> DataFrame:
+    """key, a, b, n: each node's postings under keys that more than one node has.
+
+    copies: doc_id, a, b of documents whose set an earlier one has, and (with
+    ``again``) of repeated rows; only the first document of a set is indexed,
+    once.  Documents that a bitmap of the copies lets through are indexed at
+    once, the rest after an exact anti-join.
+    """
+    doubtful = shared.bitmap(copies.select("doc_id"), DOCUMENT_BITS)
+
+    def postings(may_be_copies: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in tokens.row_slices(batches):
+                hit = shared.in_bitmap(doubtful, batch.column("doc_id").to_numpy().astype(np.int64).view(U64))
+                batch = batch.filter(pa.array(hit == may_be_copies))
+                if not batch.num_rows:
+                    continue
+                s = Shingles(batch.column("text"), k, frequent)
+                keys, rows = signatures(s, percent)
+                if len(keys):
+                    columns = [_long(keys), _long(s.a[rows]), _long(s.b[rows]), pa.array(s.n[rows].astype(np.int32))]
+                    if may_be_copies:
+                        columns.append(batch.column("doc_id").take(pa.array(rows)))
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", "n", "doc_id"][: len(columns)])
+
+        return shared.texts(documents).mapInArrow(run, f"key long, {NODE}" + ", doc_id long" * may_be_copies)
+
+    rest = postings(True).join(copies.where("NOT again").drop("again"), ["doc_id", "a", "b"], "left_anti").select("key", "a", "b", "n").distinct()
+    rows = postings(False).union(rest)
     shared_keys = rows.groupBy("key").agg(F.min("a").alias("_low"), F.max("a").alias("_high")).where("_low <> _high").select("key")
-    return shared.cut(shared.cut(rows.join(shared_keys, "key")).distinct())
+    return shared.cut(rows.join(shared_keys, "key"))
 
 
-def sets(documents: DataFrame, k: int, postings: DataFrame) -> DataFrame:
-    """a, b, shingles (sorted hashes as bytes) of the nodes in the postings (and a few more)."""
-    wanted = shared.bitmap(postings.select("a"), FILTER_BITS)
+def sets(documents: DataFrame, k: int, wanted_nodes: DataFrame) -> DataFrame:
+    """a, b, shingles (sorted hashes as bytes) of the wanted nodes (column a), and a few more."""
+    wanted = shared.bitmap(wanted_nodes, FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.row_slices(batches):
@@ -219,7 +241,35 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _counts(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(sketch, "<u2" if len(sketch) == 2 * BUCKETS else "<u4").astype(np.int64)
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose bucket counts allow the similarity: no more is shared than the smaller count of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(*(batch.column(c).to_pylist() for c in ("xk", "yk")), strict=True):
+                p, q = _counts(x), _counts(y)
+                most = int(np.minimum(p, q).sum())
+                keep.append(100 * most >= percent * (int(p.sum()) + int(q.sum()) - most))
+            yield batch.select(["xa", "xb", "ya", "yb"]).filter(pa.array(keep, pa.bool_()))
+
+    for side in ("x", "y"):
+        pairs = pairs.join(nodes.select(F.col("a").alias(f"{side}a"), F.col("b").alias(f"{side}b"), F.col("sketch").alias(f"{side}k")), [f"{side}a", f"{side}b"])
+    return pairs.select("xa", "xb", "ya", "yb", "xk", "yk").mapInArrow(run, "xa long, xb long, ya long, yb long")
+
+
+def _wanted(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of some nodes (a, b): picked before they are dealt, if the nodes are few."""
+    nodes = shared.cut(nodes.distinct())
+    return sets.join(F.broadcast(nodes), ["a", "b"], "left_semi") if nodes.count() <= FEW else sets
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    sets = _wanted(sets, pairs.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(pairs.select("ya", "yb")))
     for side in ("x", "y"):
         pairs = pairs.join(sets.select(F.col("a").alias(f"{side}a"), F.col("b").alias(f"{side}b"), F.col("shingles").alias(f"{side}s")), [f"{side}a", f"{side}b"])
     return pairs
@@ -240,7 +290,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def difference(x: np.ndarray, centre: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Elements of the symmetric difference: added rare ones, added frequent ones, then missing ones (marked)."""
     added, missing = np.setdiff1d(x, centre, assume_unique=True), np.setdiff1d(centre, x, assume_unique=True)
-    often = in_table(frequent, added)
+    often = shared.in_bitmap(frequent, added)
     return np.concatenate([added[~often], added[often], tokens.mix(missing + U64(1))])
 
 
@@ -277,7 +327,10 @@ def differences(groups: DataFrame, sets: DataFrame, percent: int, frequent: np.n
             lists = pa.ListArray.from_arrays(pa.array(cut), _long(np.concatenate([np.zeros(0, U64), *keys])))
             yield pa.RecordBatch.from_arrays([*batch.select(["g", "a", "b", "n"]).columns, pa.array(sizes, pa.int64()), lists], names=["g", "a", "b", "n", "size", "keys"])
 
-    rows = groups.join(sets, ["a", "b"]).join(centres(groups, sets), "g")
+    middle = shared.cut(centres(groups, sets))
+    small = (middle.agg(F.sum(F.length("centre"))).first()[0] or 0) <= BROADCAST
+    sets = _wanted(sets, groups.select("a", "b"))
+    rows = groups.join(sets, ["a", "b"]).join(F.broadcast(middle) if small else middle, "g")
     return rows.select("g", "a", "b", "n", "shingles", "centre").mapInArrow(run, f"g long, {NODE}, size long, keys array<long>")
 
 
@@ -302,26 +355,30 @@ def _pairs(lists: DataFrame, percent: int) -> DataFrame:
     return pairs.where(near).select(F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb")).distinct()
 
 
-def links(postings: DataFrame, sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
+def links(postings: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """Enough links xa, xb, ya, yb that their components are those of all links."""
-    found, node, step = [], F.struct("a", "b", "n"), 0
+    found, node, step, held = [], F.struct("a", "b", "n"), 0, None
     while True:
         sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
         sized = shared.cut(postings.join(sizes.where("_size > 1"), "key"))
         small = SMALL if step < STEPS else 1 << 30
         lists = sized.where(F.col("_size") <= small).groupBy("key").agg(F.array_sort(F.collect_list(node)).alias("l")).select("l").distinct()
-        found.append(shared.cut(verified(_pairs(lists, percent), sets, percent)))
+        pairs = shared.cut(possible(_pairs(lists, percent), nodes, percent))
         long_lists = sized.where(F.col("_size") > small)
+        if held is None:  # later steps deal with nodes of the long lists only
+            ends = pairs.select(F.col("xa").alias("a")).union(pairs.select("ya")).union(long_lists.select("a"))
+            held = sets(documents, k, ends)
+        found.append(shared.cut(verified(pairs, held, percent)))
         if long_lists.isEmpty():
             break
-        if step == 0:  # lists of one group of copies have the same heaviest member
+        if step < 2:  # lists of one family of copies have the same heaviest member: they are one group
             weight = long_lists.groupBy("a", "b").agg(F.sum("_size").alias("_weight"))
             heaviest = long_lists.join(weight, ["a", "b"]).groupBy("key").agg(F.max(F.struct("_weight", "a", "b")).alias("_p"))
-            names = heaviest.select("key", F.col("_p.a").alias("g"))
-        else:  # equal lists
+            names = heaviest.select("key", F.xxhash64("_p.a", F.lit(step)).alias("g"))
+        else:  # equal lists only, so that a group is part of the one that it comes from
             names = long_lists.groupBy("key").agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("_sum"), F.count(F.lit(1)).alias("_n")).select("key", F.xxhash64("_sum", "_n").alias("g"))
         groups = shared.cut(long_lists.join(names, "key").select("g", "a", "b", "n").distinct())
-        rows = shared.cut(differences(groups, sets, percent, frequent))
+        rows = shared.cut(differences(groups, held, percent, frequent))
         found.append(close_links(rows, percent))
         postings = rows.select(F.explode("keys").alias("key"), "a", "b", "n").distinct()
         step += 1
@@ -341,14 +398,41 @@ def classes(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     shared.prepare(documents.sparkSession)
     rows = shared.cut(members(documents, k))
     known = rows.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = shared.cut(known.groupBy("a", "b").agg(F.min("doc_id").alias("first")))
+    nodes = shared.cut(known.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch")))
     own = documents.where("doc_id IS NOT NULL")
-    frequent = frequent_shingles(own, k)
-    postings = index(own, k, percent, frequent)
-    found = links(postings, sets(own, k, postings), percent, frequent)
+    frequent = frequent_shingles(own, k, percent)
+    copies = known.join(nodes, ["a", "b"]).where("doc_id <> first").select("doc_id", "a", "b", F.lit(False).alias("again")).distinct()
+    again = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.min("a").alias("a"), F.min("b").alias("b")).where("_n > 1")
+    postings = index(own, k, percent, frequent, shared.cut(copies.union(again.select("doc_id", "a", "b", F.lit(True)))))
+    found = links(postings, nodes, own, k, percent, frequent)
     ends = [nodes.select(F.col("a").alias(f"{s}a"), F.col("b").alias(f"{s}b"), F.col("first").alias(t)) for s, t in (("x", "u"), ("y", "v"))]
     edges = found.join(ends[0], ["xa", "xb"]).join(ends[1], ["ya", "yb"]).select("u", "v")
     merged = shared.components(edges).withColumnRenamed("node", "first")
     named = nodes.join(merged, "first", "left").select("a", "b", F.coalesce("component", "first").alias("component_id"))
     out = rows.join(named, ["a", "b"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, unchanged and with all their columns, that are the smallest id of their class.
+
+    Of repeated rows of one id one stays; rows without an id all stay.  Only
+    documents that may go are dealt by id.
+    """
+    found = shared.cut(classes(documents, k, percent))
+    gone = shared.cut(found.where("component_id <> doc_id").select("doc_id").union(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")).distinct())
+    doubtful = shared.bitmap(gone, DOCUMENT_BITS)
+
+    def part(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key = batch.column("doc_id")
+                may_go = shared.in_bitmap(doubtful, key.fill_null(0).to_numpy().astype(np.int64).view(U64)) & key.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(may_go == wanted))
+
+        return documents.mapInArrow(run, documents.schema)
+
+    others = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    dealt = part(True)
+    dealt = dealt.join(others, dealt["doc_id"] == others["__gone"], "left_anti").dropDuplicates(["doc_id"])
+    return part(False).union(dealt)

@@ -14,6 +14,7 @@ from tessera.llm import tokens
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches; sets a checkpoint folder where the cluster names none (local tests)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(tokens.BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
