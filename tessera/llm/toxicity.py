@@ -138,7 +138,7 @@ def votes(found: list[np.ndarray], half: np.ndarray, label: np.ndarray, flags: n
     return out
 
 
-def label_model(table: np.ndarray, rounds: int = 40, joined: float = 0.03) -> tuple[np.ndarray, dict]:
+def label_model(table: np.ndarray, rounds: int = 40, joined: float = 0.5) -> tuple[np.ndarray, dict]:
     """Posterior of class 1 for each row of votes; accuracies of the voters and cliques of correlated ones."""
     patterns, inverse, counts = np.unique(table, axis=0, return_inverse=True, return_counts=True)
     inverse = inverse.ravel()
@@ -158,17 +158,16 @@ def label_model(table: np.ndarray, rounds: int = 40, joined: float = 0.03) -> tu
         return posterior, tables
 
     m = table.shape[1]
-    posterior, _ = run([[j] for j in range(m)], posterior)
-    parent = list(range(m))
+    parent, x = list(range(m)), patterns.astype(float)
+    within = np.zeros((m, m))  # covariance within the classes of the majority
+    for y in (posterior, 1 - posterior):
+        w = counts * y / max(1e-9, (counts * y).sum())
+        centred = x - w @ x
+        within += (centred * w[:, None]).T @ centred * (counts * y).sum() / counts.sum()
+    spread = np.sqrt(np.maximum(np.diag(within), 1e-3))
     for j in range(m):
         for k in range(j):
-            rest = 0.0
-            for y in (0, 1):
-                w = counts * (posterior if y else 1 - posterior)
-                total = max(w.sum(), 1e-9)
-                a, b = patterns[:, j].astype(float), patterns[:, k].astype(float)
-                rest += abs((w * a * b).sum() / total - (w * a).sum() / total * (w * b).sum() / total) * total / counts.sum()
-            if rest > joined:
+            if within[j, k] > joined * spread[j] * spread[k]:
                 parent = [parent[k] if p == parent[j] else p for p in parent]
     cliques = [[j for j in range(m) if parent[j] == p] for p in sorted(set(parent))]
     posterior, _ = run(cliques, posterior)
