@@ -3,11 +3,12 @@
 Words are lower-case runs of letters and digits.  Every word 3-gram of a test
 item is a seed unless it is much more frequent in the training documents than
 the item's other seeds are.  A document that holds a seed is aligned, around
-the place that the seed gives, with the item: a match counts 1, a mismatch or
-gap -0.5, and the best local alignment's sum over the item's words is the
-score.  Items are handled in blocks of a fixed number of seeds, so what is sent
-to the executors is bounded whatever the size of the benchmark; a document
-meets only items that share a seed with it.
+the place that the seed gives, with the item: a match counts 1 (shared among
+the places of a word that the item repeats), a mismatch or gap -0.5, and the
+best local alignment's sum over the item's different words is the score.  Items
+are handled in blocks of a fixed number of seeds, so what is sent to the
+executors is bounded whatever the size of the benchmark; a document meets only
+items that share a seed with it.
 
 Defined cases: null and empty texts match nothing, and neither do items of
 fewer than ``MIN_WORDS`` words; very long documents are read whole; documents
@@ -43,19 +44,29 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tokens.word_hashes(data, start, end, lower=True), row
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
+def word_weights(item: np.ndarray) -> np.ndarray:
+    """Each word of an item counts 1 in all, however often it occurs there."""
+    _, inverse, count = np.unique(item, return_inverse=True, return_counts=True)
+    return 1 / count[inverse]
+
+
+def align(item: np.ndarray, passage: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, int, int]:
     """Best local alignment: its sum, and the first and last aligned word of the passage.
 
+    weights: what a match of each word of the item counts; others and gaps cost
+    in proportion, words between them that the item lacks at the mean weight.
+
     Row by row; a gap along the passage costs the same for each word, so the
     best way into a cell from its left is a running maximum of values less
     their distance.
     """
     n = len(passage)
+    weights = np.ones(len(item)) if weights is None else weights
     above, origin = np.zeros(n + 1), np.arange(n + 1)
-    best, place, slope = 0.0, (0, -1), -OTHER * np.arange(n + 1)
-    for word in item:
-        diagonal = above[:-1] + np.where(passage == word, MATCH, OTHER)
-        down = above[1:] + OTHER
+    best, place, slope = 0.0, (0, -1), -OTHER * weights.mean() * np.arange(n + 1)
+    for word, weight in zip(item, weights, strict=True):
+        diagonal = above[:-1] + weight * np.where(passage == word, MATCH, OTHER)
+        down = above[1:] + weight * OTHER
         value, source = np.zeros(n + 1), np.arange(n + 1)
         value[1:] = np.maximum(np.maximum(diagonal, down), 0)
         source[1:] = np.where(value[1:] <= 0, source[1:], np.where(diagonal >= down, origin[:-1], origin[1:]))
@@ -74,7 +85,7 @@ class Items:
     """A block of test items with its seeds."""
 
     def __init__(self, ids: list[int], words: list[np.ndarray]):
-        self.ids, self.words = ids, words
+        self.ids, self.words, self.weights = ids, words, [word_weights(w) for w in words]
         seeds = [tokens.ngram_hashes(w, SEED) for w in words]
         item = np.repeat(np.arange(len(ids)), [len(s) for s in seeds])
         offset = np.concatenate([*(np.arange(len(s)) for s in seeds), np.zeros(0, int)]).astype(int)
@@ -122,10 +133,10 @@ class Items:
                 while begins and begins[0] <= last_begin + slack and begins[0] <= begin + 8 * n:
                     last_begin = begins.pop(0)
                 low, high = max(bounds[r], begin - slack), min(bounds[r + 1], last_begin + n + slack)
-                found = align(self.words[i], words[low:high])
+                found = align(self.words[i], words[low:high], self.weights[i])
                 if found[0] > best[0]:
                     best = (found[0], found[1] + low - bounds[r], found[2] + low - bounds[r])
-            out.append((r, i, best[0] / n, int(best[1]), int(best[2])))
+            out.append((r, i, best[0] / self.weights[i].sum(), int(best[1]), int(best[2])))
         return out
 
 
