@@ -50,7 +50,7 @@ def ranked_candidates(rows: DataFrame, column: str, target: str, limit: int = 40
     hits = F.aggregate(parts, F.lit(0), lambda n, s: n + F.contains(value, s).cast("int"))
     rank = F.when(value == wanted, 0).when(F.contains(value, wanted), 1).when(F.contains(wanted, value) & (value != ""), 2).otherwise(3)
     got = rows.withColumns({"match_rank": rank, "seg_hits": hits})
-    return got.where((F.col("match_rank") < 3) | (F.col("seg_hits") > 0)).orderBy("match_rank", F.desc("seg_hits"), F.length(column), column).limit(limit)
+    return got.where((F.col("match_rank") < 3) | (F.col("seg_hits") > 0)).orderBy("match_rank", F.desc("seg_hits"), F.length(column), column, rows.columns[0]).limit(limit)
 
 
 def ladder_score(candidate: Column, target: Column, base: float = 0.7) -> Column:

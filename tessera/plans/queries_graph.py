@@ -51,10 +51,10 @@ def shortest_path(spark, d):
     return path.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), F.size("path").cast("long").alias("n"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM ({IMPORTS}) WHERE line < 2 AND source <> target), r(a, b) AS (SELECT source, target FROM e UNION SELECT r.a, e.target FROM r JOIN e ON e.source = r.b),
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM ({IMPORTS}) WHERE source <> target), r(a, b) AS (SELECT source, target FROM e UNION SELECT r.a, e.target FROM r JOIN e ON e.source = r.b),
 m AS (SELECT x.a AS node, min(x.b) AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1) SELECT node, least(node, other) AS cycle FROM m""")
 def cycle_members(spark, d):
-    return graph.cycle_members(model.imports(spark, d).where("line < 2 AND source <> target"))
+    return graph.cycle_members(model.imports(spark, d).where("source <> target"))
 
 
 @query(f"""WITH {E}, l0 AS (SELECT CAST(c AS BIGINT) AS node FROM (SELECT unnest(range(1, 4)) AS c)), l1 AS (SELECT concat(l0.node, '/', e.target) AS key, CAST(l0.node AS VARCHAR) AS parent_key, e.target AS node, 1 AS depth, e.target = l0.node AS cycle, l0.node AS a FROM l0 JOIN e ON e.source = l0.node),

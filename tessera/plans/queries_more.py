@@ -106,12 +106,11 @@ def constants_with_references(spark, d):
     return t(spark, d, "part").select("p_partkey", "p_name").join(n, "p_partkey", "left").select("p_partkey", "p_name", F.coalesce("n", F.lit(0)).alias("reference_count"))
 
 
-@query(f"SELECT DISTINCT a.source, a.symbol, b.source AS defined_in FROM ({EDGES}) a JOIN ({EDGES}) b ON b.call_line = CAST(a.symbol AS BIGINT) % 500 WHERE a.source < 200")
+@query(f"SELECT DISTINCT a.source, a.symbol, b.target AS defined_in FROM ({EDGES}) a JOIN ({EDGES}) b ON CAST(b.source AS VARCHAR) = a.symbol")
 def name_join(spark, d):
     c = model.calls(spark, d)
-    right = c.select(F.col("source").alias("defined_in"), F.col("call_line").alias("_line"))
-    left = c.where("source < 200").select("source", "symbol", (F.col("symbol").cast("long") % 500).alias("_line"))
-    return left.join(right, "_line").select("source", "symbol", "defined_in").distinct()
+    right = c.select(F.col("source").cast("string").alias("symbol"), F.col("target").alias("defined_in"))
+    return c.select("source", "symbol").join(right, "symbol").select("source", "symbol", "defined_in").distinct()
 
 
 @query(f"SELECT source AS file, symbol, 'reference' AS how FROM ({IMPORTS}) WHERE target = 3 UNION SELECT file_id % 97, 'F', 'text' FROM ({LINES}) WHERE regexp_matches(code_text, '\\bthese\\b')")
@@ -177,7 +176,7 @@ def facet_values(spark, d):
     return t(spark, d, "lineitem").where(~F.col("l_returnflag").isin("A") & F.col("l_linenumber").isin(1, 2)).select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).distinct()
 
 
-@query(f"WITH s AS (SELECT DISTINCT source, target FROM ({IMPORTS}) WHERE source < 20), x AS (SELECT DISTINCT source, target FROM ({IMPORTS}) WHERE line = 3) SELECT * FROM s INTERSECT SELECT * FROM x")
+@query(f"WITH s AS (SELECT DISTINCT source, target FROM ({IMPORTS}) WHERE import_type = '1-URGENT'), x AS (SELECT DISTINCT source, target FROM ({IMPORTS}) WHERE symbol = 'P') SELECT * FROM s INTERSECT SELECT * FROM x")
 def common_edges(spark, d):
     i = model.imports(spark, d)
-    return i.where("source < 20").select("source", "target").intersect(i.where("line = 3").select("source", "target"))
+    return i.where("import_type = '1-URGENT'").select("source", "target").intersect(i.where("symbol = 'P'").select("source", "target"))

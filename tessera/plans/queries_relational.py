@@ -149,10 +149,10 @@ def duplicates_removed(spark, d):
     return relations.first_of_duplicates(t(spark, d, "customer"), ["c_nationkey", "c_mktsegment"], "c_custkey")
 
 
-@query("SELECT o_orderkey, o_orderstatus, s.only_key FROM orders LEFT JOIN (SELECT o_totalprice AS p, min(o_orderkey) AS only_key FROM orders GROUP BY 1 HAVING count(*) = 1) s ON s.p = o_totalprice WHERE o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, o_orderstatus, s.only_key FROM orders LEFT JOIN (SELECT o_totalprice AS p, min(o_orderkey) AS only_key FROM orders GROUP BY 1 HAVING count(*) = 1) s ON s.p = o_totalprice WHERE o_orderstatus <> 'F'")
 def unambiguous_backfill(spark, d):
     o = t(spark, d, "orders")
-    calls = o.where("o_orderkey % 3 = 0").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("symbol"), F.lit(None).cast("long").alias("callee"))
+    calls = o.where("o_orderstatus <> 'F'").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("symbol"), F.lit(None).cast("long").alias("callee"))
     got = relations.unambiguous_backfill(calls, o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("symbol")))
     return got.select("o_orderkey", "o_orderstatus", F.col("callee").alias("only_key"))
 
@@ -201,27 +201,27 @@ def paged_sort(spark, d):
     return o.orderBy(F.col("o_orderstatus") == "P", "o_orderstatus", F.desc_nulls_last("o_totalprice"), "o_orderkey").offset(10).limit(40).select("o_orderkey", "o_orderstatus")
 
 
-@query("""WITH k AS (SELECT o_orderkey AS id, o_totalprice AS score, row_number() OVER (ORDER BY o_orderkey) AS arrival FROM orders WHERE o_orderkey < 60), s AS (SELECT o_orderkey AS id, o_totalprice / 2 AS score, 1000000 + o_orderkey AS arrival FROM orders WHERE o_orderkey BETWEEN 40 AND 90),
-u AS (SELECT id, score, arrival FROM (SELECT id, score, id AS arrival FROM k) UNION ALL SELECT * FROM s) SELECT id, round(arg_max(score, arrival), 4) AS score FROM u GROUP BY id ORDER BY min(arrival) LIMIT 20""")
+@query("""WITH k AS (SELECT o_orderkey AS id, o_totalprice AS score, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS arrival FROM orders QUALIFY arrival <= 20), s AS (SELECT o_orderkey AS id, o_totalprice / 2 AS score, 1000000 + row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS arrival FROM orders WHERE o_orderstatus = 'F' QUALIFY arrival <= 1000010)
+SELECT id, round(arg_max(score, arrival), 4) AS score FROM (SELECT * FROM k UNION ALL SELECT * FROM s) GROUP BY id ORDER BY min(arrival) LIMIT 20""")
 def keyword_and_semantic(spark, d):
     o = t(spark, d, "orders")
-    k = o.where("o_orderkey < 60").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("ord"))
-    s = o.where("o_orderkey BETWEEN 40 AND 90").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 2).alias("score"), F.col("o_orderkey").alias("ord"))
+    first = Window.orderBy(F.desc("o_totalprice"), "o_orderkey")
+    top = lambda rows, n, score: rows.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(n).select(F.col("o_orderkey").alias("id"), score.alias("score"), F.row_number().over(first).alias("ord"))  # noqa: E731  windows over n rows
+    k, s = top(o, 20, F.col("o_totalprice")), top(o.where("o_orderstatus = 'F'"), 10, F.col("o_totalprice") / 2)
     return search.keyword_and_semantic(k, s).select("id", F.round("score", 4).alias("score"))
 
 
-@query("""WITH b AS (SELECT o_orderstatus AS kind, CAST(o_custkey AS VARCHAR) AS path, o_orderpriority AS symbol, min(o_orderkey) AS from_line FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL), a AS (SELECT o_orderstatus AS kind, CAST(o_custkey AS VARCHAR) AS path, o_orderpriority AS symbol, min(o_orderkey) AS to_line FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL)
+@query("""WITH b AS (SELECT o_orderstatus AS kind, CAST(o_custkey AS VARCHAR) AS path, o_orderpriority AS symbol, min(o_orderkey) AS from_line FROM orders WHERE o_totalprice < 200000 GROUP BY ALL), a AS (SELECT o_orderstatus AS kind, CAST(o_custkey AS VARCHAR) AS path, o_orderpriority AS symbol, min(o_orderkey) AS to_line FROM orders WHERE o_totalprice > 100000 GROUP BY ALL)
 SELECT kind, path, symbol, from_line, to_line, CASE WHEN from_line IS NULL THEN 'added' WHEN to_line IS NULL THEN 'removed' ELSE 'moved' END AS change FROM b FULL JOIN a USING (kind, path, symbol) WHERE from_line IS DISTINCT FROM to_line""")
 def snapshot_diff(spark, d):
-    o = t(spark, d, "orders")
-    e = o.select(F.col("o_orderstatus").alias("kind"), F.col("o_custkey").cast("string").alias("path"), F.col("o_orderpriority").alias("symbol"), F.col("o_orderkey").alias("line"))
-    return incremental.snapshot_diff(e.where("line % 2 = 0"), e.where("line % 3 = 0"))
+    e = t(spark, d, "orders").select(F.col("o_orderstatus").alias("kind"), F.col("o_custkey").cast("string").alias("path"), F.col("o_orderpriority").alias("symbol"), F.col("o_orderkey").alias("line"), "o_totalprice")
+    return incremental.snapshot_diff(e.where("o_totalprice < 200000"), e.where("o_totalprice > 100000"))
 
 
-@query(f"""WITH c AS (SELECT DISTINCT source AS file FROM ({IMPORTS}) WHERE line = 7 AND source < 12) SELECT DISTINCT file FROM (SELECT source AS file FROM ({IMPORTS}) WHERE target IN (SELECT file FROM c) UNION ALL SELECT target % 97 FROM ({EDGES}) WHERE source % 97 IN (SELECT file FROM c) AND target IS NOT NULL) WHERE file NOT IN (SELECT file FROM c)""")
+@query(f"""WITH c AS (SELECT DISTINCT source AS file FROM ({IMPORTS}) WHERE line = 7 AND symbol = 'P') SELECT DISTINCT file FROM (SELECT source AS file FROM ({IMPORTS}) WHERE target IN (SELECT file FROM c) UNION ALL SELECT target % 97 FROM ({EDGES}) WHERE source % 97 IN (SELECT file FROM c) AND target IS NOT NULL) WHERE file NOT IN (SELECT file FROM c)""")
 def changed_referrers(spark, d):
     i = model.imports(spark, d)
-    changed = i.where("line = 7 AND source < 12").select(F.col("source").alias("file")).distinct()
+    changed = i.where("line = 7 AND symbol = 'P'").select(F.col("source").alias("file")).distinct()
     usages = model.calls(spark, d).where("target IS NOT NULL").select((F.col("target") % 97).alias("usage_file"), (F.col("source") % 97).alias("definition_file"))
     return incremental.referrers(changed, i.select(F.col("source").alias("importer"), F.col("target").alias("imported")), usages)
 
@@ -238,24 +238,24 @@ def candidate_paths(spark, d):
     return incremental.candidate_paths(e)
 
 
-@query(f"""WITH b AS (SELECT path, content FROM ({FILES}) WHERE id % 10 <> 0), a AS (SELECT path, CASE WHEN id % 7 = 0 THEN concat(content, 'x') ELSE content END AS content FROM ({FILES}) WHERE id % 11 <> 0)
+@query(f"""WITH b AS (SELECT path, content FROM ({FILES}) WHERE language <> 'es'), a AS (SELECT path, CASE WHEN language = 'de' THEN concat(content, 'x') ELSE content END AS content FROM ({FILES}) WHERE language <> 'fr')
 SELECT path, CASE WHEN b.content IS NULL THEN 'added' WHEN a.content IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM b FULL JOIN a USING (path) WHERE b.content IS DISTINCT FROM a.content""")
 def content_changes(spark, d):
     f = model.files(spark, d)
-    after = f.where("id % 11 <> 0").select("path", F.when(F.col("id") % 7 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("content"))
-    return incremental.content_changes(f.where("id % 10 <> 0"), after)
+    after = f.where("language <> 'fr'").select("path", F.when(F.col("language") == "de", F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("content"))
+    return incremental.content_changes(f.where("language <> 'es'"), after)
 
 
-@query("""WITH tg AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0), sr AS (SELECT c_custkey AS k, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 3 = 0) SELECT * FROM tg WHERE k NOT IN (SELECT k FROM sr) UNION ALL SELECT * FROM sr""")
+@query("""WITH tg AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_mktsegment <> 'BUILDING'), sr AS (SELECT c_custkey AS k, c_acctbal + 1 AS v FROM customer WHERE c_acctbal > 5000) SELECT * FROM tg WHERE k NOT IN (SELECT k FROM sr) UNION ALL SELECT * FROM sr""")
 def entity_upsert(spark, d):
-    c = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    return files.upsert(c.where("k % 2 = 0"), c.where("k % 3 = 0").withColumn("v", F.col("v") + 1), ["k"])
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), "c_mktsegment")
+    return files.upsert(c.where("c_mktsegment <> 'BUILDING'").drop("c_mktsegment"), c.where("v > 5000").drop("c_mktsegment").withColumn("v", F.col("v") + 1), ["k"])
 
 
-@query("""WITH tg AS (SELECT DISTINCT o_custkey AS k, CAST(0 AS BIGINT) AS v FROM orders WHERE o_orderkey % 4 = 0), sr AS (SELECT o_custkey AS k, min(o_orderkey) AS v FROM orders GROUP BY 1) SELECT * FROM tg UNION ALL SELECT * FROM sr WHERE k NOT IN (SELECT k FROM tg)""")
+@query("""WITH tg AS (SELECT DISTINCT o_custkey AS k, CAST(0 AS BIGINT) AS v FROM orders WHERE o_orderpriority = '1-URGENT'), sr AS (SELECT o_custkey AS k, min(o_orderkey) AS v FROM orders GROUP BY 1) SELECT * FROM tg UNION ALL SELECT * FROM sr WHERE k NOT IN (SELECT k FROM tg)""")
 def insert_ignore(spark, d):
     o = t(spark, d, "orders")
-    target = o.where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("k"), F.lit(0).cast("long").alias("v")).distinct()
+    target = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k"), F.lit(0).cast("long").alias("v")).distinct()
     return files.insert_ignore(target, o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v")), ["k"], [F.col("v")])
 
 
@@ -270,9 +270,9 @@ def one_hop(spark, d):
     return graph.neighbours(model.imports(spark, d), 5)
 
 
-@query(f"SELECT DISTINCT path, line FROM ({LINES}) WHERE regexp_matches(code_text, '\\bthe\\b') AND file_id < 40")
+@query(f"SELECT DISTINCT path, line FROM ({LINES}) WHERE regexp_matches(code_text, '\\bthe\\b')")
 def usages_in_lines(spark, d):
-    return relations.usages_in_lines(model.files(spark, d).where("id < 40"), "the").select("path", "line").distinct()
+    return relations.usages_in_lines(model.files(spark, d), "the").select("path", "line").distinct()
 
 
 @query("SELECT n_regionkey, array_to_string(list_sort(list(DISTINCT n_name)), ',') AS names, count(*) AS n FROM nation GROUP BY 1")

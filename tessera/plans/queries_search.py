@@ -30,7 +30,7 @@ def vector_search_by_table(spark, d):
     return s.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("similarity"), "vec_id"))).where("rn <= 3").drop("rn")
 
 
-RESULTS = "SELECT CAST(l_suppkey % 40 AS VARCHAR) AS file_path, l_linenumber AS line_start, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) AS arrival, CASE l_returnflag WHEN 'A' THEN 'vector' WHEN 'N' THEN 'exact' ELSE 'fuzzy' END AS strategy, l_discount * 5 AS score FROM lineitem WHERE l_orderkey < 60"
+RESULTS = "SELECT CAST(l_orderkey AS VARCHAR) AS file_path, l_linenumber % 3 AS line_start, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) AS arrival, CASE l_returnflag WHEN 'A' THEN 'vector' WHEN 'N' THEN 'exact' ELSE 'fuzzy' END AS strategy, l_discount * 5 AS score FROM lineitem"
 
 
 @query(f"""WITH r AS (SELECT file_path, line_start, arrival, score * CASE strategy WHEN 'vector' THEN 1.0 WHEN 'exact' THEN 0.9 ELSE 0.7 END AS w FROM ({RESULTS})), l AS (SELECT file_path, line_start, list(w ORDER BY arrival) AS s FROM r GROUP BY 1, 2)
@@ -38,16 +38,16 @@ SELECT file_path, line_start, round(list_reduce(s, lambda a, b: greatest(a, b) +
 def fused_scores(spark, d):
     from pyspark.sql import Window
 
-    li = t(spark, d, "lineitem").where("l_orderkey < 60")  # a search's bounded result lists
-    r = li.select((F.col("l_suppkey") % 40).cast("string").alias("file_path"), F.col("l_linenumber").alias("line_start"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("arrival"), F.when(F.col("l_returnflag") == "A", "vector").when(F.col("l_returnflag") == "N", "exact").otherwise("fuzzy").alias("strategy"), (F.col("l_discount") * 5).alias("score"))
+    li = t(spark, d, "lineitem")
+    r = li.select(F.col("l_orderkey").cast("string").alias("file_path"), (F.col("l_linenumber") % 3).alias("line_start"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("arrival"), F.when(F.col("l_returnflag") == "A", "vector").when(F.col("l_returnflag") == "N", "exact").otherwise("fuzzy").alias("strategy"), (F.col("l_discount") * 5).alias("score"))
     r = r.withColumn("weighted", F.col("score") * search.strategy_weight(F.col("strategy"), "general", 0.5))
     return search.fuse(r).select("file_path", "line_start", "score")
 
 
 @query(f"SELECT file_path, line_start, arg_min(strategy, (-score, arrival)) AS strategy, round(max(score), 6) AS score FROM ({RESULTS}) GROUP BY 1, 2")
 def best_per_place(spark, d):
-    li = t(spark, d, "lineitem").where("l_orderkey < 60")
-    r = li.select((F.col("l_suppkey") % 40).cast("string").alias("file_path"), F.col("l_linenumber").alias("line_start"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("arrival"), F.when(F.col("l_returnflag") == "A", "vector").when(F.col("l_returnflag") == "N", "exact").otherwise("fuzzy").alias("strategy"), (F.col("l_discount") * 5).alias("score"))
+    li = t(spark, d, "lineitem")
+    r = li.select(F.col("l_orderkey").cast("string").alias("file_path"), (F.col("l_linenumber") % 3).alias("line_start"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("arrival"), F.when(F.col("l_returnflag") == "A", "vector").when(F.col("l_returnflag") == "N", "exact").otherwise("fuzzy").alias("strategy"), (F.col("l_discount") * 5).alias("score"))
     return search.best_per_place(r).select("file_path", "line_start", "strategy", F.round("score", 6).alias("score"))
 
 
@@ -65,16 +65,16 @@ def row_scores(spark, d):
     return t(spark, d, "embeddings").select("vec_id", F.round(search.row_score(F.when(v % 3 == 0, 0.0).when(v % 3 == 1, v / 1000), F.when(v % 2 == 0, 0.25)), 6).alias("score"))
 
 
-@query("""WITH a AS (SELECT path AS file_path, CAST(1.0 / (1 + id) AS DOUBLE) AS score FROM (SELECT doc_id AS id, concat('f', doc_id) AS path FROM documents WHERE doc_id < 8)), e AS (SELECT concat('f', o_custkey % 8) AS file_path, o_orderpriority AS symbol, concat('g', o_orderkey % 30) AS target_path FROM orders WHERE o_orderkey < 400),
-i AS (SELECT e.*, a.score AS s, row_number() OVER (PARTITION BY e.file_path ORDER BY symbol, target_path) AS rn FROM e JOIN a USING (file_path)), df AS (SELECT DISTINCT concat('g', l_orderkey % 30) AS file_path, o_orderpriority AS symbol FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey < 400)
+@query("""WITH a AS (SELECT concat('f', doc_id) AS file_path, CAST(1.0 / (1 + doc_id) AS DOUBLE) AS score FROM documents ORDER BY score DESC, file_path LIMIT 8), e AS (SELECT concat('f', o_custkey % 50) AS file_path, o_orderpriority AS symbol, concat('g', o_orderkey % 30) AS target_path FROM orders),
+i AS (SELECT e.*, a.score AS s, row_number() OVER (PARTITION BY e.file_path ORDER BY symbol, target_path) AS rn FROM e JOIN a USING (file_path)), df AS (SELECT DISTINCT concat('g', l_orderkey % 30) AS file_path, o_orderpriority AS symbol FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
 SELECT df.file_path, df.symbol, round(greatest(max(s) * 0.6, 0.01), 6) AS score FROM i JOIN df ON df.file_path = i.target_path AND df.symbol = i.symbol WHERE rn <= 12 GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 6""")
 def dependency_expansion(spark, d):
-    anchors = t(spark, d, "documents").where("doc_id < 8").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_path"), (1.0 / (1 + F.col("doc_id"))).alias("score"))
-    o = t(spark, d, "orders").where("o_orderkey < 400")
+    found = t(spark, d, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_path"), (1.0 / (1 + F.col("doc_id"))).alias("score"), F.lit(1).alias("line_start"))
+    o = t(spark, d, "orders")
     named = lambda letter, key, n: F.concat(F.lit(letter), (F.col(key) % n).cast("string"))
-    imports = o.select(named("f", "o_custkey", 8).alias("file_path"), F.col("o_orderpriority").alias("symbol"), named("g", "o_orderkey", 30).alias("target_path"))
+    imports = o.select(named("f", "o_custkey", 50).alias("file_path"), F.col("o_orderpriority").alias("symbol"), named("g", "o_orderkey", 30).alias("target_path"))
     definitions = t(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(named("g", "l_orderkey", 30).alias("file_path"), F.col("o_orderpriority").alias("symbol")).distinct().withColumn("line_start", F.lit(1))
-    return search.expanded(anchors, imports, definitions, 20).select("file_path", "symbol", "score")
+    return search.expanded(search.anchors(found), imports, definitions, 20).select("file_path", "symbol", "score")
 
 
 def hybrid_search(spark, d):

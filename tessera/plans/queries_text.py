@@ -37,10 +37,9 @@ def search_terms(spark, d):
     return t(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(text.search_terms(F.col("text"))), " ").alias("terms"))
 
 
-@query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 12), chr(10)) AS context FROM documents WHERE len(string_split(text, chr(10))) >= 2")
+@query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 12), chr(10)) AS context FROM documents")
 def context_windows(spark, d):
-    docs = t(spark, d, "documents").where(F.size(F.split("text", "\n")) >= 2)
-    return docs.select("doc_id", text.context_lines(F.col("text"), F.lit(7), F.lit(7)).alias("context"))
+    return t(spark, d, "documents").select("doc_id", text.context_lines(F.col("text"), F.lit(7), F.lit(7)).alias("context"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\\*.*?\\*/', '', 'g'), '//[^\\n]*', '', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents")
