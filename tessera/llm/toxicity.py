@@ -4,10 +4,11 @@ Voters look at a document's letter runs: two hand-written lexicons, lexicons of
 words and of 4- and 5-byte stems mined from one half of the labelled sample
 that vote on the other half, patterns (insult beside a second person, shouting),
 a voter for texts without any suspicious token, and the given label.  The label
-model is a mixture of two classes over vote patterns: EM estimates each voter's
-accuracy, then voters that stay correlated within a class are joined to cliques
-with one table of joint votes, and EM runs again.  Its posterior, not the label,
-trains a logistic regression over the mined tokens, which scores any text.
+model is a mixture of two classes over vote patterns: voters that are
+correlated within the majority's classes are joined to cliques with one table
+of joint votes, and EM estimates these tables and with them each voter's
+accuracy.  Its posterior, not the label, trains a logistic regression over the
+mined tokens, which scores any text.
 
 Only a bounded sample of labelled rows outside the held-out fold is learned
 from; scoring reads whole texts and looks every letter run up.
