@@ -100,6 +100,14 @@ def _first_of_each(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray,
     return keys[new], [c[order] for c in columns], new
 
 
+def _by_row(keys: np.ndarray, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Where the first of each (row, key) stands, and the values of each as a list: a passage that a text repeats is one row."""
+    order = np.lexsort((keys, rows))
+    k, r = keys[order], rows[order]
+    new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
+    return order[new], pa.ListArray.from_arrays(pa.array(np.append(new, len(k)).astype(np.int32)), pa.array(values[order]))
+
+
 def repeated_anchors(documents: DataFrame, length: int) -> DataFrame:
     """h: the first ``COUNT_BITS`` bits of anchors that more than one row has (and of a few others, by collision)."""
 
@@ -137,7 +145,7 @@ def nodes(documents: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
 
 
 def runs_under(documents: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
-    """anchor, doc_id, run (first word and number of passages in one number) under wanted anchors."""
+    """anchor, doc_id, runs (first word and number of passages in one number each) under wanted anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.row_slices(batches):
@@ -146,14 +154,15 @@ def runs_under(documents: DataFrame, length: int, wanted: np.ndarray) -> DataFra
             use = shared.in_bitmap(wanted, p.anchor[first])
             first, count = first[use], count[use]
             if len(first):
-                columns = [_long(p.anchor[first]), batch.column("doc_id").take(pa.array(p.row[first])), pa.array(p.places(p.at[first]) << 32 | count)]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "run"])
+                one, runs = _by_row(p.anchor[first], p.row[first], p.places(p.at[first]) << 32 | count)
+                columns = [_long(p.anchor[first][one]), batch.column("doc_id").take(pa.array(p.row[first][one])), runs]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "runs"])
 
-    return _known(documents).mapInArrow(run, "anchor long, doc_id long, run long")
+    return _known(documents).mapInArrow(run, "anchor long, doc_id long, runs array<long>")
 
 
 def full_prefixes(documents: DataFrame, length: int, wanted: np.ndarray, places: bool) -> DataFrame:
-    """h0, h1, doc_id (and run): single passages, by 96 bits of two hashes of all their words, under wanted anchors."""
+    """h0, h1, doc_id (and runs): single passages, by 96 bits of two hashes of all their words, under wanted anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.row_slices(batches):
@@ -163,11 +172,12 @@ def full_prefixes(documents: DataFrame, length: int, wanted: np.ndarray, places:
                 at = p.at[use]
                 other = tokens.word_hashes(p.data, p.start, p.end, lane=1)
                 h0, h1 = (tokens.ngram_hashes(w, length, lane)[at] for lane, w in enumerate((p.words, other)))
-                columns = [_long(h0), pa.array((h1 >> U64(32)).astype(np.uint32).view(np.int32)), batch.column("doc_id").take(pa.array(p.row[use])), pa.array(p.places(at) << 32 | 1)]
-                names = ["h0", "h1", "doc_id", "run"]
+                one, runs = _by_row(h0, p.row[use], p.places(at) << 32 | 1)
+                columns = [_long(h0[one]), pa.array((h1[one] >> U64(32)).astype(np.uint32).view(np.int32)), batch.column("doc_id").take(pa.array(p.row[use][one])), runs]
+                names = ["h0", "h1", "doc_id", "runs"]
                 yield pa.RecordBatch.from_arrays(columns[: 3 + places], names=names[: 3 + places])
 
-    return _known(documents).mapInArrow(run, "h0 long, h1 int, doc_id long" + ", run long" * places)
+    return _known(documents).mapInArrow(run, "h0 long, h1 int, doc_id long" + ", runs array<long>" * places)
 
 
 def repeats(documents: DataFrame, length: int = 13) -> DataFrame:
@@ -177,11 +187,11 @@ def repeats(documents: DataFrame, length: int = 13) -> DataFrame:
     found = shared.cut(found)
     settled, forks = (found.where(c).select("anchor", "low") for c in ("NOT fork", "fork"))
     whole = runs_under(documents, length, shared.bitmap(settled.select("anchor"), ANCHOR_BITS))
-    whole = whole.join(settled, "anchor").where("doc_id > low").select("doc_id", "run")
+    whole = whole.join(settled, "anchor").where("doc_id > low").select("doc_id", "runs")
     extended = shared.bitmap(forks.select("anchor"), ANCHOR_BITS)
     least = full_prefixes(documents, length, extended, False).groupBy("h0", "h1").agg(F.min("doc_id").alias("low"))
-    single = full_prefixes(documents, length, extended, True).join(least, ["h0", "h1"]).where("doc_id > low").select("doc_id", "run")
-    return whole.union(single).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    single = full_prefixes(documents, length, extended, True).join(least, ["h0", "h1"]).where("doc_id > low").select("doc_id", "runs")
+    return whole.union(single).groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def kept_words(words: list[bytes], runs: list[int], length: int) -> list[bytes]:
