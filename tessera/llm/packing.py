@@ -28,7 +28,7 @@ from tessera.llm import shared, tokens
 
 #: Ranks of each length are dealt to so many buckets, so that a common length is no single group.
 RANK_BUCKETS = 1024
-_ENCODERS: dict = {}
+_ENCODERS = tokens.Cache()
 
 
 def default_ranks() -> str:

@@ -23,7 +23,16 @@ BATCH_ROWS = 512
 U64 = np.uint64
 MUL = {0: 0x9E3779B97F4A7C15, 1: 0xD1342543DE82EF95}
 NGRAM = {0: 0xF1357AEA2E62A9C5, 1: 0xAEF17502108EF2D9}
-_POWERS: dict = {}
+
+
+class Cache(dict):
+    """A dict that is pickled empty: functions that use it are sent to executors, what the driver put in is not."""
+
+    def __reduce__(self) -> tuple:
+        return dict, ()
+
+
+_POWERS = Cache()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
