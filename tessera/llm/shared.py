@@ -40,8 +40,8 @@ def texts(documents: DataFrame, *more: str) -> DataFrame:
 def bitmap(values: DataFrame, bits: int) -> np.ndarray:
     """A bit for each residue of the 64-bit hashes in the only column, as bytes of 8 bits, lowest first.
 
-    Its size depends on ``bits`` alone: 2**bits / 8 bytes, gathered as at most
-    2**bits / 64 words.  It is a filter before a shuffle; what passes wrongly
+    Its size is at most 2**bits / 8 bytes (gathered as at most 2**bits / 64
+    words), and about 32 bits for each value where they are few.  It is a filter before a shuffle; what passes wrongly
     is dropped by the join that follows, so a full bitmap costs time only.
     """
     bit = F.col(values.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))
@@ -49,7 +49,11 @@ def bitmap(values: DataFrame, bits: int) -> np.ndarray:
     got = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63L AS int))")).alias("_word")).toArrow()
     out = np.zeros(max(1, 1 << (bits - 6)), np.int64)
     out[got.column("_at").to_numpy()] = got.column("_word").to_numpy()
-    return out.view(np.uint8)
+    out = out.view(np.uint8)
+    held = 32 * int(np.bitwise_count(out).sum(dtype=np.int64))
+    while len(out) > 1024 and 8 * len(out) > 2 * held:  # few values need a smaller map only: fewer of the low bits
+        out = out[: len(out) // 2] | out[len(out) // 2 :]
+    return np.ascontiguousarray(out)
 
 
 def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
