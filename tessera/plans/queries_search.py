@@ -30,7 +30,7 @@ def vector_search_by_table(spark, d):
     return s.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("similarity"), "vec_id"))).where("rn <= 3").drop("rn")
 
 
-RESULTS = "SELECT CAST(l_orderkey AS VARCHAR) AS file_path, l_linenumber % 3 AS line_start, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) AS arrival, CASE l_returnflag WHEN 'A' THEN 'vector' WHEN 'N' THEN 'exact' ELSE 'fuzzy' END AS strategy, l_discount * 5 AS score FROM lineitem"
+RESULTS = "SELECT CAST(l_orderkey AS VARCHAR) AS file_path, l_linenumber % 3 AS line_start, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_returnflag) AS arrival, CASE l_returnflag WHEN 'A' THEN 'vector' WHEN 'N' THEN 'exact' ELSE 'fuzzy' END AS strategy, l_discount * 5 AS score FROM lineitem"
 
 
 @query(f"""WITH r AS (SELECT file_path, line_start, arrival, score * CASE strategy WHEN 'vector' THEN 1.0 WHEN 'exact' THEN 0.9 ELSE 0.7 END AS w FROM ({RESULTS})), l AS (SELECT file_path, line_start, list(w ORDER BY arrival) AS s FROM r GROUP BY 1, 2)
@@ -39,7 +39,7 @@ def fused_scores(spark, d):
     from pyspark.sql import Window
 
     li = t(spark, d, "lineitem")
-    r = li.select(F.col("l_orderkey").cast("string").alias("file_path"), (F.col("l_linenumber") % 3).alias("line_start"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("arrival"), F.when(F.col("l_returnflag") == "A", "vector").when(F.col("l_returnflag") == "N", "exact").otherwise("fuzzy").alias("strategy"), (F.col("l_discount") * 5).alias("score"))
+    r = li.select(F.col("l_orderkey").cast("string").alias("file_path"), (F.col("l_linenumber") % 3).alias("line_start"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag").alias("arrival"), F.when(F.col("l_returnflag") == "A", "vector").when(F.col("l_returnflag") == "N", "exact").otherwise("fuzzy").alias("strategy"), (F.col("l_discount") * 5).alias("score"))
     r = r.withColumn("weighted", F.col("score") * search.strategy_weight(F.col("strategy"), "general", 0.5))
     return search.fuse(r).select("file_path", "line_start", "score")
 
@@ -47,7 +47,7 @@ def fused_scores(spark, d):
 @query(f"SELECT file_path, line_start, arg_min(strategy, (-score, arrival)) AS strategy, round(max(score), 6) AS score FROM ({RESULTS}) GROUP BY 1, 2")
 def best_per_place(spark, d):
     li = t(spark, d, "lineitem")
-    r = li.select(F.col("l_orderkey").cast("string").alias("file_path"), (F.col("l_linenumber") % 3).alias("line_start"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("arrival"), F.when(F.col("l_returnflag") == "A", "vector").when(F.col("l_returnflag") == "N", "exact").otherwise("fuzzy").alias("strategy"), (F.col("l_discount") * 5).alias("score"))
+    r = li.select(F.col("l_orderkey").cast("string").alias("file_path"), (F.col("l_linenumber") % 3).alias("line_start"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag").alias("arrival"), F.when(F.col("l_returnflag") == "A", "vector").when(F.col("l_returnflag") == "N", "exact").otherwise("fuzzy").alias("strategy"), (F.col("l_discount") * 5).alias("score"))
     return search.best_per_place(r).select("file_path", "line_start", "strategy", F.round("score", 6).alias("score"))
 
 
