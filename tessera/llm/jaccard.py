@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm import shared, tokens
 
 #: Longest posting list that is verified pair by pair.
-SMALL = 64
+SMALL = 58
 #: Members from which a group's centre is taken, and steps before lists are verified pair by pair whatever their length.
 SAMPLE, STEPS = 25, 12
 #: Bytes of centres up to which they are broadcast; beyond, they are joined by shuffles.
@@ -49,7 +49,7 @@ BROADCAST = 16 << 20
 #: Nodes up to which a list of them is broadcast (some MB).
 FEW = 1 << 17
 #: Nodes (about) from which a shingle is frequent, and bits of the map of frequent ones.
-FREQUENT_FROM, FREQUENT_BITS = 12, 26
+FREQUENT_FROM, FREQUENT_BITS = 8, 26
 #: Buckets of the counts that bound an overlap from above.
 BUCKETS = 64
 #: Bits of a shingle's hash; the rest of 64 holds a row's number within a slice and a class.
@@ -349,15 +349,16 @@ def close_links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """The pairs within each list ``l``, once, that may be similar by their sizes."""
-    pairs = lists.select(F.posexplode("l").alias("i", "x"), "l").select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y"))
-    near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    return pairs.where(near).select(F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb")).distinct()
+    """The pairs within each list ``l`` (ordered by set size), once, that may be similar by their sizes."""
+    pairs = lists.select(F.posexplode("l").alias("i", "x"), "l").select("x", F.explode(F.expr(f"filter(slice(l, i + 2, size(l)), y -> y.n * {percent} <= x.n * 100)")).alias("y"))
+    x, y = (F.struct(F.col(f"{s}.a"), F.col(f"{s}.b")) for s in "xy")
+    pairs = pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    return pairs.select(F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb")).distinct()
 
 
 def links(postings: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """Enough links xa, xb, ya, yb that their components are those of all links."""
-    found, node, step, held = [], F.struct("a", "b", "n"), 0, None
+    found, node, step, held = [], F.struct("n", "a", "b"), 0, None
     while True:
         sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
         sized = shared.cut(postings.join(sizes.where("_size > 1"), "key"))
