@@ -1,20 +1,18 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are the n-grams, up to two words, that are frequent enough in the
+States are the n-grams, up to two words, that occur ``LEAST`` times in the
 training texts; an arc adds a word, a failure arc drops the oldest one at the
-price of its backoff weight.  Words are counted over all training documents;
-n-grams are counted where both their parts were kept, and kept from a share
-``SHARE`` of all training tokens on (two occurrences at least).  At most
-1 / SHARE n-grams of each order can have such a share, which bounds the
-automaton that is sent to the executors, whatever the corpus.  Probabilities
-are absolutely discounted counts, backoff weights make each state's sum 1, and
-the empty state has add-one unigrams over all words.
-
-After a token the automaton's state is the longest kept n-gram that ends there,
-so one pass over a slice of texts finds all its states, arcs and failures
-together.  Words below the share have no arc; their unigram counts, the only
-part that grows with the vocabulary, come by a join of each document's rare
-words with the word counts.
+price of its backoff weight.  The threshold is a fixed count, so the model grows
+with the corpus.  Probabilities are absolutely discounted counts, backoff
+weights make each state's sum 1, and the empty state has add-one unigrams over
+all words.
+
+The walk through the automaton adds up to a sum over a text's n-grams: every
+kept n-gram has one value, which holds its probability, less what its shorter
+forms gave, and its own backoff weight.  So the model is a table of keys and
+values.  The values of n-grams with a share of ``SHARE`` of the training tokens
+(at most 1 / SHARE of each order) are sent to the executors, where they save
+shuffling; all others come by a join with the texts' n-grams.
 
 Defined cases: null counts as empty, and an empty text is the end token alone;
 very long texts are read whole; repeated rows each give a row; rows without an
@@ -25,6 +23,8 @@ are ignored.
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm import sampling, shared, tokens
 
-SHARE, DISCOUNT, ORDER = 2e-6, 0.5, 3
+LEAST, DISCOUNT, ORDER = 2, 0.5, 3
+#: N-grams from this share of the tokens on are looked up without a join.
+SHARE = 2e-6
+#: log2 of the bits of the filters of n-grams.
+BITS = 27
 #: Tokens that a task counts together.
 BLOCK = 1 << 22
 U64 = np.uint64
@@ -61,7 +65,7 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """Kept n-grams by order: sorted keys, log10 probabilities and, where they are states, log10 backoff weights."""
+    """Token and word numbers of a model; in memory, its n-grams by order: sorted keys, log10 probabilities and, where they are states, log10 backoff weights."""
 
     def __init__(self, total: int, distinct: int):
         self.total, self.distinct = total, distinct
@@ -151,90 +155,167 @@ def _count(documents: DataFrame, keys_of, schema: str = "key long, n long") -> D
     return documents.mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _kept(counted: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    got = counted.where(F.col("n") >= least).toArrow()
-    return got.column("key").to_numpy().view(U64), got.column("n").to_numpy()
+def _grams(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Last tokens and keys of the n-grams that lie in one row."""
+    at = tokens.ngram_rows(rows, n)
+    return at + n - 1, (tokens.ngram_hashes(words, n) if n > 1 else words)[at]
 
 
-def _parts(documents: DataFrame, automaton: Automaton) -> tuple[np.ndarray, np.ndarray]:
-    """Of each kept n-gram of the highest order, the places of its context and of its shorter form."""
-    n = len(automaton.keys)
+class Store:
+    """Tables that are written once, in a folder of the shared checkpoint folder."""
+
+    def __init__(self, spark):
+        self.spark = shared.prepare(spark)
+        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lm-{uuid.uuid4().hex}"
+
+    def put(self, frame: DataFrame, name: str) -> DataFrame:
+        """Writes a frame, and has Spark remove the shuffle files that nothing refers to any more."""
+        frame.write.parquet(f"{self.folder}/{name}")
+        schema = frame.schema
+        del frame
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes some tables, or all."""
+        context = self.spark.sparkContext
+        for name in names or ("",):
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _parts(documents: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
+    """key, context, shorter of the n-grams that pass a filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(automaton.keys[-1]), bool)
+        held, size = [], 0
+
+        def report() -> pa.RecordBatch:
+            key, context, shorter = (np.concatenate([np.zeros(0, U64), *x]) for x in (zip(*held, strict=True) if held else ((), (), ())))
+            key, first = np.unique(key, return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, context[first], shorter[first])], names=["key", "context", "shorter"])
+
         for batch in tokens.row_slices(batches):
-            place = automaton.places(*sequence(batch.column("text")))
-            at = np.flatnonzero(place[n - 1] >= 0)
-            gram, first = np.unique(place[n - 1][at], return_index=True)
-            new = ~seen[gram]
-            gram, at = gram[new], at[first[new]]
-            seen[gram] = True
-            if len(gram):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, place[n - 2][at - 1], place[n - 2][at])], names=["gram", "context", "shorter"])
-
-    rows = documents.mapInArrow(run, "gram long, context long, shorter long").groupBy("gram").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"))
-    got = rows.toArrow().sort_by("gram")
-    return got.column("context").to_numpy(), got.column("shorter").to_numpy()
-
-
-def train(documents: DataFrame, share: float = SHARE, order: int = ORDER) -> tuple[Automaton, DataFrame]:
-    """The automaton of some documents, and key, n of all their words."""
-    documents = shared.texts(documents)
-    words = shared.cut(_count(documents, lambda batch: sequence(batch.column("text"))[0]))
+            words, rows = sequence(batch.column("text"))
+            at, key = _grams(words, rows, n)
+            lower = tokens.ngram_hashes(words, n - 1) if n > 2 else words
+            use = np.flatnonzero(shared.in_bitmap(wanted, key))
+            end = at[use] - (n - 2)  # where the shorter form begins
+            held.append((key[use], lower[end - 1], lower[end]))
+            size += len(use)
+            if size >= BLOCK:
+                yield report()
+                held, size = [], 0
+        yield report()
+
+    return documents.mapInArrow(run, "key long, context long, shorter long").groupBy("key").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"))
+
+
+def train(documents: DataFrame, share: float = 0.0, order: int = ORDER, store: Store | None = None) -> tuple[Automaton, DataFrame]:
+    """Token and word numbers, and the model: key, n, known, base, value of all words and kept n-grams.
+
+    share: keeps n-grams from a share of the tokens on only, where a smaller model is wanted.
+    """
+    documents, store = shared.texts(documents), store or Store(documents.sparkSession)
+    words = store.put(_count(documents, lambda batch: sequence(batch.column("text"))[0]), "words")
     row = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     automaton = Automaton(row["n"] or 0, row["v"])
-    least = automaton.least = max(2, int(np.ceil(share * automaton.total)))
-    parents = []
-    automaton.add(*_kept(words, least))
+    least = automaton.least = max(LEAST, int(np.ceil(share * automaton.total)))
+    floor = lambda x: F.log10(F.greatest(F.lit(1.0) - x, F.lit(1e-9)))
+    level = words.where(F.col("n") >= least).select("key", "n", ((F.col("n") + 1.0) / float(automaton.total + automaton.distinct + 1)).alias("p"))
+    levels, backs = [], []
     for n in range(2, order + 1):
+        wanted = shared.bitmap(level.select("key"), BITS)
 
-        def grams(batch: pa.RecordBatch, n: int = n) -> np.ndarray:
+        def grams(batch: pa.RecordBatch, n: int = n, wanted: np.ndarray = wanted) -> np.ndarray:
             own, rows = sequence(batch.column("text"))
-            place = automaton.places(own, rows)[-1]
-            key, inside = automaton.grams(own, rows, n)
-            return key[inside & (place >= 0) & (np.r_[-1, place[:-1]] >= 0)]
-
-        automaton.add(*_kept(_count(documents, grams), least))
-        parents.append(_parts(documents, automaton))
-    automaton.weigh(parents)
-    return automaton, words
-
-
-def score(documents: DataFrame, automaton: Automaton, words: DataFrame) -> DataFrame:
-    """doc_id, text's key, n_tokens, n_known, base_score, score of every document."""
+            at, key = _grams(own, rows, n)
+            kept = shared.in_bitmap(wanted, tokens.ngram_hashes(own, n - 1) if n > 2 else own)
+            end = at - (n - 2)
+            return key[kept[end - 1] & kept[end]]
+
+        counted = store.put(_count(documents, grams).where(F.col("n") >= least), "counted")
+        rows = _parts(documents, n, shared.bitmap(counted.select("key"), BITS)).join(counted, "key")
+        rows = rows.join(level.select(F.col("key").alias("context"), F.col("n").alias("_n")), "context")
+        rows = rows.join(level.select(F.col("key").alias("shorter"), F.col("p").alias("lower")), "shorter")
+        level = store.put(rows.select("key", "context", "n", ((F.col("n") - DISCOUNT) / F.col("_n")).alias("p"), "lower"), f"level-{n}")
+        store.drop("counted")
+        levels.append(level)
+        backs.append(store.put(level.groupBy(F.col("context").alias("key")).agg((floor(F.sum("p")) - floor(F.sum("lower"))).alias("back")), f"back-{n}"))
+    zero, none = F.lit(0.0), F.lit(0)
+    own = lambda frame, i: frame.join(backs[i], "key", "left") if i < len(backs) else frame.withColumn("back", zero)
+    model = own(words, 0).select("key", "n", F.lit(1).alias("known"), F.log10(F.col("n") + 1.0).alias("base"), F.coalesce("back", zero).alias("value"))
+    for i, rows in enumerate(levels):
+        rows = own(rows, i + 1).join(backs[i].select(F.col("key").alias("context"), F.col("back").alias("_back")), "context")
+        model = model.union(rows.select("key", "n", none, zero, F.log10("p") - F.log10("lower") - F.col("_back") + F.coalesce("back", zero)))
+    model = store.put(model, "model")
+    store.drop("words", *(f"{kind}-{n}" for n in range(2, order + 1) for kind in ("level", "back")))
+    return automaton, model
+
+
+def score(documents: DataFrame, automaton: Automaton, model: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every document."""
     extra = [c for c in documents.columns if c not in ("doc_id", "text")]
+    bound = max(automaton.least, int(np.ceil(SHARE * automaton.total)))
+    often = model.where(F.col("n") >= bound).toArrow().combine_chunks()
+    keys = often.column("key").to_numpy().view(U64)
+    by = np.argsort(keys)
+    keys = keys[by]
+    gains = [often.column(c).to_numpy()[by] for c in ("known", "base", "value")]
+    seldom = model.where(F.col("n") < bound)
+    wanted = shared.bitmap(seldom.select("key"), BITS)
+    unknown = np.log10(automaton.total + automaton.distinct + 1)
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.row_slices(batches):
             own, rows = sequence(batch.column("text"))
-            log_p, count, known = automaton.score(own, rows)
             n = batch.num_rows
-            total = np.bincount(rows, minlength=n)
-            base = np.bincount(rows, weights=np.log10(count + 1), minlength=n) - total * np.log10(automaton.total + automaton.distinct + 1)
-            columns = [batch.column("doc_id"), pa.array(_text_key(own, rows, n)), *(batch.column(c) for c in extra), pa.array(total), pa.array(np.bincount(rows[known], minlength=n)), pa.array(base), pa.array(np.bincount(rows, weights=log_p, minlength=n))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", *extra, "n_tokens", "n_known", "base_score", "score"])
+            total, sums = np.bincount(rows, minlength=n), [np.zeros(n) for _ in gains]
+            for k in range(1, ORDER + 1):
+                at, key = _grams(own, rows, k)
+                place = find(keys, key)
+                hit = np.flatnonzero(place >= 0)
+                for out, gain in zip(sums, gains, strict=True):
+                    out += np.bincount(rows[at[hit]], weights=gain[place[hit]], minlength=n)
+            known, base, value = sums
+            base -= total * unknown
+            columns = [batch.column("doc_id"), pa.array(_doc_key(batch, own, rows)), *(batch.column(c) for c in extra), pa.array(total), pa.array(known.astype(np.int64)), pa.array(base), pa.array(base + value)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc_key", *extra, "n_tokens", "n_known", "base_score", "score"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.row_slices(batches):
             own, rows = sequence(batch.column("text"))
-            at = np.flatnonzero(find(automaton.keys[0], own) < 0)
-            order = at[np.lexsort((own[at], rows[at]))]
-            value, row = own[order], rows[order]
+            held = []
+            for k in range(1, ORDER + 1):
+                at, key = _grams(own, rows, k)
+                use = np.flatnonzero(shared.in_bitmap(wanted, key))
+                use = use[find(keys, key[use]) < 0]
+                held.append((key[use], rows[at[use]]))
+            value, row = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((value, row))
+            value, row = value[order], row[order]
             if len(value):
                 new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (row[1:] != row[:-1])])
-                columns = [pa.array(value[new].view(np.int64)), batch.column("doc_id").take(pa.array(row[new])), pa.array(_text_key(own, rows, batch.num_rows)[row[new]]), pa.array(np.diff(np.append(new, len(value))).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "text_key", "times"])
+                columns = [pa.array(value[new].view(np.int64)), pa.array(_doc_key(batch, own, rows)[row[new]]), pa.array(np.diff(np.append(new, len(value))).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_key", "times"])
 
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in extra)
-    rows = documents.mapInArrow(light, f"doc_id long, text_key long, {kinds + ', ' if kinds else ''}n_tokens long, n_known long, base_score double, score double")
-    tail = documents.select("doc_id", "text").mapInArrow(rare, "key long, doc_id long, text_key long, times int")
-    tail = tail.join(words.where(F.col("n") < F.lit(automaton.least)), "key")
-    tail = tail.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("_sum"))
-    rows = rows.join(tail, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left")
-    copies = F.count(F.lit(1)).over(Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "text_key"))  # each copy's rare words were counted for all of them
-    rows = rows.withColumn("_copies", copies)
-    known, added = (F.coalesce(F.col(c) / F.col("_copies"), F.lit(0.0)) for c in ("_known", "_sum"))
-    return rows.select("doc_id", *extra, "n_tokens", (F.col("n_known") + known.cast("long")).alias("n_known"), (F.col("base_score") + added).alias("base_score"), (F.col("score") + added).alias("score"))
+    rows = documents.mapInArrow(light, f"doc_id long, doc_key long, {kinds + ', ' if kinds else ''}n_tokens long, n_known long, base_score double, score double")
+    tail = documents.select("doc_id", "text").mapInArrow(rare, "key long, doc_key long, times int")
+    tail = tail.join(seldom.select("key", "known", "base", "value"), "key")
+    times = F.col("times")
+    tail = tail.groupBy("doc_key").agg(F.sum(times * F.col("known")).alias("_known"), F.sum(times * F.col("base")).alias("_base"), F.sum(times * F.col("value")).alias("_value"))
+    rows = rows.join(tail, "doc_key", "left").withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy("doc_key")))  # each copy's rare n-grams were counted for all of them
+    known, base, value = (F.coalesce(F.col(c) / F.col("_copies"), F.lit(0.0)) for c in ("_known", "_base", "_value"))
+    return rows.select("doc_id", *extra, "n_tokens", (F.col("n_known") + known.cast("long")).alias("n_known"), (F.col("base_score") + base).alias("base_score"), (F.col("score") + base + value).alias("score"))
+
+
+def _doc_key(batch: pa.RecordBatch, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for equal ids with equal token sequences."""
+    ids = batch.column("doc_id")
+    own = tokens.mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) + U64(1)) * ids.is_valid().to_numpy(zero_copy_only=False).astype(U64)
+    return tokens.mix(_text_key(words, rows, batch.num_rows).view(U64) + own).view(np.int64)
 
 
 def _text_key(words: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -248,6 +329,8 @@ def evaluate(documents: DataFrame, of: int = 7, remainder: int = 2) -> DataFrame
     """Learns from the documents outside a fold and scores all."""
     shared.prepare(documents.sparkSession)
     held = sampling.held_out(F.col("doc_id"), of, remainder)
-    automaton, words = train(documents.where(F.col("doc_id").isNotNull() & ~held))
-    rows = score(shared.texts(documents, held.alias("held_out")), automaton, words)
+    store = Store(documents.sparkSession)
+    automaton, model = train(documents.where(F.col("doc_id").isNotNull() & ~held), store=store)
+    rows = shared.cut(score(shared.texts(documents, held.alias("held_out")), automaton, model))
+    store.drop()
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(automaton.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -294,6 +294,20 @@ def test_language_model(spark, corpus):
     assert lm.evaluate(twice.limit(0)).count() == 0
 
 
+def test_language_model_keeps_seldom_ngrams(spark, corpus, monkeypatch):
+    """An n-gram that occurs twice keeps its arcs in a long corpus, and joined values equal sent ones."""
+    texts = ["filler " * 400_000] * 4 + ["alpha beta gamma delta"] * 2 + ["gamma beta"] + corpus
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    automaton, model = lm.train(d)
+    got = {r["doc_id"]: r for r in lm.score(shared.texts(d), automaton, model).collect()}
+    assert automaton.total > 1_600_000 and got[4]["score"] == got[5]["score"] > got[4]["base_score"] + 10
+    p = [math.log10(3 / (automaton.total + automaton.distinct + 1)), *[math.log10((2 - lm.DISCOUNT) / 2)] * 4]
+    assert got[4]["score"] == pytest.approx(sum(p))
+    monkeypatch.setattr(lm, "SHARE", 1.0)
+    for r in lm.score(shared.texts(d), automaton, model).collect():
+        assert r["score"] == pytest.approx(got[r["doc_id"]]["score"]) and r["n_known"] == got[r["doc_id"]]["n_known"]
+
+
 def test_backoff_sums_to_one():
     a = lm.Automaton(total=100, distinct=4)
     words = np.array([3, 5, 7, 9], np.uint64)
