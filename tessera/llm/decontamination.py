@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Words are lower-case runs of letters and digits.  Every word 3-gram of a test
-item is a seed unless it is much more frequent in the training documents than
-the item's other seeds are.  A document that holds a seed is aligned, around
-the place that the seed gives, with the item: a match counts 1 (shared among
-the places of a word that the item repeats), a mismatch or gap -0.5, and the
-best local alignment's sum over the item's different words is the score.  Items
-are handled in blocks of a fixed number of seeds, so what is sent to the
-executors is bounded whatever the size of the benchmark; a document meets only
-items that share a seed with it.
+"""Benchmark decontamination: rare-word seeds, then Smith-Waterman alignment.
+
+Words are lower-case runs of letters and digits.  An alignment that scores the
+threshold holds a certain number of the item's different words within a certain
+number of words, so it holds some of any set of them that leaves out fewer than
+that number.  The seeds of an item are such a set of the words that are rarest
+in the training documents; which they are changes what has to be looked at, but
+never the result.  Where a document holds enough seeds close together, and
+enough of the item's words, it is aligned with the item: a match counts 1
+(shared among the places of a word that the item repeats), a mismatch or gap
+-0.5, and the best local alignment's sum over the item's different words is the
+score.  Items are handled in blocks of a fixed number of words, so what is sent
+to the executors is bounded whatever the size of the benchmark.
 
 Defined cases: null and empty texts match nothing, and neither do items of
 fewer than ``MIN_WORDS`` words; very long documents are read whole; documents
@@ -26,11 +28,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import shared, tokens
 
-SEED, MIN_WORDS = 3, 8
-#: Seeds (and words of items) sent to the executors at once.
+MIN_WORDS = 8
+#: Words of items sent to the executors at once.
 BLOCK = 1 << 20
-#: A seed is too frequent when this many times as many documents have it as have the item's lower-quartile seed, and this many more.
-RARE_TIMES, RARE_MORE = 4, 10
+#: Seeds that must lie close together; the more, the more seeds there are.
+TOGETHER = 4
 MATCH, OTHER, THRESHOLD = 1.0, -0.5, 0.5
 SCHEMA = "doc_id long, item_id long, score double, n_words int, first_word long, last_word long"
 _RUNS = tokens.LETTERS.copy()
@@ -86,57 +88,73 @@ class Items:
 
     def __init__(self, ids: list[int], words: list[np.ndarray]):
         self.ids, self.words, self.weights = ids, words, [word_weights(w) for w in words]
-        seeds = [tokens.ngram_hashes(w, SEED) for w in words]
-        item = np.repeat(np.arange(len(ids)), [len(s) for s in seeds])
-        offset = np.concatenate([*(np.arange(len(s)) for s in seeds), np.zeros(0, int)]).astype(int)
-        seed = np.concatenate([*seeds, np.zeros(0, np.uint64)]).astype(np.uint64)
+        self.distinct = [np.unique(w) for w in words]
+        self.key = np.unique(np.concatenate(words))
+
+    def choose(self, frequency: np.ndarray, threshold: float) -> None:
+        """Takes the rarest words as seeds; frequency: by key."""
+        self.need = np.array([max(1, int(np.ceil(threshold * len(d) - 1e-9))) for d in self.distinct])
+        self.together = np.minimum(self.need, TOGETHER)
+        #: Words that an alignment can span: gaps cost what the matches leave above the threshold.
+        self.span = np.array([len(w) + int(max(0.0, MATCH - threshold) / -OTHER * len(w) + 1e-9) for w in self.words])
+        seeds = []
+        for d, need, together in zip(self.distinct, self.need, self.together, strict=True):
+            rarest = d[np.argsort(frequency[np.searchsorted(self.key, d)], kind="stable")]
+            seeds.append(rarest[: max(0, len(d) - need + together)] if need <= len(d) else rarest[:0])
+        item, seed = np.repeat(np.arange(len(self.ids)), [len(s) for s in seeds]), np.concatenate(seeds)
         order = np.argsort(seed, kind="stable")
-        self.seed, self.item, self.offset = seed[order], item[order], offset[order]
-        self.key = np.unique(self.seed)
-
-    def rare(self, frequency: np.ndarray) -> None:
-        """Drops seeds that are too frequent beside their item's others; frequency: by key."""
-        of = frequency[np.searchsorted(self.key, self.seed)] if len(self.key) else np.zeros(0)
-        keep = np.ones(len(self.seed), bool)
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i) if len(self.ids) < 64 else self._of(i)
-            if len(own):
-                keep[own] = of[own] <= RARE_TIMES * np.quantile(of[own], 0.25) + RARE_MORE
-        self.seed, self.item, self.offset = self.seed[keep], self.item[keep], self.offset[keep]
-        self._order = None
-
-    _order = None
-
-    def _of(self, i: int) -> np.ndarray:
-        if self._order is None:
-            self._order = np.argsort(self.item, kind="stable")
-            self._cut = np.searchsorted(self.item[self._order], np.arange(len(self.ids) + 1))
-        return self._order[self._cut[i] : self._cut[i + 1]]
+        self.seed, self.item = seed[order], item[order]
 
-    def matches(self, words: np.ndarray, row: np.ndarray, n_rows: int) -> list[tuple[int, int, float, int, int]]:
-        """(row, item, score, first word, last word) of every item found in a row."""
-        at = tokens.ngram_rows(row, SEED)
-        grams = tokens.ngram_hashes(words, SEED)[at]
-        first, last = np.searchsorted(self.seed, grams, "left"), np.searchsorted(self.seed, grams, "right")
+    def places(self, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, item and place of each seed that is followed by enough more of its item's within the span."""
+        first, last = np.searchsorted(self.seed, words, "left"), np.searchsorted(self.seed, words, "right")
         hit = np.flatnonzero(last > first)
+        times = (last - first)[hit]
+        place = np.repeat(hit, times)
+        item = self.item[np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[hit], times)]
+        order = np.lexsort((place, item, row[place]))
+        place, item = place[order], item[order]
+        of = row[place]
+        end = np.arange(len(place)) + self.together[item] - 1
+        inside = end < len(place)
+        end = np.minimum(end, len(place) - 1)
+        inside &= (of[end] == of) & (item[end] == item) & (place[end] - place < self.span[item])
+        return of[inside], item[inside], place[inside]
+
+    def enough(self, i: int, passage: np.ndarray) -> bool:
+        """Whether some span of the passage holds as many different words of the item as the threshold needs."""
+        own = self.distinct[i]
+        which = np.minimum(np.searchsorted(own, passage), len(own) - 1)
+        at = np.flatnonzero(own[which] == passage)
+        if len(at) < self.need[i]:
+            return False
+        order = np.argsort(which[at], kind="stable")
+        at, which = at[order], which[at][order]
+        before = np.where(np.r_[False, which[1:] == which[:-1]], np.r_[-1, at[:-1]], -1)
+        change = np.bincount(np.maximum(before + 1, np.maximum(at - self.span[i] + 1, 0)), minlength=len(passage) + 1) - np.bincount(at + 1, minlength=len(passage) + 1)
+        return int(np.cumsum(change).max()) >= self.need[i]
+
+    def matches(self, words: np.ndarray, row: np.ndarray, n_rows: int) -> list[tuple[int, int, float, int, int]]:
+        """(row, item, score, first word, last word) of every item that may reach the threshold in a row."""
         bounds, out = tokens.row_bounds(row, n_rows), []
-        regions: dict[tuple[int, int], list[int]] = {}
-        for h in hit.tolist():
-            for k in range(int(first[h]), int(last[h])):
-                regions.setdefault((int(row[at[h]]), int(self.item[k])), []).append(int(at[h] - self.offset[k]))
-        for (r, i), begins in regions.items():
-            n = len(self.words[i])
-            slack, best = n // 2 + 2, (0.0, 0, -1)
-            begins = sorted(set(begins))
-            while begins:
-                begin = last_begin = begins[0]
-                while begins and begins[0] <= last_begin + slack and begins[0] <= begin + 8 * n:
-                    last_begin = begins.pop(0)
-                low, high = max(bounds[r], begin - slack), min(bounds[r + 1], last_begin + n + slack)
-                found = align(self.words[i], words[low:high], self.weights[i])
-                if found[0] > best[0]:
-                    best = (found[0], found[1] + low - bounds[r], found[2] + low - bounds[r])
-            out.append((r, i, best[0] / self.weights[i].sum(), int(best[1]), int(best[2])))
+        of, item, place = self.places(words, row)
+        cuts = [*np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (item[1:] != item[:-1])][: len(of)]).tolist(), len(of)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            r, i, best = int(of[a]), int(item[a]), (0.0, 0, -1)
+            begins, span = place[a:b].tolist(), int(self.span[i])
+            k = 0
+            while k < len(begins):
+                begin = last_begin = begins[k]
+                while k < len(begins) and begins[k] <= last_begin + span and begins[k] <= begin + 8 * span:
+                    last_begin = begins[k]
+                    k += 1
+                low, high = max(bounds[r], begin - span), min(bounds[r + 1], last_begin + span)
+                if self.enough(i, words[low:high]):
+                    found = align(self.words[i], words[low:high], self.weights[i])
+                    if found[0] > best[0]:
+                        best = (found[0], found[1] + low - bounds[r], found[2] + low - bounds[r])
+            if best[0] > 0:
+                out.append((r, i, best[0] / self.weights[i].sum(), int(best[1]), int(best[2])))
         return out
 
 
@@ -157,19 +175,16 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(ids, words)
 
 
-def _rare_items(documents: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
+def _seeded(documents: DataFrame, benchmark: DataFrame, threshold: float) -> Iterator[Items]:
     for block in blocks(benchmark):
         key = block.key
 
         def count(batches: Iterator[pa.RecordBatch], key: np.ndarray = key) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(key), np.int64)
             for batch in tokens.row_slices(batches):
-                words, row = words_of(batch.column("text"))
-                at = tokens.ngram_rows(row, SEED)
-                grams, rows = tokens.ngram_hashes(words, SEED)[at], row[at]
-                place = np.minimum(np.searchsorted(key, grams), len(key) - 1)
-                hit = key[place] == grams
-                total += np.bincount(np.unique(place[hit] * np.int64(batch.num_rows) + rows[hit]) // batch.num_rows, minlength=len(key))
+                words, _ = words_of(batch.column("text"))
+                place = np.minimum(np.searchsorted(key, words), len(key) - 1)
+                total += np.bincount(place[key[place] == words], minlength=len(key))
             seen = np.flatnonzero(total)
             if len(seen):
                 yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["k", "n"])
@@ -177,7 +192,7 @@ def _rare_items(documents: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
         counted = shared.texts(documents).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
         frequency = np.zeros(len(key))
         frequency[counted.column("k").to_numpy()] = counted.column("n").to_numpy()
-        block.rare(frequency)
+        block.choose(frequency, threshold)
         yield block
 
 
@@ -185,7 +200,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     """doc_id, item_id, score, n_words of the item, first_word, last_word: each item found in each document."""
     spark = shared.prepare(documents.sparkSession)
     parts = []
-    for block in _rare_items(documents, benchmark):
+    for block in _seeded(documents, benchmark, threshold):
 
         def find(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in tokens.row_slices(batches):
@@ -205,7 +220,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 def keep_clean(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, unchanged and with all their columns, in which no item is found."""
     shared.prepare(documents.sparkSession)
-    for block in _rare_items(documents, benchmark):
+    for block in _seeded(documents, benchmark, threshold):
 
         def clean(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in tokens.row_slices(batches):

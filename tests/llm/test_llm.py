@@ -226,6 +226,42 @@ def test_decontamination(spark):
     assert decontamination.scan(d.limit(0), b).count() == 0 and decontamination.scan(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_frequent_passages(spark):
+    """Edited copies in many documents are found, though all seeds that they hold are frequent and others occur nowhere."""
+    rng = random.Random(14)
+    words = [f"{x}{i}" for i, x in enumerate(sentence(rng, 30).split())]
+    edited = list(words)
+    for k in (7, 14, 21):
+        edited[k] = "changed"
+    texts = [sentence(rng, 50) + " " + " ".join(edited) + " " + sentence(rng, 50) for _ in range(15)] + [" ".join(edited[:24])] * 15 + [sentence(rng, 200)] * 3
+    b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontamination.scan(table(spark, texts), b).collect()}
+    assert got == {i: pytest.approx(0.85 if i < 15 else 0.65) for i in range(30)}
+    assert [r["doc_id"] for r in decontamination.keep_clean(table(spark, texts), b).collect()] == [30, 31, 32]
+
+
+def test_decontamination_finds_all(spark):
+    """Every pair that reaches the threshold, as aligning each document with each item gives it."""
+    rng = random.Random(15)
+    vocabulary = [f"v{i}" for i in range(40)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(8, 16))] for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        own = list(rng.choice(items))
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        own = [x for w in own for x in ([w, rng.choice(vocabulary)] if rng.random() < 0.3 else [w])]
+        texts.append(" ".join(rng.choices(vocabulary, k=rng.randint(0, 30)) + own + rng.choices(vocabulary, k=rng.randint(0, 30))))
+    expected = {}
+    for (i, t), (j, item) in itertools.product(enumerate(texts), enumerate(items)):
+        (a, _), (b, _) = (decontamination.words_of(pa.array([x])) for x in (t, " ".join(item)))
+        score = decontamination.align(b, a, decontamination.word_weights(b))[0] / len(np.unique(b))
+        if score >= 0.5:
+            expected[i, j] = pytest.approx(score)
+    got = decontamination.scan(table(spark, texts), spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == expected and len(expected) > 30
+
+
 def test_alignment():
     def plain(a, b):
         best, table = 0.0, np.zeros((len(a) + 1, len(b) + 1))
