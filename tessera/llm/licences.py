@@ -1,12 +1,18 @@
 """Licence scans by canonical digests of entire texts.
 
-A text's canonical form has ASCII lower case, no copyright lines, blanks for
+A text's canonical form has ASCII lower case, no copyright statements, blanks for
 punctuation, one spelling for equivalent words, and single blanks.  The digest
 of a document's entire canonical text is joined to the digests of known
 licences; the digests of its single lines are looked up among those of known
 short notices.  Everything is built-in column functions; the table of known
 digests is a constant of this module (a few rows), so it is broadcast.
 
+A line is a copyright statement when it begins with the word or the sign and a
+year, sign or holder follows; a licence's own wrapped line ("copyright notice
+and ...") is not.  For the join, spellings of several words are replaced across
+line ends, too.  The SQL deletes all lines that begin with the word, and joins
+by the digest as it is, so it finds fewer wrapped licences.
+
 Defined cases: null and empty texts match nothing; very long texts are
 canonicalised whole; repeated rows are matched each on their own; an empty
 table gives an empty result; other columns are ignored.
@@ -75,13 +81,17 @@ STEPS = (
     (r" *\n[ \n]*", "\n"),
     (r"  +", " "),
 )
+#: Words that follow "copyright" within licences; what else follows is a holder.
+_BODY = "notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|protection|permissions?|ownership|treat(?:y|ies)|acts?|infringement|rights?|disclaimers?|dates?|years?|symbols?|information|claims?|lines?|headers?|status|materials?|works?|and|or|in|is|are|to|on|of|for|shall|must|may|will|can|as|if|that|this|which|under|with|without|from"
+#: Copyright statements, which the scan removes instead of the first of STEPS.
+STATEMENT = (rf"(?m)^[ \t]*(copyright[ \t]*(?:(?:holders?|owners?)[ \t]*)?(?::|\(c\)|©|\d)|copyright[ \t]+(?!(?:{_BODY})\b)[^\s]|\(c\)[ \t]*(?:copyright\b|©|\d)|©)[^\n]*(\n|$)", "\n")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form, lines kept apart."""
     out = F.translate(text, _UPPER, _LOWER)
-    for pattern, replacement in STEPS:
+    for pattern, replacement in (STATEMENT, *STEPS[1:]):
         out = F.regexp_replace(out, pattern, replacement.replace("\\1", "$1").replace("\\2", "$2"))
     return F.trim(F.regexp_replace(out, r"^\n+|\n+$", ""))
 
@@ -90,10 +100,19 @@ def _whole(lines: Column) -> Column:
     return F.regexp_replace(lines, r" *\n *", " ")
 
 
+def _joined(lines: Column) -> Column:
+    """One line in which spellings of several words are replaced again, as a line may have ended within them."""
+    out = _whole(lines)
+    for pattern, replacement in STEPS:
+        if pattern.startswith("\\b") and " " in pattern:
+            out = F.regexp_replace(out, pattern, replacement.replace("\\1", "$1"))
+    return out
+
+
 def known(spark: SparkSession) -> DataFrame:
     """digest, licence_id of the module's licences and notices."""
     rows = spark.createDataFrame([*LICENCES, *NOTICES], "licence_id string, text string")
-    return rows.select(F.sha2(_whole(canonical(F.col("text"))), 256).alias("digest"), "licence_id").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
+    return rows.select(F.sha2(_joined(canonical(F.col("text"))), 256).alias("digest"), "licence_id").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
 
 
 def scan(documents: DataFrame, licences: DataFrame | None = None) -> DataFrame:
@@ -104,8 +123,9 @@ def scan(documents: DataFrame, licences: DataFrame | None = None) -> DataFrame:
     lines = canonical(F.coalesce(F.col("text"), F.lit("")))
     rows = documents.select("doc_id", lines.alias("_lines"))
     found = F.filter(F.transform(F.split("_lines", "\n"), lambda x: name_of[F.sha2(F.trim(x), 256)]), lambda x: x.isNotNull())
-    rows = rows.select("doc_id", F.sha2(_whole(F.col("_lines")), 256).alias("digest"), found.alias("_found"))
-    rows = rows.join(F.broadcast(known(spark) if licences is None else licences), "digest", "left")
+    rows = rows.select("doc_id", F.sha2(_whole(F.col("_lines")), 256).alias("digest"), F.sha2(_joined(F.col("_lines")), 256).alias("_key"), found.alias("_found"))
+    table = (known(spark) if licences is None else licences).withColumnRenamed("digest", "_key")
+    rows = rows.join(F.broadcast(table), "_key", "left")
     return rows.select("doc_id", "digest", "licence_id", F.size("_found").cast("long").alias("n_notices"), F.concat_ws(",", F.array_sort(F.array_distinct("_found"))).alias("notices"))
 
 

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -285,6 +286,23 @@ def test_licences(spark):
     assert got[0][0] == "MIT" and got[1][0] is None and got[2] == ("MIT", "MIT") and got[3] == (None, "Apache-2.0") and got[4] == got[5] == (None, "")
 
 
+def test_wrapped_licences(spark):
+    """A licence's own lines stay, wherever it is wrapped; statements go."""
+    statements = ["Copyright (c) 2020 Someone", "Copyright 2020 Someone", "  copyright © Someone", "© 2020 Someone", "(c) 2020 Someone", "Copyright Jane Doe <jane@example.org>", "Copyright The Example Authors.", "Copyright: Someone", "Copyright by Someone", "Copyright holder: Someone\nAll rights reserved."]
+    rows, expected = [], []
+    for i, (name, text) in enumerate(licences.LICENCES):
+        for width in (20, 45, 71, 80):
+            rows.append(statements[i % len(statements)] + "\n\n" + "\n\n".join(textwrap.fill(x, width) for x in text.split("\n\n")))
+            expected.append(name)
+        rows.append(statements[(i + 5) % len(statements)] + "\n\n" + re.sub(" (copyright|\\(c\\))", "\n\\1", text, flags=re.I))
+        expected.append(name)
+    isc = dict(licences.LICENCES)["ISC"]
+    rows += [isc.replace("copyright notice and this permission notice", "\n(c) neither this\n"), isc.replace("above copyright", "above\ncopyright notice and this\ncopyright")]
+    expected += [None, None]
+    got = {r["doc_id"]: r["licence_id"] for r in licences.scan(table(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == expected
+
+
 def test_language_model(spark, corpus):
     texts = [t.replace("zz", "the cat") if t else t for t in corpus] * 2
     share = 2e-3
