@@ -4,7 +4,9 @@ Each class is a Gaussian over transformed statistics of a text (lengths,
 repetition, character classes), its covariance shrunk towards the pooled one
 and a multiple of the identity.  A score is the logistic of the difference of
 the two log densities (Mahalanobis distances and log determinants from cached
-Cholesky factors), scaled as the log loss on held-back sample rows asks.
+Cholesky factors), scaled as the log loss on held-back sample rows asks.  Few
+rows suffice: a class of one row has the pooled covariance, and every fifth row
+of each class is held back while some of the class stay to learn from.
 
 Defined cases: null texts count as empty, and empty texts are scored from
 their (zero) statistics; very long texts are read whole; repeated rows are
@@ -90,10 +92,11 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def discriminant(x: np.ndarray, y: np.ndarray, shrink: float, ridge: float) -> dict:
     """Means, Cholesky factors of the shrunk covariances, and log determinants; by class 0 and 1."""
-    out, pooled = {"mean": [], "factor": [], "log_det": []}, sum(np.cov(x[y == k].T) * np.sum(y == k) for k in (0, 1)) / len(y)
+    many = [k for k in (0, 1) if np.sum(y == k) > 1]  # one row has no covariance
+    out, pooled = {"mean": [], "factor": [], "log_det": []}, sum(np.cov(x[y == k].T) * np.sum(y == k) for k in many) / sum(np.sum(y == k) for k in many) if many else np.eye(x.shape[1])
     for k in (0, 1):
-        own = (1 - shrink) * np.cov(x[y == k].T) + shrink * pooled
-        own = (1 - ridge) * own + ridge * np.trace(own) / len(own) * np.eye(len(own))
+        own = (1 - shrink) * np.cov(x[y == k].T) + shrink * pooled if k in many else pooled
+        own = (1 - ridge) * own + ridge * max(np.trace(own) / len(own), 1e-6) * np.eye(len(own))
         factor = np.linalg.cholesky(own)
         out["mean"].append(x[y == k].mean(0))
         out["factor"].append(np.linalg.inv(factor))
@@ -118,10 +121,16 @@ def fit(documents: DataFrame, labels: DataFrame, of: int = 4, remainder: int = 2
     got = rows.mapInArrow(_statistics, "doc_id long, label int, values array<double>").toArrow().sort_by("doc_id")
     y = np.asarray(got.column("label").to_numpy(), dtype=int)
     x = np.array(got.column("values").to_pylist(), float).reshape(len(y), len(STATISTICS))
-    if min(np.sum(y == 0), np.sum(y == 1)) < 2 * len(STATISTICS):
+    if not min(np.sum(y == 0), np.sum(y == 1)):
         return {"constant": float(y.mean()) if len(y) else 0.5}
     mean, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
     x, back = (x - mean) / spread, np.arange(len(y)) % 5 == 4
+    for k in (0, 1):  # by class where that leaves a class without rows on one side
+        own = np.flatnonzero(y == k)
+        if len({*back[own].tolist()}) < 2:
+            back[own] = np.arange(len(own)) % 5 == min(4, len(own) - 1) if len(own) > 1 else False
+    if not back.any():  # two rows: nothing to hold back
+        return discriminant(x, y, 0.8, 0.1) | {"center": mean, "spread": spread, "scale": 1.0, "shift": 0.0}
     best = None
     for shrink in (0.05, 0.2, 0.5, 0.8):
         for ridge in (0.01, 0.1):

@@ -413,6 +413,20 @@ def test_quality(spark):
     assert quality.classify(d.limit(0), labels_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("n", "rare"), [(64, 8), (40, 1), (2, 1), (6, 2)])
+def test_quality_of_few_rows(spark, n, rare):
+    """Both classes have rows: no constant, and the classes come apart."""
+    rng = random.Random(9)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:n]
+    bad = set(ids[:: max(1, n // rare)][:rare])
+    texts = [rng.choice(["buy now " * 30, "### $$$ !!! 123 " * 20]) if i in bad or i >= 150 else sentence(rng, rng.randint(20, 80)).capitalize() + "." for i in range(200)]
+    labels = labels_of(spark, [(i, int(i not in bad), 0) for i in ids])
+    got = {r["doc_id"]: r["score"] for r in quality.classify(table(spark, texts), labels).collect()}
+    assert len(set(got.values())) > 1 and all(0 <= x <= 1 for x in got.values())
+    if rare == 8:
+        assert np.mean([got[i] for i in range(100, 150)]) > np.mean([got[i] for i in range(150, 200)]) + 0.3
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     bad = [rng.random() < 0.3 for _ in range(500)]
