@@ -83,19 +83,19 @@ def neighbours(edges: DataFrame, node: int) -> DataFrame:
     return out.union(edges.where(F.col("target") == node).select(F.col("source").alias("node"), F.lit("in").alias("direction"))).where("node IS NOT NULL").distinct()
 
 
-def cycle_members(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def cycle_members(edges: DataFrame) -> DataFrame:
     """node, cycle: nodes that can reach themselves, and the smallest node of their strongly connected component.
 
     Nodes without a way in or out are trimmed first; then colours (largest
     node that reaches) and backward reachability within a colour peel off
-    components until no edge is left.
+    components until no edge is left; each round removes one at least.
     """
     from tessera.sources import lineage
 
     own = edges.where("source = target").select(F.col("source").alias("node")).distinct()
     left = lineage.cut(edges.select("source", "target").where("source <> target AND source IS NOT NULL AND target IS NOT NULL").distinct())
     found = own.select("node", F.col("node").alias("cycle"))
-    for _ in range(rounds):
+    while True:
         before = None
         while True:  # trim
             n = left.count()

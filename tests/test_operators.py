@@ -79,6 +79,14 @@ def test_graph(spark):
     assert graph.clamp_depth(None) == 3 and graph.clamp_depth(0) == 3 and graph.clamp_depth(99) == 10
 
 
+def test_many_cycles(spark):
+    """More components than a fixed number of rounds peels off: each cycle leads to all cycles with smaller ids, so they go one by one."""
+    n = 32
+    pairs = [(2 * i, 2 * i + 1) for i in range(n)] + [(2 * i + 1, 2 * i) for i in range(n)] + [(2 * i, 2 * j) for i in range(n) for j in range(i)]
+    got = {r["node"]: r["cycle"] for r in graph.cycle_members(spark.createDataFrame(pairs, "source long, target long")).collect()}
+    assert got == {i: i - i % 2 for i in range(2 * n)}
+
+
 def test_edge_statistics(spark):
     rows = [(11, 10, "f", 5, 10, 1), (12, 11, "g", 9, 11, 1), (10, 10, "f", 1, 10, 1), (13, None, "f", 7, 10, 1), (14, 20, "f", 3, 10, 1)]
     calls = spark.createDataFrame(rows, "caller long, callee long, symbol string, call_line int, root long, root_line int")
