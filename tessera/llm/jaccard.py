@@ -1,33 +1,41 @@
 """N-gram Jaccard join by prefixes of token combinations.
 
-A document is the set of its distinct word shingles.  Under one global order
-(shingles that few documents have first, then the frequent ones, by hash
-within a class) two sets whose similarity reaches the threshold share a
-shingle within prefixes of n - o + 1 shingles, o being the least overlap with
-any partner, and g + 1 shingles within prefixes longer by g.  Rare shingles of
-a prefix are indexed singly.  A set whose prefix holds frequent shingles uses
-the longer prefix and indexes those in combinations of two: dealt to g groups
-by hash, g + 1 shared frequent shingles put two into one group.  The class of
-a shingle steers cost only; any classes give the same links.
-
-Equal sets are one node.  A posting list of up to ``SMALL`` nodes is verified
-pair by pair.  A longer one is never paired off: its members are compared with
-a centre, the shingles that most of them have.  Let d(x) be the symmetric
-difference of x and the centre.  If x and y are similar, then either
-|d(x)| + |d(y)| is so small that this proves it (such pairs are connected
-through the members nearest to the centre, see ``close_links``), or d(x) and
-d(y) share an element within their first D(x) + 1 and D(y) + 1 ones, where D(x)
-bounds the symmetric difference of x and any partner.  So the members are
-indexed anew by those elements, of which no one is common to most of them, and
-the step is repeated until no list is long; after ``STEPS`` steps the lists
-left are verified pair by pair.  Connected components of the links are the
-classes.
+A document is the set of its distinct word shingles; equal sets are one node.
+Two sets of which the larger has n shingles and that reach the threshold lack at
+most n - o of each other's, o being the least overlap with any partner.  So a
+node with more shingles of its own than that has no partner, and everything
+after rests on this:
+
+1. Own shingles are counted on a part of the hash range (``SHARE``), block by
+   block: a block settles what its own documents share, and sends on one row
+   for each other shingle.  Nodes with too many own shingles go.
+2. Of the nodes left, all shingles are counted.  The global order is by number
+   of nodes (then by hash), so a prefix of n - o + 1 shingles begins with those
+   that no other node has, and only the rest of it is indexed.
+3. Rare shingles of a prefix are indexed singly.  A set whose prefix holds
+   frequent ones (from ``FREQUENT_FROM`` nodes on) uses a prefix longer by g,
+   of which g + 1 are shared, and indexes those in combinations of two: dealt
+   to g groups by hash, g + 1 shared frequent shingles put two into one group.
+   The class of a shingle steers cost only; any classes give the same links.
+4. Posting lists of up to ``SMALL`` nodes are verified pair by pair, where set
+   sizes and own shingles allow the overlap.  A longer list is never paired
+   off: its members are compared with a centre, the shingles that most of them
+   have.  Let d(x) be the symmetric difference of x and the centre.  If x and y
+   are similar, then either |d(x)| + |d(y)| is so small that this proves it
+   (such members are all linked to the nearest one, and are no longer compared
+   with each other), or d(x) and d(y) share an element within their first
+   D(x) + 1 and D(y) + 1 ones, where D(x) bounds the symmetric difference of x
+   and any partner.  So the members are indexed anew by those elements, of
+   which no one is common to most of them, until no list is long.
+
+Connected components of the links are the classes.
 
 Defined cases: null and empty texts have no shingle and link with nothing; a
 text of fewer than k words is one shingle; very long texts are read whole;
 equal texts (and repeated rows) are in one class; rows without an id are left
 out of the classes and get a null component_id; an empty table gives an empty
-result; other columns are ignored.
+result; other columns, whatever their names, are ignored or, where documents
+are returned, kept.
 """
 
 from __future__ import annotations
@@ -36,34 +44,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm import shared, tokens
 
 #: Longest posting list that is verified pair by pair.
-SMALL = 58
-#: Members from which a group's centre is taken, and steps before lists are verified pair by pair whatever their length.
-SAMPLE, STEPS = 25, 12
-#: Bytes of centres up to which they are broadcast; beyond, they are joined by shuffles.
-BROADCAST = 16 << 20
-#: Nodes up to which a list of them is broadcast (some MB).
-FEW = 1 << 17
-#: Nodes (about) from which a shingle is frequent, and bits of the map of frequent ones.
-FREQUENT_FROM, FREQUENT_BITS = 8, 26
-#: Buckets of the counts that bound an overlap from above.
-BUCKETS = 64
-#: Bits of a shingle's hash; the rest of 64 holds a row's number within a slice and a class.
+SMALL = 64
+#: Members from which a group's centre is taken.
+SAMPLE = 25
+#: Nodes from which a shingle is frequent.
+FREQUENT_FROM = 64
+#: Part of the hash range on which own shingles are first counted, for each part of a set that a partner may lack.
+SHARE = 2.5
+#: Shingles of that part which a task counts together, and nodes whose sets it remembers having given.
+BLOCK, SEEN = 1 << 20, 1 << 16
+#: Bits of a shingle's hash.
 BITS = 53
-#: Bits of the filter in front of the shuffle of candidate sets.
-FILTER_BITS, DOCUMENT_BITS = 24, 23
+#: Bits of the filter in front of the shuffle of sets, and of that of documents that may go.
+FILTER_BITS, DOCUMENT_BITS = 26, 23
 U64 = np.uint64
-NODE = "a long, b long, n int"
 
 
 class Shingles:
-    """The distinct shingles of each row of a slice, ordered by row, class and hash."""
+    """The distinct shingles of each row of a slice, ordered by row and hash."""
 
-    def __init__(self, column: pa.Array, k: int, frequent: np.ndarray | None = None):
+    def __init__(self, column: pa.Array, k: int):
         data, offsets = tokens.buffers(column)
         start, end, row = tokens.word_spans(data, offsets)
         words = tokens.word_hashes(data, start, end, lower=True)
@@ -77,13 +82,11 @@ class Shingles:
             hashes.append(tokens.ngram_hashes(words, short)[at])
             of.append(row[at])
         hashes, of = np.concatenate(hashes) >> U64(64 - BITS), np.concatenate(of)
-        often = shared.in_bitmap(frequent, hashes) if frequent is not None else np.zeros(len(hashes), bool)
-        # row, class and hash in one word: sorting it sorts by all three
-        code = of.astype(U64) << U64(BITS + 1) | often.astype(U64) << U64(BITS) | hashes
+        code = of.astype(U64) << U64(BITS) | hashes  # sorting one word sorts by both
         code.sort()
         code = code[np.r_[True, code[1:] != code[:-1]]] if len(code) else code
-        self.hash, self.often = code & U64((1 << BITS) - 1), code >> U64(BITS) & U64(1) == 1
-        self.row = (code >> U64(BITS + 1)).astype(np.int64)
+        self.hash = code & U64((1 << BITS) - 1)
+        self.row = (code >> U64(BITS)).astype(np.int64)
         self.start = np.searchsorted(self.row, np.arange(rows + 1))
         self.n = np.diff(self.start)
         # sums over well-mixed hashes do not depend on the order
@@ -91,20 +94,15 @@ class Shingles:
         self.a, self.b = (t[self.start[1:]] - t[self.start[:-1]] for t in total)
 
 
-def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
-    """Shared shingles of a set of n with any partner, at least."""
-    return -(-percent * n // 100)
+def least_overlap(n, percent: int):
+    """Shared shingles of a set of n with any partner, at least (numbers, arrays or columns)."""
+    return F.ceil((n * percent) / 100) if isinstance(n, Column) else -(-percent * n // 100)
 
 
-def most_difference(n: int, percent: int) -> int:
-    """Largest symmetric difference of a set of n and any partner."""
-    return (100 - percent) * n // percent
-
-
-def levels(n: np.ndarray, percent: int) -> np.ndarray:
+def levels(n: int, percent: int) -> int:
     """Logarithm of the number of groups for combinations, by set size."""
     overlap = least_overlap(n, percent)
-    return np.log2(np.maximum(1, np.minimum(n - overlap + 1, overlap - 1))).astype(np.int64)
+    return max(1, min(n - overlap + 1, overlap - 1)).bit_length() - 1
 
 
 def combinations(hashes: np.ndarray, level: int) -> np.ndarray:
@@ -120,268 +118,204 @@ def combinations(hashes: np.ndarray, level: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
-def signatures(s: Shingles, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, and the rows that they stand for."""
-    n = s.n
-    overlap = least_overlap(n, percent)
-    prefix = np.where(100 * n // percent > n, n - overlap + 1, 0)  # else only an equal set is similar
-    place = np.arange(len(s.hash)) - s.start[s.row]
-    basic = place < prefix[s.row]
-    mixed = np.bincount(s.row[basic & s.often], minlength=len(n)) > 0
-    plain = basic & ~mixed[s.row]
-    keys, rows = [s.hash[plain]], [s.row[plain]]
-    level = levels(n, percent)
-    lower = levels(-(-percent * n // 100), percent)  # of the smallest partner
-    for r in np.flatnonzero(mixed):
-        own, often = s.hash[s.start[r] : s.start[r + 1]], s.often[s.start[r] : s.start[r + 1]]
-        top = int(level[r])
-        longest = prefix[r] + (1 << top)
-        got = [own[:longest][~often[:longest]]]
-        for k in {top, min(top, int(lower[r]))}:
-            part = slice(0, prefix[r] + (1 << k))
-            got.append(combinations(own[part][often[part]], k))
-        got = np.concatenate(got)
-        keys.append(got)
-        rows.append(np.full(len(got), r))
-    return np.concatenate(keys), np.concatenate(rows)
+def signature(own: np.ndarray, n: int, rare: int, percent: int) -> np.ndarray:
+    """Keys of a set of n shingles: own are those that others have, too, in the global order, the first ``rare`` of them not frequent."""
+    prefix = n - least_overlap(n, percent) + 1 - (n - len(own))  # what no other has comes first
+    if prefix <= rare:
+        return own[: max(prefix, 0)]
+    top, lower = levels(n, percent), levels(int(least_overlap(n, percent)), percent)  # lower: of the smallest partner
+    got = [own[: min(rare, prefix + (1 << top))]]
+    got += [combinations(own[rare : prefix + (1 << level)], level) for level in {top, min(top, lower)}]
+    return np.concatenate(got)
 
 
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == U64 else x.astype(np.int64))
 
 
-def members(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, a, b, sketch: set size and node of each document, and how many of its shingles fall into each of ``BUCKETS``."""
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for x in values)]).astype(np.int32)), _long(np.concatenate([np.zeros(0, U64), *values])))
+
+
+def _counted(percent: int) -> int:
+    """Hashes below this are counted first."""
+    return int((1 << BITS) * min(1.0, SHARE * (100 - percent) / 100))
+
+
+def members(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n, m, a, b: set size, shingles in the part that is counted first, and node of each document."""
+    bound = U64(_counted(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.row_slices(batches):
             s = Shingles(batch.column("text"), k)
-            bucket = s.row * BUCKETS + (s.hash >> U64(BITS - 6)).astype(np.int64)
-            counts = np.bincount(bucket, minlength=len(s.n) * BUCKETS).reshape(-1, BUCKETS).astype("<u4" if s.n.max(initial=0) > 65535 else "<u2")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s.n.astype(np.int32)), _long(s.a), _long(s.b), pa.array([x.tobytes() for x in counts], pa.binary())], names=["doc_id", "n", "a", "b", "sketch"])
+            m = np.bincount(s.row[s.hash < bound], minlength=len(s.n))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s.n.astype(np.int32)), pa.array(m.astype(np.int32)), _long(s.a), _long(s.b)], names=["doc_id", "n", "m", "a", "b"])
 
-    return shared.texts(documents).mapInArrow(run, "doc_id long, n int, a long, b long, sketch binary")
+    return shared.texts(documents).mapInArrow(run, "doc_id long, n int, m int, a long, b long")
 
 
-def frequent_shingles(documents: DataFrame, k: int, percent: int) -> np.ndarray:
-    """A bitmap of the shingles with long posting lists; a few others share their bits and count as frequent, too.
+def not_own(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, shared: of the shingles that are counted first, about how many (never fewer than) other nodes have, too.
 
-    Counted over all documents, for prefixes in hash order that are a quarter
-    longer than needed: those shingles are the ones that single keys would be
-    made of.  A list's nodes are counted by 64 bits, each set by some nodes, so
-    that copies do not count.
+    A block of documents gives a row (shingle, node) for what one of its nodes
+    has, a row (shingle, 0) for what several have, and for each node how many
+    of the latter it has.  So a shingle has a row a block at most.
     """
+    bound = U64(_counted(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def report() -> pa.RecordBatch:
+            h, a = (np.concatenate([np.zeros(0, U64), *x]) for x in (zip(*held, strict=True) if held else ((), ())))
+            order = np.lexsort((a, h))
+            h, a = h[order], a[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (a[1:] != a[:-1])][: len(h)]  # copies count once
+            h, a = h[new], a[new]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+            times = np.diff(np.append(first, len(h)))
+            single, several = first[times == 1], first[times > 1]
+            node, count = np.unique(a[np.repeat(times > 1, times)], return_counts=True)
+            zero = np.zeros(len(several), U64)
+            columns = (np.concatenate([h[single], h[several], tokens.mix(node) | U64(1 << 63)]), np.concatenate([a[single], zero, node]), np.concatenate([np.zeros(len(single)), np.ones(len(several)), 1 + count]))
+            return pa.RecordBatch.from_arrays([_long(columns[0]), _long(columns[1]), pa.array(columns[2].astype(np.int32))], names=["h", "a", "c"])
+
         for batch in tokens.row_slices(batches):
             s = Shingles(batch.column("text"), k)
-            place = np.arange(len(s.hash)) - s.start[s.row]
-            use = place < ((s.n - least_overlap(s.n, percent) + 1) * 5 // 4)[s.row]
-            value, bit = s.hash[use], U64(1) << (s.a[s.row[use]] & U64(63))
-            order = np.argsort(value, kind="stable")
-            value, bit = value[order], bit[order]
-            new = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, int)
-            if len(new):
-                yield pa.RecordBatch.from_arrays([_long(value[new]), _long(np.bitwise_or.reduceat(bit, new))], names=["h", "nodes"])
-
-    counted = shared.texts(documents).mapInArrow(run, "h long, nodes long").groupBy("h").agg(F.bit_count(F.bit_or("nodes")).alias("c"))
-    return shared.bitmap(counted.where(F.col("c") >= FREQUENT_FROM).select("h"), FREQUENT_BITS)
-
-
-def index(documents: DataFrame, k: int, percent: int, frequent: np.ndarray, copies: DataFrame) -> DataFrame:
-    """key, a, b, n: each node's postings under keys that more than one node has.
-
-    copies: doc_id, a, b of documents whose set an earlier one has, and (with
-    ``again``) of repeated rows; only the first document of a set is indexed,
-    once.  Documents that a bitmap of the copies lets through are indexed at
-    once, the rest after an exact anti-join.
-    """
-    doubtful = shared.bitmap(copies.select("doc_id"), DOCUMENT_BITS)
+            use = s.hash < bound
+            held.append((s.hash[use], s.a[s.row[use]]))
+            size += len(held[-1][0])
+            if size >= BLOCK:
+                yield report()
+                held, size = [], 0
+        yield report()
 
-    def postings(may_be_copies: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in tokens.row_slices(batches):
-                hit = shared.in_bitmap(doubtful, batch.column("doc_id").to_numpy().astype(np.int64).view(U64))
-                batch = batch.filter(pa.array(hit == may_be_copies))
-                if not batch.num_rows:
-                    continue
-                s = Shingles(batch.column("text"), k, frequent)
-                keys, rows = signatures(s, percent)
-                if len(keys):
-                    columns = [_long(keys), _long(s.a[rows]), _long(s.b[rows]), pa.array(s.n[rows].astype(np.int32))]
-                    if may_be_copies:
-                        columns.append(batch.column("doc_id").take(pa.array(rows)))
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", "n", "doc_id"][: len(columns)])
-
-        return shared.texts(documents).mapInArrow(run, f"key long, {NODE}" + ", doc_id long" * may_be_copies)
-
-    rest = postings(True).join(copies.where("NOT again").drop("again"), ["doc_id", "a", "b"], "left_anti").select("key", "a", "b", "n").distinct()
-    rows = postings(False).union(rest)
-    shared_keys = rows.groupBy("key").agg(F.min("a").alias("_low"), F.max("a").alias("_high")).where("_low <> _high").select("key")
-    return shared.cut(rows.join(shared_keys, "key"))
+    rows = shared.texts(documents).mapInArrow(run, "h long, a long, c int")
+    same = Window.partitionBy("h")
+    rows = rows.select("a", "c", F.min("a").over(same).alias("_low"), F.max("a").over(same).alias("_high")).where("c > 1 OR c = 0 AND _low <> _high")
+    return rows.groupBy("a").agg(F.sum(F.when(F.col("c") > 1, F.col("c") - 1).otherwise(1)).alias("shared"))
 
 
 def sets(documents: DataFrame, k: int, wanted_nodes: DataFrame) -> DataFrame:
-    """a, b, shingles (sorted hashes as bytes) of the wanted nodes (column a), and a few more."""
-    wanted = shared.bitmap(wanted_nodes, FILTER_BITS)
+    """a, b, n, shingles of the wanted nodes (a, b): what a bitmap lets through is dealt by node."""
+    wanted = shared.bitmap(wanted_nodes.select("a"), FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in tokens.row_slices(batches):
             s = Shingles(batch.column("text"), k)
-            use = np.flatnonzero(shared.in_bitmap(wanted, s.a) & (s.n > 0))
-            if len(use):
-                yield pa.RecordBatch.from_arrays([_long(s.a[use]), _long(s.b[use]), pa.array([s.hash[s.start[r] : s.start[r + 1]].tobytes() for r in use], pa.binary())], names=["a", "b", "shingles"])
-
-    found = shared.texts(documents).mapInArrow(run, "a long, b long, shingles binary")
-    return shared.cut(found.groupBy("a", "b").agg(F.min("shingles").alias("shingles")))
-
-
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = np.intersect1d(x, y, assume_unique=True).size
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
-def _counts(sketch: bytes) -> np.ndarray:
-    return np.frombuffer(sketch, "<u2" if len(sketch) == 2 * BUCKETS else "<u4").astype(np.int64)
-
-
-def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those pairs whose bucket counts allow the similarity: no more is shared than the smaller count of each bucket."""
+            use = []
+            for r in np.flatnonzero(shared.in_bitmap(wanted, s.a) & (s.n > 0)).tolist():
+                node = int(s.a[r]), int(s.b[r])
+                if node not in seen:  # fewer copies are dealt; which are left out changes nothing
+                    seen.add(node)
+                    use.append(r)
+            if len(seen) > SEEN:
+                seen.clear()
+            if use:
+                yield pa.RecordBatch.from_arrays([_long(s.a[use]), _long(s.b[use]), pa.array(s.n[use].astype(np.int32)), _lists([s.hash[s.start[r] : s.start[r + 1]] for r in use])], names=["a", "b", "n", "shingles"])
+
+    found = shared.texts(documents).mapInArrow(run, "a long, b long, n int, shingles array<long>")
+    return found.join(wanted_nodes.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b", "n").agg(F.first("shingles").alias("shingles"))
+
+
+def ordered(held: DataFrame, percent: int) -> DataFrame:
+    """a, b, n, own, rare, most: shingles that other nodes have, in the global order, how many of them are not frequent, and the largest set that may be a partner."""
+    rows = held.select("a", "b", "n", F.explode("shingles").alias("h"))
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    lists = rows.join(counts, "h").groupBy("a", "b", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("l"))
+    found = lists.select("a", "b", "n", F.col("l.h").alias("own"), F.size(F.filter("l", lambda x: x["c"] < FREQUENT_FROM)).alias("rare"))
+    n, both = F.col("n"), F.size("own")
+    found = found.withColumn("most", F.floor(both * (100 + percent) / percent).cast("int") - n)
+    return found.where(F.col("most") >= least_overlap(n, percent))
+
+
+def index(nodes: DataFrame, percent: int) -> DataFrame:
+    """key, a, b, n, most: each node's postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(*(batch.column(c).to_pylist() for c in ("xk", "yk")), strict=True):
-                p, q = _counts(x), _counts(y)
-                most = int(np.minimum(p, q).sum())
-                keep.append(100 * most >= percent * (int(p.sum()) + int(q.sum()) - most))
-            yield batch.select(["xa", "xb", "ya", "yb"]).filter(pa.array(keep, pa.bool_()))
-
-    for side in ("x", "y"):
-        pairs = pairs.join(nodes.select(F.col("a").alias(f"{side}a"), F.col("b").alias(f"{side}b"), F.col("sketch").alias(f"{side}k")), [f"{side}a", f"{side}b"])
-    return pairs.select("xa", "xb", "ya", "yb", "xk", "yk").mapInArrow(run, "xa long, xb long, ya long, yb long")
-
+            keys = [signature(np.array(own, np.int64).view(U64), n, rare, percent) for own, n, rare in zip(*(batch.column(c).to_pylist() for c in ("own", "n", "rare")), strict=True)]
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in keys]))
+            yield pa.RecordBatch.from_arrays([_long(np.concatenate([np.zeros(0, U64), *keys])), *(batch.column(c).take(rows) for c in ("a", "b", "n", "most"))], names=["key", "a", "b", "n", "most"])
 
-def _wanted(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The sets of some nodes (a, b): picked before they are dealt, if the nodes are few."""
-    nodes = shared.cut(nodes.distinct())
-    return sets.join(F.broadcast(nodes), ["a", "b"], "left_semi") if nodes.count() <= FEW else sets
+    return nodes.mapInArrow(run, "key long, a long, b long, n int, most int")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    sets = _wanted(sets, pairs.select(F.col("xa").alias("a"), F.col("xb").alias("b")).union(pairs.select("ya", "yb")))
-    for side in ("x", "y"):
-        pairs = pairs.join(sets.select(F.col("a").alias(f"{side}a"), F.col("b").alias(f"{side}b"), F.col("shingles").alias(f"{side}s")), [f"{side}a", f"{side}b"])
-    return pairs
+def _pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """xa, xb, ya, yb: the pairs within each list ``l`` (ordered by set size), once, that sizes and own shingles allow."""
+    partner = f"y.n * {percent} <= x.n * 100 AND y.n <= x.most AND x.n <= y.most AND (x.label IS NULL OR y.label IS NULL OR x.label <> y.label)"
+    pairs = lists.select(F.posexplode("l").alias("i", "x"), "l").select("x", F.explode(F.expr(f"filter(slice(l, i + 2, size(l)), y -> {partner})")).alias("y"))
+    x, y = (F.struct(F.col(f"{s}.a"), F.col(f"{s}.b")) for s in "xy")
+    pairs = pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    return pairs.select(F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb")).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those pairs xa, xb, ya, yb that are similar."""
+    for s in "xy":
+        pairs = pairs.join(nodes.select(F.col("a").alias(f"{s}a"), F.col("b").alias(f"{s}b"), F.col("n").alias(f"{s}n"), F.col("own").alias(f"{s}s")), [f"{s}a", f"{s}b"])
+    both = F.size(F.array_intersect("xs", "ys"))
+    return pairs.where(100 * both >= percent * (F.col("xn") + F.col("yn") - both)).select("xa", "xb", "ya", "yb")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in ("xs", "ys"))
-            keep = [similar(np.frombuffer(p, U64), np.frombuffer(q, U64), percent) for p, q in zip(x, y, strict=True)]
-            yield batch.select(["xa", "xb", "ya", "yb"]).filter(pa.array(keep, pa.bool_()))
-
-    return _with_sets(pairs, sets).select("xa", "xb", "ya", "yb", "xs", "ys").mapInArrow(run, "xa long, xb long, ya long, yb long")
 
-
-def difference(x: np.ndarray, centre: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Elements of the symmetric difference: added rare ones, added frequent ones, then missing ones (marked)."""
-    added, missing = np.setdiff1d(x, centre, assume_unique=True), np.setdiff1d(centre, x, assume_unique=True)
-    often = shared.in_bitmap(frequent, added)
-    return np.concatenate([added[~often], added[often], tokens.mix(missing + U64(1))])
-
-
-def centres(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def centres(groups: DataFrame, nodes: DataFrame, step: int) -> DataFrame:
     """g, centre: the shingles that most of a group's sample of up to ``SAMPLE`` members have."""
-    part = F.pmod(F.xxhash64("a", "b", "g"), F.lit(SAMPLE))
+    part = F.pmod(F.xxhash64("a", "b", "g", F.lit(step)), F.lit(SAMPLE))
     sample = groups.groupBy("g", part.alias("_part")).agg(F.min(F.struct("a", "b")).alias("_s")).select("g", F.col("_s.a").alias("a"), F.col("_s.b").alias("b"))
-    sample = sample.join(sets, ["a", "b"]).groupBy("g").agg(F.collect_list("shingles").alias("sample"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for own in batch.column("sample").to_pylist():
-                value, count = np.unique(np.frombuffer(b"".join(own), U64), return_counts=True)
-                out.append(value[2 * count > len(own)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(out, pa.binary())], names=["g", "centre"])
-
-    return sample.mapInArrow(run, "g long, centre binary")
+    sizes = sample.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
+    counts = sample.join(nodes.select("a", "b", "own"), ["a", "b"]).select("g", F.explode("own").alias("h")).groupBy("g", "h").agg(F.count(F.lit(1)).alias("_c"))
+    common = counts.join(sizes, "g").where("2 * _c > _n").groupBy("g").agg(F.array_sort(F.collect_list("h")).alias("centre"))
+    return sizes.select("g").join(common, "g", "left").select("g", F.coalesce("centre", F.expr("cast(array() AS array<bigint>)")).alias("centre"))
 
 
-def differences(groups: DataFrame, sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
-    """g, a, b, n, size of the symmetric difference with the group's centre, keys of its first elements."""
+def differences(groups: DataFrame, nodes: DataFrame, percent: int, step: int) -> DataFrame:
+    """g, a, b, n, most, label, excess, keys: each member's difference from its group's centre.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, keys = [], []
-            for g, x, centre in zip(*(batch.column(c).to_pylist() for c in ("g", "shingles", "centre")), strict=True):
-                x = np.frombuffer(x, U64)
-                elements = difference(x, np.frombuffer(centre, U64), frequent)
-                sizes.append(len(elements))
-                elements = elements[: most_difference(len(x), percent) + 1]
-                keys.append(tokens.mix(elements ^ tokens.mix(np.full(len(elements), U64(g & (1 << 64) - 1)))))
-            cut = np.cumsum([0, *(len(x) for x in keys)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cut), _long(np.concatenate([np.zeros(0, U64), *keys])))
-            yield pa.RecordBatch.from_arrays([*batch.select(["g", "a", "b", "n"]).columns, pa.array(sizes, pa.int64()), lists], names=["g", "a", "b", "n", "size", "keys"])
-
-    middle = shared.cut(centres(groups, sets))
-    small = (middle.agg(F.sum(F.length("centre"))).first()[0] or 0) <= BROADCAST
-    sets = _wanted(sets, groups.select("a", "b"))
-    rows = groups.join(sets, ["a", "b"]).join(F.broadcast(middle) if small else middle, "g")
-    return rows.select("g", "a", "b", "n", "shingles", "centre").mapInArrow(run, f"g long, {NODE}, size long, keys array<long>")
-
-
-def close_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links that follow from two differences that are small together.
-
-    Each member is held against the member of each set size with the smallest
-    difference: if x and y are close, then x to the nearest of y's size, that
-    to the nearest of x's size, and that to y are close, too.
+    Two members are similar for sure if their excesses add up to 0 or less:
+    then both differences together are no more than the threshold allows.
     """
-    near = rows.where((100 + percent) * F.col("size") * percent <= (100 - percent) * F.col("n") * (100 + percent))
-    best = near.groupBy("g", F.col("n").alias("zn")).agg(F.min(F.struct("size", "a", "b")).alias("_z"))
-    pairs = near.join(best, "g").where((100 + percent) * (F.col("size") + F.col("_z.size")) <= (100 - percent) * (F.col("n") + F.col("zn")))
-    pairs = pairs.where("a <> _z.a OR b <> _z.b")
-    return pairs.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("_z.a").alias("ya"), F.col("_z.b").alias("yb")).distinct()
-
+    rows = groups.join(nodes.select("a", "b", "own"), ["a", "b"]).join(centres(groups, nodes, step), "g")
+    alone = F.col("n") - F.size("own")
+    elements = F.concat(F.array_except("own", "centre"), F.transform(F.array_except("centre", "own"), lambda x: -1 - x))
+    rows = rows.select("g", "a", "b", "n", "most", "label", alone.alias("_alone"), elements.alias("_elements"))
+    excess = (100 + percent) * (F.col("_alone") + F.size("_elements")) - (100 - percent) * F.col("n")
+    first = F.floor(F.col("n") * (100 - percent) / percent).cast("int") + 1 - F.col("_alone")
+    keys = F.transform(F.slice("_elements", 1, F.greatest(first, F.lit(0))), lambda x: F.xxhash64("g", x))
+    return rows.select("g", "a", "b", "n", "most", "label", excess.alias("excess"), keys.alias("keys"))
 
-def _pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """The pairs within each list ``l`` (ordered by set size), once, that may be similar by their sizes."""
-    pairs = lists.select(F.posexplode("l").alias("i", "x"), "l").select("x", F.explode(F.expr(f"filter(slice(l, i + 2, size(l)), y -> y.n * {percent} <= x.n * 100)")).alias("y"))
-    x, y = (F.struct(F.col(f"{s}.a"), F.col(f"{s}.b")) for s in "xy")
-    pairs = pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
-    return pairs.select(F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb")).distinct()
 
+def links(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Enough links xa, xb, ya, yb that their components are those of all links.
 
-def links(postings: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Enough links xa, xb, ya, yb that their components are those of all links."""
-    found, node, step, held = [], F.struct("n", "a", "b"), 0, None
+    Members that have one label are linked already.
+    """
+    found, step = [], 0
+    postings = postings.withColumn("label", F.lit(None).cast("long"))
     while True:
-        sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
-        sized = shared.cut(postings.join(sizes.where("_size > 1"), "key"))
-        small = SMALL if step < STEPS else 1 << 30
-        lists = sized.where(F.col("_size") <= small).groupBy("key").agg(F.array_sort(F.collect_list(node)).alias("l")).select("l").distinct()
-        pairs = shared.cut(possible(_pairs(lists, percent), nodes, percent))
-        long_lists = sized.where(F.col("_size") > small)
-        if held is None:  # later steps deal with nodes of the long lists only
-            ends = pairs.select(F.col("xa").alias("a")).union(pairs.select("ya")).union(long_lists.select("a"))
-            held = sets(documents, k, ends)
-        found.append(shared.cut(verified(pairs, held, percent)))
-        if long_lists.isEmpty():
+        stats = postings.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min("n").alias("_least"), F.max("most").alias("_most"), F.count("label").alias("_labels"), F.min("label").alias("_one"), F.max("label").alias("_other"))
+        stats = stats.where("_size > 1 AND NOT (_labels = _size AND _one = _other)").select("key", "_size", "_least", "_most")
+        sized = shared.cut(postings.join(stats, "key").where("most >= _least AND n <= _most"))
+        lists = sized.where(F.col("_size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "a", "b", "most", "label"))).alias("l"))
+        pairs = shared.cut(_pairs(lists.select("l").distinct(), percent))
+        found.append(shared.cut(verified(pairs, nodes, percent)))
+        rest = sized.where(F.col("_size") > SMALL)
+        if rest.isEmpty():
             break
-        if step < 2:  # lists of one family of copies have the same heaviest member: they are one group
-            weight = long_lists.groupBy("a", "b").agg(F.sum("_size").alias("_weight"))
-            heaviest = long_lists.join(weight, ["a", "b"]).groupBy("key").agg(F.max(F.struct("_weight", "a", "b")).alias("_p"))
+        if step == 0:  # lists of one family of copies have the same heaviest member: they are one group
+            weight = rest.groupBy("a", "b").agg(F.sum("_size").alias("_weight"))
+            heaviest = rest.join(weight, ["a", "b"]).groupBy("key").agg(F.max(F.struct("_weight", "a", "b")).alias("_p"))
             names = heaviest.select("key", F.xxhash64("_p.a", F.lit(step)).alias("g"))
-        else:  # equal lists only, so that a group is part of the one that it comes from
-            names = long_lists.groupBy("key").agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("_sum"), F.count(F.lit(1)).alias("_n")).select("key", F.xxhash64("_sum", "_n").alias("g"))
-        groups = shared.cut(long_lists.join(names, "key").select("g", "a", "b", "n").distinct())
-        rows = shared.cut(differences(groups, held, percent, frequent))
-        found.append(close_links(rows, percent))
-        postings = rows.select(F.explode("keys").alias("key"), "a", "b", "n").distinct()
+        else:  # equal lists only, so that a group is a part of the one that it comes from
+            names = rest.groupBy("key").agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("_sum"), F.count(F.lit(1)).alias("_n")).select("key", F.xxhash64("_sum", "_n", F.lit(step)).alias("g"))
+        groups = shared.cut(rest.join(names, "key").groupBy("g", "a", "b", "n", "most").agg(F.min("label").alias("label")))
+        rows = shared.cut(differences(groups, nodes, percent, step))
+        nearest = rows.groupBy("g").agg(F.min(F.struct("excess", "a", "b")).alias("_z"))
+        rows = rows.join(nearest, "g").withColumn("_near", F.col("excess") + F.col("_z.excess") <= 0)
+        found.append(rows.where("_near AND (a <> _z.a OR b <> _z.b)").select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("_z.a").alias("ya"), F.col("_z.b").alias("yb")))
+        label = F.when(F.col("_near"), F.xxhash64("g", F.lit(step))).otherwise(F.col("label"))
+        postings = rows.select(F.explode("keys").alias("key"), "a", "b", "n", "most", label.alias("label"))
         step += 1
     out = found[0]
     for more in found[1:]:
@@ -397,15 +331,15 @@ def classes(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     if percent < 60:
         raise ValueError("percent must be 60 or more")
     shared.prepare(documents.sparkSession)
-    rows = shared.cut(members(documents, k))
-    known = rows.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = shared.cut(known.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch")))
+    rows = shared.cut(members(documents, k, percent))
+    nodes = shared.cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("m").alias("m")))
     own = documents.where("doc_id IS NOT NULL")
-    frequent = frequent_shingles(own, k, percent)
-    copies = known.join(nodes, ["a", "b"]).where("doc_id <> first").select("doc_id", "a", "b", F.lit(False).alias("again")).distinct()
-    again = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.min("a").alias("a"), F.min("b").alias("b")).where("_n > 1")
-    postings = index(own, k, percent, frequent, shared.cut(copies.union(again.select("doc_id", "a", "b", F.lit(True)))))
-    found = links(postings, nodes, own, k, percent, frequent)
+    lack = F.col("n") - least_overlap(F.col("n"), percent)
+    counted = nodes.join(not_own(own, k, percent), "a", "left")
+    alive = counted.where((F.col("m") - F.coalesce("shared", F.lit(0)) <= lack) & (F.floor(F.col("n") * 100 / percent) > F.col("n")))
+    held = shared.cut(sets(own, k, shared.cut(alive.select("a", "b"))))
+    indexed = shared.cut(ordered(held, percent))
+    found = links(index(indexed, percent), indexed, percent)
     ends = [nodes.select(F.col("a").alias(f"{s}a"), F.col("b").alias(f"{s}b"), F.col("first").alias(t)) for s, t in (("x", "u"), ("y", "v"))]
     edges = found.join(ends[0], ["xa", "xb"]).join(ends[1], ["ya", "yb"]).select("u", "v")
     merged = shared.components(edges).withColumnRenamed("node", "first")

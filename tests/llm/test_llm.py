@@ -121,23 +121,21 @@ def test_jaccard_join(spark, corpus, monkeypatch, k, percent, small):
 def test_jaccard_prefixes():
     """Two similar sets share a key, whatever the classes of their shingles."""
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        n, common = int(rng.integers(9, 300)), None
-        universe = [f"t{x}" for x in rng.permutation(2000)[: n + 40]]
-        x = universe[:n]
+    for _ in range(300):
+        n = int(rng.integers(9, 300))
+        universe = rng.permutation(1 << 20)[: n + 40].astype(np.uint64) << np.uint64(33)
         drop = int(rng.integers(0, max(1, n // 19) + 1))
-        y = x[drop:] + universe[n : n + int(rng.integers(0, max(1, n // 19) + 1))]
-        column = pa.array([" ".join(x), " ".join(y)])
-        s = jaccard.Shingles(column, 1)
-        frequent = np.zeros(1 << 10, np.uint8)
-        for h in s.hash[rng.random(len(s.hash)) < rng.random()]:
-            frequent[(int(h) & 8191) >> 3] |= np.uint8(1 << (int(h) & 7))
-        s = jaccard.Shingles(column, 1, frequent)
-        sets = [set(s.hash[s.start[i] : s.start[i + 1]].tolist()) for i in (0, 1)]
-        keys, rows = jaccard.signatures(s, 90)
-        common = set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
-        if sets[0] != sets[1] and 100 * len(sets[0] & sets[1]) >= 90 * len(sets[0] | sets[1]):
-            assert common
+        x, y = universe[:n], np.concatenate([universe[drop:n], universe[n : n + int(rng.integers(0, max(1, n // 19) + 1))]])
+        nodes = {int(h): int(rng.integers(1, 9)) for h in universe}  # how many sets have it
+        nodes |= {int(h): max(2, nodes[int(h)]) for h in set(x.tolist()) & set(y.tolist())}
+        bound, keys = int(rng.integers(2, 10)), []
+        for s in (x, y):
+            own = sorted((nodes[h], h) for h in s.tolist() if nodes[h] > 1)
+            rare = sum(c < bound for c, _ in own)
+            keys.append(set(jaccard.signature(np.array([h for _, h in own], np.uint64), len(s), rare, 90).tolist()))
+        both = len(set(x.tolist()) & set(y.tolist()))
+        if drop + len(y) - both and 100 * both >= 90 * (len(x) + len(y) - both):
+            assert keys[0] & keys[1]
 
 
 def test_keep_one(spark, corpus):
