@@ -1,45 +1,50 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are the n-grams, up to two words, that occur ``LEAST`` times in the
-training texts; an arc adds a word, a failure arc drops the oldest one at the
-price of its backoff weight.  The threshold is a fixed count, so the model grows
-with the corpus.  Probabilities are absolutely discounted counts, backoff
-weights make each state's sum 1, and the empty state has add-one unigrams over
-all words.
-
-The walk through the automaton adds up to a sum over a text's n-grams: every
-kept n-gram has one value, which holds its probability, less what its shorter
-forms gave, and its own backoff weight.  So the model is a table of keys and
-values.  The values of n-grams with a share of ``SHARE`` of the training tokens
-(at most 1 / SHARE of each order) are sent to the executors, where they save
-shuffling; all others come by a join with the texts' n-grams.
+States are the n-grams of up to two words that the training texts hold, arcs
+add a token, a failure arc drops a state's oldest word.  Every n-gram up to
+three tokens is kept, whatever its count, so the model grows with the corpus.
+An arc's weight is the smoothed probability
+
+    P(w | h) = (c(hw) + PRIOR * P(w | h')) / (c(h) + PRIOR),
+
+h' being h without its oldest word, and a failure arc's PRIOR / (c(h) + PRIOR);
+the empty state has add-one unigrams over the training words and one more.
+Each state's arcs and failure arc give probabilities that sum to 1.
+
+The automaton is never gathered.  Documents are taken in blocks of about
+``BLOCK`` tokens.  Each block sends its distinct n-grams, with their counts in
+its training texts, to the tasks that own their hash ranges, as sorted keys in
+packed rows, and gets back the counts over all blocks.  With these it holds the
+part of the automaton that its documents can reach, and walks it: from left to
+right every token takes the arc of the state that the words before it lead to,
+or failure arcs until there is one, and the logarithms of all weights add up.
+An n-gram is one key of a block, however often it occurs, so none is a hot key.
 
 Defined cases: null counts as empty, and an empty text is the end token alone;
-very long texts are read whole; repeated rows each give a row; rows without an
-id are scored but not learned from; an empty table gives an empty result, and
-without training documents every word is unknown (N = V = 0); other columns
-are ignored.
+very long texts are read whole; repeated rows each give a row and each count;
+rows without an id are scored but not learned from; an empty table gives an
+empty result, and without training documents every word is unknown (N = V = 0);
+other columns are ignored.  The documents must come in the same order whenever
+they are read, as files do; else an error says so.
 """
 
 from __future__ import annotations
 
-import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm import sampling, shared, tokens
 
-LEAST, DISCOUNT, ORDER = 2, 0.5, 3
-#: N-grams from this share of the tokens on are looked up without a join.
-SHARE = 2e-6
-#: log2 of the bits of the filters of n-grams.
-BITS = 27
-#: Tokens that a task counts together.
-BLOCK = 1 << 22
+ORDER = 3
+#: Weight of the shorter context for contexts of one and of two words.
+PRIOR = (300.0, 30.0)
+#: Tokens of a block, and n-grams (about) whose counts are added up together.
+BLOCK, RANGE = 3 << 19, 1 << 20
+#: Bits of an n-gram's key.
+BITS = 56
 U64 = np.uint64
 END = U64(0x5BD1E995CAFEF00D)
 
@@ -56,281 +61,229 @@ def sequence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, rows
 
 
-def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+def grams(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams of all orders that lie in one row, and the token at which each ends; order by order."""
+    keys, ends = [], []
+    for n in range(1, ORDER + 1):
+        at = tokens.ngram_rows(rows, n)
+        keys.append((tokens.mix((tokens.ngram_hashes(words, n) if n > 1 else words)[at] + U64(n)) >> U64(64 - BITS)))
+        ends.append(at + n - 1)
+    return np.concatenate(keys), np.concatenate(ends)
 
 
-class Automaton:
-    """Token and word numbers of a model; in memory, its n-grams by order: sorted keys, log10 probabilities and, where they are states, log10 backoff weights."""
-
-    def __init__(self, total: int, distinct: int):
-        self.total, self.distinct = total, distinct
-        self.least = 2
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.log_p: list[np.ndarray] = []
-        self.backoff: list[np.ndarray] = []
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys.append(keys[order])
-        self.counts.append(counts[order].astype(float))
-
-    def grams(self, words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the n-grams that end at each token, and whether they lie in one row."""
-        key = np.zeros(len(words), U64)
-        inside = np.zeros(len(words), bool)
-        if len(words) >= n:
-            key[n - 1 :] = tokens.ngram_hashes(words, n) if n > 1 else words
-            inside[n - 1 :] = rows[n - 1 :] == rows[: len(rows) - n + 1]
-        return key, inside
-
-    def places(self, words: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-        """For each order the kept n-gram that ends at each token, or -1."""
-        out = []
-        for n, keys in enumerate(self.keys, 1):
-            key, inside = self.grams(words, rows, n)
-            place = np.full(len(words), -1)
-            if n > 1:  # both parts must be kept
-                inside &= (out[-1] >= 0) & (np.r_[-1, out[-1][:-1]] >= 0)
-            use = np.flatnonzero(inside)
-            place[use] = find(keys, key[use])
-            out.append(place)
-        return out
+def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Which of the equal hash ranges each key is in."""
+    return ((keys >> U64(BITS - 32)) * U64(parts) >> U64(32)).astype(np.int64)
 
-    def weigh(self, parents: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Probabilities and backoff weights; parents: for each order from 2, the places of an n-gram's context and of its shorter form."""
-        self.log_p = [np.log10((self.counts[0] + 1) / (self.total + self.distinct + 1))] if self.keys else []
-        for n in range(2, len(self.keys) + 1):
-            context, shorter = parents[n - 2]
-            p = (self.counts[n - 1] - DISCOUNT) / self.counts[n - 2][context]
-            size = len(self.keys[n - 2])
-            given = np.bincount(context, weights=p, minlength=size)
-            lower = np.bincount(context, weights=10 ** self.log_p[n - 2][shorter], minlength=size)
-            self.log_p.append(np.log10(p))
-            self.backoff.append(np.log10(np.maximum(1 - given, 1e-9)) - np.log10(np.maximum(1 - lower, 1e-9)))
-
-    def score(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: log10 probability (of a rare word, without its count), count (0: rare or unknown), whether it has arcs."""
-        place = self.places(words, rows)
-        known = place[0] >= 0 if place else np.zeros(len(words), bool)
-        count = np.zeros(len(words))
-        if place:
-            count[known] = self.counts[0][place[0][known]]
-        out = np.log10(count + 1) - np.log10(self.total + self.distinct + 1)
-        first = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.zeros(0, bool)
-        for n in range(2, len(self.keys) + 1):
-            context = np.r_[-1, place[n - 2][:-1]] if len(words) else place[n - 2]
-            context[first] = -1
-            state = context >= 0
-            arc = place[n - 1] >= 0
-            failed = state & ~arc
-            out[failed] += self.backoff[n - 2][context[failed]]
-            out[arc] = self.log_p[n - 1][place[n - 1][arc]]
-        return out, count, known
-
-
-def _count(documents: DataFrame, keys_of, schema: str = "key long, n long") -> DataFrame:
-    """Sums over all documents of the keys that keys_of(batch) gives, added up in blocks first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers, the lowest bytes of all first: high bytes are mostly 0 and cost nothing once compressed."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-        def report() -> pa.RecordBatch:
-            value, n = np.unique(np.concatenate([np.zeros(0, U64), *held]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-        for batch in tokens.row_slices(batches):
-            held.append(keys_of(batch))
-            size += len(held[-1])
-            if size >= BLOCK:
-                yield report()
-                held, size = [], 0
-        yield report()
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
-    return documents.mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
 
+class Automaton:
+    """The part of the model that a block's documents reach.
 
-def _grams(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Last tokens and keys of the n-grams that lie in one row."""
-    at = tokens.ngram_rows(rows, n)
-    return at + n - 1, (tokens.ngram_hashes(words, n) if n > 1 else words)[at]
+    c: for each order the count of the n-gram that ends at each token (0: it is
+    not in the model, so it is neither an arc nor a state).
+    """
 
+    def __init__(self, c: list[np.ndarray], rows: np.ndarray, total: int, distinct: int):
+        self.c, self.rows = c, rows
+        #: What the empty state gives each token.
+        self.base = (c[0] + 1) / (total + distinct + 1)
 
-class Store:
-    """Tables that are written once, in a folder of the shared checkpoint folder."""
+    def states(self) -> list[np.ndarray]:
+        """For each number of words the count of the state that the words before each token lead to, 0 where there is none."""
+        out = []
+        for n in range(1, ORDER):
+            before = np.zeros(len(self.rows))
+            before[1:] = np.where(self.rows[1:] == self.rows[:-1], self.c[n - 1][:-1], 0)
+            out.append(before)
+        return out
 
-    def __init__(self, spark):
-        self.spark = shared.prepare(spark)
-        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lm-{uuid.uuid4().hex}"
+    def walk(self) -> np.ndarray:
+        """log10 of the weights on each token's way from the state before it: failure arcs, and the first arc found."""
+        states, weights, failures = self.states(), [self.base], [np.ones(len(self.rows))]
+        for count, c, prior in zip(states, self.c[1:], PRIOR, strict=True):
+            failures.append(np.where(count > 0, prior / (count + prior), 1.0))  # 1: the walk does not pass there
+            weights.append(np.where(count > 0, (c + prior * weights[-1]) / (count + prior), weights[-1]))
+        log, pending = np.zeros(len(self.rows)), np.ones(len(self.rows), bool)
+        for n in reversed(range(ORDER)):  # from the longest state down its failure arcs
+            arc = pending & ((states[n - 1] > 0) & (self.c[n] > 0) if n else True)
+            log[arc] += np.log10(weights[n][arc])
+            pending &= ~arc
+            log[pending] += np.log10(failures[n][pending])
+        return log
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """Name, slices, words and rows (numbered through) of each run of documents with about ``BLOCK`` tokens; the name says what they hold."""
+    held, words, rows, size, n = [], [], [], 0, 0
+
+    def block() -> tuple:
+        w, r = np.concatenate(words), np.concatenate(rows)
+        ids = np.concatenate([b.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64).view(U64)
+        name = np.array([np.sum(tokens.mix(w + np.arange(len(w), dtype=U64)), dtype=U64), np.sum(tokens.mix(ids ^ tokens.mix(np.arange(len(ids), dtype=U64))), dtype=U64)])
+        return int(name.sum(dtype=U64).view(np.int64)), held, w, r
+
+    for batch in tokens.row_slices(batches):
+        w, r = sequence(batch.column("text"))
+        held.append(batch), words.append(w), rows.append(r + n)
+        size, n = size + len(w), n + batch.num_rows
+        if size >= BLOCK:
+            yield block()
+            held, words, rows, size, n = [], [], [], 0, 0
+    if held:
+        yield block()
+
+
+def _column(slices: list[pa.RecordBatch], name: str) -> pa.Array:
+    return pa.chunked_array([b.column(name) for b in slices]).combine_chunks()
+
+
+def totals(documents: DataFrame) -> tuple[int, int, int]:
+    """Training tokens, different ones among them, and all tokens of documents (text, learn)."""
 
-    def put(self, frame: DataFrame, name: str) -> DataFrame:
-        """Writes a frame, and has Spark remove the shuffle files that nothing refers to any more."""
-        frame.write.parquet(f"{self.folder}/{name}")
-        schema = frame.schema
-        del frame
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, slices, words, rows in _blocks(batches):
+            learn = _column(slices, "learn").to_numpy(zero_copy_only=False).astype(bool)[rows]
+            key, of = np.unique(words, return_inverse=True)
+            columns = [pa.array(key.view(np.int64)), pa.array(np.bincount(of, weights=learn, minlength=len(key)).astype(np.int64)), pa.array(np.bincount(of, minlength=len(key)).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "all"])
 
-    def drop(self, *names: str) -> None:
-        """Deletes some tables, or all."""
-        context = self.spark.sparkContext
-        for name in names or ("",):
-            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    counted = documents.mapInArrow(run, "key long, n long, all long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
+    got = counted.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.sum("all").alias("all")).first()
+    return got["n"] or 0, got["v"], got["all"] or 0
 
 
-def _parts(documents: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
-    """key, context, shorter of the n-grams that pass a filter."""
+def requests(documents: DataFrame, parts: int) -> DataFrame:
+    """part, block, keys, counts: the distinct n-grams of each block in each hash range, and how often its training texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def report() -> pa.RecordBatch:
-            key, context, shorter = (np.concatenate([np.zeros(0, U64), *x]) for x in (zip(*held, strict=True) if held else ((), (), ())))
-            key, first = np.unique(key, return_index=True)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, context[first], shorter[first])], names=["key", "context", "shorter"])
-
-        for batch in tokens.row_slices(batches):
-            words, rows = sequence(batch.column("text"))
-            at, key = _grams(words, rows, n)
-            lower = tokens.ngram_hashes(words, n - 1) if n > 2 else words
-            use = np.flatnonzero(shared.in_bitmap(wanted, key))
-            end = at[use] - (n - 2)  # where the shorter form begins
-            held.append((key[use], lower[end - 1], lower[end]))
-            size += len(use)
-            if size >= BLOCK:
+        for name, slices, words, rows in _blocks(batches):
+            learn = _column(slices, "learn").to_numpy(zero_copy_only=False).astype(bool)[rows]
+            keys, ends = grams(words, rows)
+            code = keys << U64(1) | learn[ends].astype(U64)
+            code.sort()
+            keys = code >> U64(1)
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            counts, keys = np.add.reduceat((code & U64(1)).astype(np.int64), first), keys[first]
+            part = ranges(keys, parts)
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            spans = list(zip(cut, np.append(cut[1:], len(keys)), strict=True))
+            columns = [pa.array(part[cut]), pa.array([name] * len(cut), pa.int64()), pa.array([pack(np.diff(keys[a:b], prepend=U64(0))) for a, b in spans], pa.binary()), pa.array([pack(counts[a:b]) for a, b in spans], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "keys", "counts"])
+
+    return documents.mapInArrow(run, "part long, block long, keys binary, counts binary")
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by part: the counts over all blocks, for each block's keys in a part."""
+    part, held = None, []
+
+    def report() -> pa.RecordBatch:
+        keys = [np.cumsum(unpack(r["keys"]), dtype=U64) for r in held]
+        every, of = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(of, weights=np.concatenate([unpack(r["counts"]) for r in held]), minlength=len(every)).astype(np.int64)
+        cut = np.cumsum([0, *(len(k) for k in keys)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r["block"] for r in held], pa.int64()), pa.array([1] * len(held), pa.int32()), pa.array([part] * len(held), pa.int64()), pa.array([pack(total[of[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
+            names=["block", "kind", "at", "data"],
+        )
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and r["part"] != part:
                 yield report()
-                held, size = [], 0
+                held = []
+            part = r["part"]
+            held.append(r)
+    if held:
         yield report()
 
-    return documents.mapInArrow(run, "key long, context long, shorter long").groupBy("key").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"))
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slices of each block, compressed, on their way to the block's answers."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for name, slices, _, _ in _blocks(batches):
+        for at, batch in enumerate(slices):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            data = squeeze.compress(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([0], pa.int32()), pa.array([at], pa.int64()), pa.array([data], pa.binary())], names=["block", "kind", "at", "data"])
+
+
+_ROW = "block long, kind int, at long, data binary"
+
+
+def _scored(total: int, distinct: int):
+    def block(parts: dict[int, list], answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        slices = [pa.ipc.open_stream(zstandard.decompress(parts[at][0])).read_all().combine_chunks().to_batches()[0] for at in sorted(parts)]
+        got = [sequence(b.column("text")) for b in slices]
+        first = np.cumsum([0, *(b.num_rows for b in slices)])
+        words, rows = np.concatenate([w for w, _ in got]), np.concatenate([r + n for (_, r), n in zip(got, first, strict=False)])
+        keys, ends = grams(words, rows)
+        every, of = np.unique(keys, return_inverse=True)
+        counts = np.concatenate([np.zeros(0, U64), *(unpack(answers[at]) for at in sorted(answers))])
+        if len(counts) != len(every):
+            raise ValueError("the documents came in another order when they were read again; write them to a table first")
+        c, value, low = [], counts[of].astype(float), 0
+        for n in range(1, ORDER + 1):
+            high = low + len(tokens.ngram_rows(rows, n))
+            c.append(np.zeros(len(words)))
+            c[-1][ends[low:high]] = value[low:high]
+            low = high
+        automaton = Automaton(c, rows, total, distinct)
+        n = int(first[-1])
+        sums = [np.bincount(rows, weights=x, minlength=n) for x in (np.ones(len(rows)), c[0] > 0, np.log10(automaton.base), automaton.walk())]
+        for at, batch, low in zip(sorted(parts), slices, first, strict=False):
+            own = [x[low : low + batch.num_rows] for x in sums]
+            columns = [batch.column("doc_id"), batch.column("learn"), pa.array(own[0].astype(np.int64)), pa.array(own[1].astype(np.int64)), pa.array(own[2]), pa.array(own[3])]
+            for _ in parts[at]:  # blocks with the same documents have one name
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "learn", "n_tokens", "n_known", "base_score", "score"])
 
-def train(documents: DataFrame, share: float = 0.0, order: int = ORDER, store: Store | None = None) -> tuple[Automaton, DataFrame]:
-    """Token and word numbers, and the model: key, n, known, base, value of all words and kept n-grams.
-
-    share: keeps n-grams from a share of the tokens on only, where a smaller model is wanted.
-    """
-    documents, store = shared.texts(documents), store or Store(documents.sparkSession)
-    words = store.put(_count(documents, lambda batch: sequence(batch.column("text"))[0]), "words")
-    row = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    automaton = Automaton(row["n"] or 0, row["v"])
-    least = automaton.least = max(LEAST, int(np.ceil(share * automaton.total)))
-    floor = lambda x: F.log10(F.greatest(F.lit(1.0) - x, F.lit(1e-9)))
-    level = words.where(F.col("n") >= least).select("key", "n", ((F.col("n") + 1.0) / float(automaton.total + automaton.distinct + 1)).alias("p"))
-    levels, backs = [], []
-    for n in range(2, order + 1):
-        wanted = shared.bitmap(level.select("key"), BITS)
-
-        def grams(batch: pa.RecordBatch, n: int = n, wanted: np.ndarray = wanted) -> np.ndarray:
-            own, rows = sequence(batch.column("text"))
-            at, key = _grams(own, rows, n)
-            kept = shared.in_bitmap(wanted, tokens.ngram_hashes(own, n - 1) if n > 2 else own)
-            end = at - (n - 2)
-            return key[kept[end - 1] & kept[end]]
-
-        counted = store.put(_count(documents, grams).where(F.col("n") >= least), "counted")
-        rows = _parts(documents, n, shared.bitmap(counted.select("key"), BITS)).join(counted, "key")
-        rows = rows.join(level.select(F.col("key").alias("context"), F.col("n").alias("_n")), "context")
-        rows = rows.join(level.select(F.col("key").alias("shorter"), F.col("p").alias("lower")), "shorter")
-        level = store.put(rows.select("key", "context", "n", ((F.col("n") - DISCOUNT) / F.col("_n")).alias("p"), "lower"), f"level-{n}")
-        store.drop("counted")
-        levels.append(level)
-        backs.append(store.put(level.groupBy(F.col("context").alias("key")).agg((floor(F.sum("p")) - floor(F.sum("lower"))).alias("back")), f"back-{n}"))
-    zero, none = F.lit(0.0), F.lit(0)
-    own = lambda frame, i: frame.join(backs[i], "key", "left") if i < len(backs) else frame.withColumn("back", zero)
-    model = own(words, 0).select("key", "n", F.lit(1).alias("known"), F.log10(F.col("n") + 1.0).alias("base"), F.coalesce("back", zero).alias("value"))
-    for i, rows in enumerate(levels):
-        rows = own(rows, i + 1).join(backs[i].select(F.col("key").alias("context"), F.col("back").alias("_back")), "context")
-        model = model.union(rows.select("key", "n", none, zero, F.log10("p") - F.log10("lower") - F.col("_back") + F.coalesce("back", zero)))
-    model = store.put(model, "model")
-    store.drop("words", *(f"{kind}-{n}" for n in range(2, order + 1) for kind in ("level", "back")))
-    return automaton, model
-
-
-def score(documents: DataFrame, automaton: Automaton, model: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every document."""
-    extra = [c for c in documents.columns if c not in ("doc_id", "text")]
-    bound = max(automaton.least, int(np.ceil(SHARE * automaton.total)))
-    often = model.where(F.col("n") >= bound).toArrow().combine_chunks()
-    keys = often.column("key").to_numpy().view(U64)
-    by = np.argsort(keys)
-    keys = keys[by]
-    gains = [often.column(c).to_numpy()[by] for c in ("known", "base", "value")]
-    seldom = model.where(F.col("n") < bound)
-    wanted = shared.bitmap(seldom.select("key"), BITS)
-    unknown = np.log10(automaton.total + automaton.distinct + 1)
-
-    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.row_slices(batches):
-            own, rows = sequence(batch.column("text"))
-            n = batch.num_rows
-            total, sums = np.bincount(rows, minlength=n), [np.zeros(n) for _ in gains]
-            for k in range(1, ORDER + 1):
-                at, key = _grams(own, rows, k)
-                place = find(keys, key)
-                hit = np.flatnonzero(place >= 0)
-                for out, gain in zip(sums, gains, strict=True):
-                    out += np.bincount(rows[at[hit]], weights=gain[place[hit]], minlength=n)
-            known, base, value = sums
-            base -= total * unknown
-            columns = [batch.column("doc_id"), pa.array(_doc_key(batch, own, rows)), *(batch.column(c) for c in extra), pa.array(total), pa.array(known.astype(np.int64)), pa.array(base), pa.array(base + value)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc_key", *extra, "n_tokens", "n_known", "base_score", "score"])
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.row_slices(batches):
-            own, rows = sequence(batch.column("text"))
-            held = []
-            for k in range(1, ORDER + 1):
-                at, key = _grams(own, rows, k)
-                use = np.flatnonzero(shared.in_bitmap(wanted, key))
-                use = use[find(keys, key[use]) < 0]
-                held.append((key[use], rows[at[use]]))
-            value, row = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((value, row))
-            value, row = value[order], row[order]
-            if len(value):
-                new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (row[1:] != row[:-1])])
-                columns = [pa.array(value[new].view(np.int64)), pa.array(_doc_key(batch, own, rows)[row[new]]), pa.array(np.diff(np.append(new, len(value))).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_key", "times"])
-
-    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in extra)
-    rows = documents.mapInArrow(light, f"doc_id long, doc_key long, {kinds + ', ' if kinds else ''}n_tokens long, n_known long, base_score double, score double")
-    tail = documents.select("doc_id", "text").mapInArrow(rare, "key long, doc_key long, times int")
-    tail = tail.join(seldom.select("key", "known", "base", "value"), "key")
-    times = F.col("times")
-    tail = tail.groupBy("doc_key").agg(F.sum(times * F.col("known")).alias("_known"), F.sum(times * F.col("base")).alias("_base"), F.sum(times * F.col("value")).alias("_value"))
-    rows = rows.join(tail, "doc_key", "left").withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy("doc_key")))  # each copy's rare n-grams were counted for all of them
-    known, base, value = (F.coalesce(F.col(c) / F.col("_copies"), F.lit(0.0)) for c in ("_known", "_base", "_value"))
-    return rows.select("doc_id", *extra, "n_tokens", (F.col("n_known") + known.cast("long")).alias("n_known"), (F.col("base_score") + base).alias("base_score"), (F.col("score") + base + value).alias("score"))
-
-
-def _doc_key(batch: pa.RecordBatch, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """A number for each row, the same for equal ids with equal token sequences."""
-    ids = batch.column("doc_id")
-    own = tokens.mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) + U64(1)) * ids.is_valid().to_numpy(zero_copy_only=False).astype(U64)
-    return tokens.mix(_text_key(words, rows, batch.num_rows).view(U64) + own).view(np.int64)
-
-
-def _text_key(words: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """A number for each text, the same for equal token sequences."""
-    total = np.append(U64(0), np.cumsum(tokens.mix(words + np.arange(len(words), dtype=U64) - np.searchsorted(rows, rows).astype(U64))))
-    bounds = np.searchsorted(rows, np.arange(n + 1))
-    return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, parts, answers = None, {}, {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["block"] != name and parts:
+                    yield from block(parts, answers)
+                    parts, answers = {}, {}
+                name = r["block"]
+                if r["kind"]:
+                    answers[r["at"]] = r["data"]
+                else:
+                    parts.setdefault(r["at"], []).append(r["data"])
+        if parts:
+            yield from block(parts, answers)
+
+    return run
+
+
+def score(documents: DataFrame, learn: Column) -> DataFrame:
+    """doc_id, learn, n_tokens, n_known, base_score, score, train_tokens of every document; the model learns from those where ``learn`` holds."""
+    spark = shared.prepare(documents.sparkSession)
+    rows = shared.texts(documents, F.coalesce(learn, F.lit(False)).alias("learn"))
+    total, distinct, every = totals(rows)
+    parts = max(1, ORDER * every // RANGE)
+    answers = requests(rows, parts).repartition("part").sortWithinPartitions("part").mapInArrow(_answers, _ROW)
+    both = rows.mapInArrow(_texts, _ROW).union(answers).repartition("block").sortWithinPartitions("block", "kind", "at")
+    out = both.mapInArrow(_scored(total, distinct), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def evaluate(documents: DataFrame, of: int = 7, remainder: int = 2) -> DataFrame:
     """Learns from the documents outside a fold and scores all."""
-    shared.prepare(documents.sparkSession)
     held = sampling.held_out(F.col("doc_id"), of, remainder)
-    store = Store(documents.sparkSession)
-    automaton, model = train(documents.where(F.col("doc_id").isNotNull() & ~held), store=store)
-    rows = shared.cut(score(shared.texts(documents, held.alias("held_out")), automaton, model))
-    store.drop()
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(automaton.total).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = score(documents, F.col("doc_id").isNotNull() & ~held)
+    return rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), ~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -301,78 +301,74 @@ def test_wrapped_licences(spark):
     assert [got[i] for i in range(len(rows))] == expected
 
 
-def test_language_model(spark, corpus):
-    texts = [t.replace("zz", "the cat") if t else t for t in corpus] * 2
-    share = 2e-3
-    held = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 == 2}
-    seqs = [[*WORDS.findall(lower(t or "")), None] for t in texts]
-    c = collections.Counter(w for i, s in enumerate(seqs) if i not in held for w in s)
-    total, z = sum(c.values()), sum(c.values()) + len(c) + 1
-    least = max(2, math.ceil(share * total))
-    kept = [{(w,): n for w, n in c.items() if n >= least}]
-    for order in (2, 3):
-        grams = collections.Counter(g for i, s in enumerate(seqs) if i not in held for g in zip(*(s[j:] for j in range(order)), strict=False) if g[:-1] in kept[-1] and g[1:] in kept[-1])
-        kept.append({g: n for g, n in grams.items() if n >= least})
-    p = [lambda g: (c[g[0]] + 1) / z] + [lambda g, o=o: (kept[o][g] - lm.DISCOUNT) / kept[o - 1][g[:-1]] for o in (1, 2)]
-    back = [{}, {}]
-    for o in (1, 2):
-        for h in kept[o - 1]:
-            arcs = [g for g in kept[o] if g[:-1] == h]
-            back[o - 1][h] = max(1 - sum(p[o](g) for g in arcs), 1e-9) / max(1 - sum(p[o - 1](g[1:]) for g in arcs), 1e-9)
+def plain_model(seqs, held):
+    """Counts by order, and a walk through the automaton from token to token with its state in hand."""
+    counts = [collections.Counter(g for i, s in enumerate(seqs) if i not in held for g in zip(*(s[j:] for j in range(n)), strict=False)) for n in (1, 2, 3)]
+    z = sum(counts[0].values()) + len(counts[0]) + 1
+
+    def p(h, w):
+        if not h:
+            return (counts[0][(w,)] + 1) / z
+        c, prior = counts[len(h) - 1][h], lm.PRIOR[len(h) - 1]
+        return (counts[len(h)][(*h, w)] + prior * p(h[1:], w)) / (c + prior)
 
     def walk(s):
         state, out = (), 0.0
         for w in s:
-            while state and state + (w,) not in kept[len(state)]:
-                out += math.log10(back[len(state) - 1][state])
+            while state and not counts[len(state)][(*state, w)]:  # a failure arc
+                prior = lm.PRIOR[len(state) - 1]
+                out += math.log10(prior / (counts[len(state) - 1][state] + prior))
                 state = state[1:]
-            out += math.log10(p[len(state)](state + (w,)))
-            state = (state + (w,))[-2:]
-            while state and state not in kept[len(state) - 1]:
+            out += math.log10(p(state, w))
+            state = (*state, w)[-2:]
+            while state and not counts[len(state) - 1][state]:
                 state = state[1:]
         return out
 
-    d = table(spark, texts)
-    automaton, words = lm.train(d.where(~F.col("doc_id").isin(*held)), share)
-    got = {r["doc_id"]: r for r in lm.score(shared.texts(d), automaton, words).collect()}
-    assert automaton.total == total
+    return counts, z, p, walk
+
+
+@pytest.mark.parametrize(("block", "size"), [(lm.BLOCK, lm.RANGE), (50, 200)])
+def test_language_model(spark, corpus, monkeypatch, block, size):
+    monkeypatch.setattr(lm, "BLOCK", block)
+    monkeypatch.setattr(lm, "RANGE", size)
+    texts = [t.replace("zz", "the cat") if t else t for t in corpus] * 2
+    held = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 == 2}
+    seqs = [[*WORDS.findall(lower(t or "")), None] for t in texts]
+    counts, z, _, walk = plain_model(seqs, held)
+    got = {r["doc_id"]: r for r in lm.evaluate(table(spark, texts)).collect()}
+    assert len(got) == len(texts)
     for i, s in enumerate(seqs):
         r = got[i]
-        assert (r["n_tokens"], r["n_known"]) == (len(s), sum(c[w] > 0 for w in s))
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / z) for w in s)) and r["score"] == pytest.approx(walk(s))
-    twice = spark.createDataFrame([(1, "rare words here"), (1, "rare words here"), (None, None)], "doc_id long, text string")
-    out = lm.evaluate(twice).collect()
-    assert len(out) == 3 and len({r["score"] for r in out if r["doc_id"] == 1}) == 1
-    assert lm.evaluate(twice.limit(0)).count() == 0
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i in held, len(s), sum(counts[0][(w,)] > 0 for w in s), counts[0].total())
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[0][(w,)] + 1) / z) for w in s)) and r["score"] == pytest.approx(walk(s))
 
 
-def test_language_model_keeps_seldom_ngrams(spark, corpus, monkeypatch):
-    """An n-gram that occurs twice keeps its arcs in a long corpus, and joined values equal sent ones."""
-    texts = ["filler " * 400_000] * 4 + ["alpha beta gamma delta"] * 2 + ["gamma beta"] + corpus
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    automaton, model = lm.train(d)
-    got = {r["doc_id"]: r for r in lm.score(shared.texts(d), automaton, model).collect()}
-    assert automaton.total > 1_600_000 and got[4]["score"] == got[5]["score"] > got[4]["base_score"] + 10
-    p = [math.log10(3 / (automaton.total + automaton.distinct + 1)), *[math.log10((2 - lm.DISCOUNT) / 2)] * 4]
-    assert got[4]["score"] == pytest.approx(sum(p))
-    monkeypatch.setattr(lm, "SHARE", 1.0)
-    for r in lm.score(shared.texts(d), automaton, model).collect():
-        assert r["score"] == pytest.approx(got[r["doc_id"]]["score"]) and r["n_known"] == got[r["doc_id"]]["n_known"]
-
-
-def test_backoff_sums_to_one():
-    a = lm.Automaton(total=100, distinct=4)
-    words = np.array([3, 5, 7, 9], np.uint64)
-    a.add(words, np.array([40, 30, 20, 10]))
-    pairs = [(0, 1, 20), (0, 2, 10), (1, 0, 15)]
-    keys = np.array([tokens.ngram_hashes(words[[i, j]], 2)[0] for i, j, _ in pairs])
-    order = np.argsort(keys)
-    a.add(keys, np.array([n for *_, n in pairs]))
-    a.weigh([(np.array([pairs[k][0] for k in order]), np.array([pairs[k][1] for k in order]))])
-    for h in range(4):
-        total = sum(10 ** a.score(words[[h, w]], np.zeros(2, int))[0][1] for w in range(4))
-        unknown = 10 ** (a.backoff[0][h]) / (a.total + a.distinct + 1)
-        assert total + unknown == pytest.approx(1.0)
+def test_language_model_rows(spark):
+    twice = spark.createDataFrame([(2, "rare words here"), (2, "rare words here"), (None, None), (None, "rare")], "doc_id long, text string")
+    out = lm.evaluate(twice).collect()
+    assert len(out) == 4 and len({r["score"] for r in out if r["doc_id"] == 2}) == 1 and {r["train_tokens"] for r in out} == {8}
+    assert lm.evaluate(twice.limit(0)).count() == 0
+    nothing = lm.score(twice, F.lit(False)).collect()
+    assert all(r["n_known"] == r["train_tokens"] == 0 and r["score"] == 0 for r in nothing)
+
+
+def test_equal_blocks(spark, monkeypatch):
+    """Parts of a table with the same documents count and are scored each."""
+    monkeypatch.setattr(lm, "BLOCK", 4)
+    d = spark.createDataFrame([(1, "a b c"), (2, "a b")] * 3, "doc_id long, text string")
+    out = lm.score(d.coalesce(1), F.lit(True)).collect()
+    assert sorted(r["doc_id"] for r in out) == [1, 1, 1, 2, 2, 2] and {r["train_tokens"] for r in out} == {21}
+    assert len({(r["doc_id"], r["score"]) for r in out}) == 2
+
+
+def test_arcs_of_a_state_sum_to_one():
+    seqs = [["a", "b", "a", "c", None], ["b", "a", "b", None], [None]]
+    counts, _, p, walk = plain_model(seqs, set())
+    for h in [(), *counts[0], *counts[1]]:
+        if None not in h:
+            assert sum(p(h, w) for (w,) in counts[0]) + p(h, "other") == pytest.approx(1.0)
+    assert walk(["b", "a"]) == pytest.approx(math.log10(p((), "b")) + math.log10(p(("b",), "a")))
 
 
 LANGUAGES = {"xx": "abcde", "yy": "defgh", "zz": "ghijk"}
