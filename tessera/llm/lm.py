@@ -42,9 +42,11 @@ ORDER = 3
 #: Weight of the shorter context for contexts of one and of two words.
 PRIOR = (300.0, 30.0)
 #: Tokens of a block, and n-grams (about) whose counts are added up together.
-BLOCK, RANGE = 3 << 19, 1 << 20
-#: Bits of an n-gram's key.
-BITS = 56
+BLOCK, RANGE = 3 << 18, 1 << 20
+#: Bits of an n-gram's key beyond those that number all n-grams: an n-gram is taken for another once in 2**SPARE.
+SPARE = 22
+#: Parts for n-grams for each part for words, of which a block has far fewer.
+WORD_PARTS = 16
 U64 = np.uint64
 END = U64(0x5BD1E995CAFEF00D)
 
@@ -61,28 +63,39 @@ def sequence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, rows
 
 
-def grams(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams of all orders that lie in one row, and the token at which each ends; order by order."""
-    keys, ends = [], []
-    for n in range(1, ORDER + 1):
-        at = tokens.ngram_rows(rows, n)
-        keys.append((tokens.mix((tokens.ngram_hashes(words, n) if n > 1 else words)[at] + U64(n)) >> U64(64 - BITS)))
-        ends.append(at + n - 1)
-    return np.concatenate(keys), np.concatenate(ends)
+class Keys:
+    """How the n-grams of a corpus are named: words by all 64 bits, longer ones by as many bits as their number needs.
 
+    size: bytes of all texts, which bound the number of tokens.
+    """
+
+    def __init__(self, size: int):
+        self.bits = (64, min(64, SPARE + max(10, (ORDER * size // 4).bit_length())))
+        parts = max(1, ORDER * size // 6 // RANGE)
+        self.parts = (-(-parts // WORD_PARTS), parts)
+
+    def of(self, words: np.ndarray, rows: np.ndarray) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+        """Keys of the words, and of all longer n-grams that lie in one row; for each order the tokens at which they end."""
+        at = [tokens.ngram_rows(rows, n) for n in range(2, ORDER + 1)]
+        longer = [tokens.mix(tokens.ngram_hashes(words, n)[a] + U64(n)) >> U64(64 - self.bits[1]) for n, a in enumerate(at, 2)]
+        return [words, np.concatenate(longer)], [[np.arange(len(words))], [a + n - 1 for n, a in enumerate(at, 2)]]
 
-def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Which of the equal hash ranges each key is in."""
-    return ((keys >> U64(BITS - 32)) * U64(parts) >> U64(32)).astype(np.int64)
+    def parts_of(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """Which hash range each key is in; those of words come first."""
+        return ((keys >> U64(self.bits[kind] - 32)) * U64(self.parts[kind]) >> U64(32)).astype(np.int64) + kind * self.parts[0]
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers, the lowest bytes of all first: high bytes are mostly 0 and cost nothing once compressed."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Whole numbers: the lowest bytes of all, then the next ones, compressed."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 class Automaton:
@@ -146,65 +159,55 @@ def _column(slices: list[pa.RecordBatch], name: str) -> pa.Array:
     return pa.chunked_array([b.column(name) for b in slices]).combine_chunks()
 
 
-def totals(documents: DataFrame) -> tuple[int, int, int]:
-    """Training tokens, different ones among them, and all tokens of documents (text, learn)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, slices, words, rows in _blocks(batches):
-            learn = _column(slices, "learn").to_numpy(zero_copy_only=False).astype(bool)[rows]
-            key, of = np.unique(words, return_inverse=True)
-            columns = [pa.array(key.view(np.int64)), pa.array(np.bincount(of, weights=learn, minlength=len(key)).astype(np.int64)), pa.array(np.bincount(of, minlength=len(key)).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "all"])
-
-    counted = documents.mapInArrow(run, "key long, n long, all long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
-    got = counted.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.sum("all").alias("all")).first()
-    return got["n"] or 0, got["v"], got["all"] or 0
-
-
-def requests(documents: DataFrame, parts: int) -> DataFrame:
+def requests(documents: DataFrame, names: Keys) -> DataFrame:
     """part, block, keys, counts: the distinct n-grams of each block in each hash range, and how often its training texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, slices, words, rows in _blocks(batches):
             learn = _column(slices, "learn").to_numpy(zero_copy_only=False).astype(bool)[rows]
-            keys, ends = grams(words, rows)
-            code = keys << U64(1) | learn[ends].astype(U64)
-            code.sort()
-            keys = code >> U64(1)
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            counts, keys = np.add.reduceat((code & U64(1)).astype(np.int64), first), keys[first]
-            part = ranges(keys, parts)
-            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            spans = list(zip(cut, np.append(cut[1:], len(keys)), strict=True))
-            columns = [pa.array(part[cut]), pa.array([name] * len(cut), pa.int64()), pa.array([pack(np.diff(keys[a:b], prepend=U64(0))) for a, b in spans], pa.binary()), pa.array([pack(counts[a:b]) for a, b in spans], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "keys", "counts"])
+            for kind, (keys, ends) in enumerate(zip(*names.of(words, rows), strict=True)):
+                order = np.argsort(keys, kind="stable")
+                keys, trained = keys[order], learn[np.concatenate(ends)[order]]
+                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+                if not len(first):
+                    continue
+                counts, keys = np.add.reduceat(trained.astype(np.int64), first), keys[first]
+                part = names.parts_of(keys, kind)
+                cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                for a, b in zip(cut, np.append(cut[1:], len(keys)), strict=True):
+                    columns = [pa.array(part[a : a + 1]), pa.array([name], pa.int64()), pa.array([pack(np.diff(keys[a:b], prepend=U64(0)))], pa.binary()), pa.array([pack(counts[a:b])], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "keys", "counts"])
 
     return documents.mapInArrow(run, "part long, block long, keys binary, counts binary")
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by part: the counts over all blocks, for each block's keys in a part."""
-    part, held = None, []
+def _answers(words: int):
+    """Rows ordered by part: the counts over all blocks, for each block's keys in a part; of the first parts, which hold words, all tokens and different ones, too."""
 
-    def report() -> pa.RecordBatch:
+    def report(part: int, held: list[dict]) -> pa.RecordBatch:
         keys = [np.cumsum(unpack(r["keys"]), dtype=U64) for r in held]
         every, of = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(of, weights=np.concatenate([unpack(r["counts"]) for r in held]), minlength=len(every)).astype(np.int64)
-        cut = np.cumsum([0, *(len(k) for k in keys)])
+        cut, n = np.cumsum([0, *(len(k) for k in keys)]), len(held)
+        sums = [[int(x) * (part < words)] + [0] * (n - 1) for x in (total.sum(), (total > 0).sum())]
         return pa.RecordBatch.from_arrays(
-            [pa.array([r["block"] for r in held], pa.int64()), pa.array([1] * len(held), pa.int32()), pa.array([part] * len(held), pa.int64()), pa.array([pack(total[of[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-            names=["block", "kind", "at", "data"],
+            [pa.array([r["block"] for r in held], pa.int64()), pa.array([1] * n, pa.int32()), pa.array([part] * n, pa.int64()), pa.array([pack(total[of[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), *(pa.array(x, pa.int64()) for x in sums)],
+            names=["block", "kind", "at", "data", "n", "v"],
         )
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            if held and r["part"] != part:
-                yield report()
-                held = []
-            part = r["part"]
-            held.append(r)
-    if held:
-        yield report()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = -1, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and r["part"] != part:
+                    yield report(part, held)
+                    held = []
+                part = r["part"]
+                held.append(r)
+        if held:
+            yield report(part, held)
+
+    return run
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +227,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ROW = "block long, kind int, at long, data binary"
 
 
-def _scored(total: int, distinct: int):
+def _scored(total: int, distinct: int, names: Keys):
     def block(parts: dict[int, list], answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -232,17 +235,17 @@ def _scored(total: int, distinct: int):
         got = [sequence(b.column("text")) for b in slices]
         first = np.cumsum([0, *(b.num_rows for b in slices)])
         words, rows = np.concatenate([w for w, _ in got]), np.concatenate([r + n for (_, r), n in zip(got, first, strict=False)])
-        keys, ends = grams(words, rows)
-        every, of = np.unique(keys, return_inverse=True)
-        counts = np.concatenate([np.zeros(0, U64), *(unpack(answers[at]) for at in sorted(answers))])
-        if len(counts) != len(every):
-            raise ValueError("the documents came in another order when they were read again; write them to a table first")
-        c, value, low = [], counts[of].astype(float), 0
-        for n in range(1, ORDER + 1):
-            high = low + len(tokens.ngram_rows(rows, n))
-            c.append(np.zeros(len(words)))
-            c[-1][ends[low:high]] = value[low:high]
-            low = high
+        c = []
+        for kind, (keys, ends) in enumerate(zip(*names.of(words, rows), strict=True)):
+            every, of = np.unique(keys, return_inverse=True)
+            counts = np.concatenate([np.zeros(0, U64), *(unpack(answers[at]) for at in sorted(answers) if (at >= names.parts[0]) == bool(kind))])
+            if len(counts) != len(every):
+                raise ValueError("the documents came in another order when they were read again; write them to a table first")
+            value, low = counts[of].astype(float), 0
+            for at in ends:
+                c.append(np.zeros(len(words)))
+                c[-1][at] = value[low : low + len(at)]
+                low += len(at)
         automaton = Automaton(c, rows, total, distinct)
         n = int(first[-1])
         sums = [np.bincount(rows, weights=x, minlength=n) for x in (np.ones(len(rows)), c[0] > 0, np.log10(automaton.base), automaton.walk())]
@@ -274,11 +277,13 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
     """doc_id, learn, n_tokens, n_known, base_score, score, train_tokens of every document; the model learns from those where ``learn`` holds."""
     spark = shared.prepare(documents.sparkSession)
     rows = shared.texts(documents, F.coalesce(learn, F.lit(False)).alias("learn"))
-    total, distinct, every = totals(rows)
-    parts = max(1, ORDER * every // RANGE)
-    answers = requests(rows, parts).repartition("part").sortWithinPartitions("part").mapInArrow(_answers, _ROW)
-    both = rows.mapInArrow(_texts, _ROW).union(answers).repartition("block").sortWithinPartitions("block", "kind", "at")
-    out = both.mapInArrow(_scored(total, distinct), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
+    names = Keys(rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0)
+    answers = requests(rows, names).repartition("part").sortWithinPartitions("part").mapInArrow(_answers(names.parts[0]), f"{_ROW}, n long, v long")
+    answers = shared.cut(answers)
+    got = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    total, distinct = got["n"] or 0, got["v"] or 0
+    both = rows.mapInArrow(_texts, _ROW).union(answers.drop("n", "v")).repartition("block").sortWithinPartitions("block", "kind", "at")
+    out = both.mapInArrow(_scored(total, distinct, names), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
