@@ -153,7 +153,7 @@ def test_packing(spark, corpus):
     import public_tokenizers
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
+    assert own.encode("<|endoftext|> x", add_special_tokens=False).ids[0] == 50256
     got = packing.pack(table(spark, corpus), capacity=64, with_ids=True).collect()
     by = collections.defaultdict(list)
     for r in got:
@@ -196,11 +196,34 @@ def test_media(spark, corpus):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len((t or "").encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
         assert media.decode(media.encode(data)) == data and b"".join(p for _, p in media.chunks(data)) == data
         assert r["media_sha256"] == hashlib.sha256(media.encode(data)).hexdigest() and r["media_bytes"] == len(media.encode(data))
-    assert got[60]["n_foreign"] == got[60]["n_chunks"] and got[3]["feature"] == got[60]["feature"]
+        image = np.frombuffer(data, np.uint8).reshape(-1, 24).astype(float)
+        steps = [abs(a - b) for row in image.tolist() for a, b in itertools.pairwise(row)]
+        assert f"{len(image)}x24 mean={image.sum() / image.size:.4f}" in r["feature"] and f" step={sum(steps) / len(steps):.4f} " in r["feature"]
+    assert tuple(got[3])[1:] == tuple(got[60])[1:]
     twice = spark.createDataFrame([(1, "x"), (1, "x"), (None, "x")], "doc_id long, text string")
     assert media.media(twice).count() == 3 and media.media(twice.limit(0)).count() == 0
 
 
+def test_media_store(spark, corpus):
+    """Repeated chunks are stored once, images come from the lists and the chunks alone, and a changed chunk is found out."""
+    texts = [*corpus, corpus[-3] + " tail", corpus[-3]]
+    stored, parts = media.store(table(spark, texts))
+    rows, chunks = stored.collect(), {r["digest"]: r["part"] for r in parts.collect()}
+    every = collections.Counter(d for t in texts for d, _ in media.chunks(media.payload(t)))
+    assert set(chunks) == {d for d, n in every.items() if n > 1} and len(chunks) == parts.count()
+    for r in rows:
+        data = media.payload(texts[r["doc_id"]])
+        assert media.put_together(r["key"], r["missing"], r["own"], r["alone"], chunks) == data
+        assert [every[d] > 1 for d, _ in media.chunks(data)] == [not x for x in r["alone"]]
+    images = {r["doc_id"]: r["media"] for r in media.images(table(spark, texts)).collect()}
+    assert all(media.decode(images[i]) == media.payload(t) for i, t in enumerate(texts))
+    r = next(r for r in rows if r["missing"])
+    with pytest.raises(ValueError, match="differs"):
+        media.put_together(r["key"], r["missing"], r["own"], r["alone"], {d: p[:-1] + b"?" for d, p in chunks.items()})
+    with pytest.raises(ValueError, match="not in the store"):
+        media.put_together(r["key"], r["missing"], r["own"], r["alone"], {})
+
+
 def test_chunks_find_passages():
     rng = random.Random(2)
     passage = sentence(rng, 4000).encode()
