@@ -12,7 +12,7 @@ the empty state has add-one unigrams over the training words and one more.
 Each state's arcs and failure arc give probabilities that sum to 1.
 
 The automaton is never gathered.  Documents are taken in blocks of about
-``BLOCK`` tokens.  Each block sends its distinct n-grams, with their counts in
+``BLOCK`` tokens (see ``blocks``).  Each block sends its distinct n-grams, with their counts in
 its training texts, to the tasks that own their hash ranges, as sorted keys in
 packed rows, and gets back the counts over all blocks.  With these it holds the
 part of the automaton that its documents can reach, and walks it: from left to
@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm import sampling, shared, tokens
+from tessera.llm import blocks, sampling, shared, tokens
 
 ORDER = 3
 #: Weight of the shorter context for contexts of one and of two words.
@@ -85,19 +85,6 @@ class Keys:
         return ((keys >> U64(self.bits[kind] - 32)) * U64(self.parts[kind]) >> U64(32)).astype(np.int64) + kind * self.parts[0]
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Whole numbers: the lowest bytes of all, then the next ones, compressed."""
-    import zstandard
-
-    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
-
-
 class Automaton:
     """The part of the model that a block's documents reach.
 
@@ -134,38 +121,13 @@ class Automaton:
         return log
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch], np.ndarray, np.ndarray]]:
-    """Name, slices, words and rows (numbered through) of each run of documents with about ``BLOCK`` tokens; the name says what they hold."""
-    held, words, rows, size, n = [], [], [], 0, 0
-
-    def block() -> tuple:
-        w, r = np.concatenate(words), np.concatenate(rows)
-        ids = np.concatenate([b.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64).view(U64)
-        name = np.array([np.sum(tokens.mix(w + np.arange(len(w), dtype=U64)), dtype=U64), np.sum(tokens.mix(ids ^ tokens.mix(np.arange(len(ids), dtype=U64))), dtype=U64)])
-        return int(name.sum(dtype=U64).view(np.int64)), held, w, r
-
-    for batch in tokens.row_slices(batches):
-        w, r = sequence(batch.column("text"))
-        held.append(batch), words.append(w), rows.append(r + n)
-        size, n = size + len(w), n + batch.num_rows
-        if size >= BLOCK:
-            yield block()
-            held, words, rows, size, n = [], [], [], 0, 0
-    if held:
-        yield block()
-
-
-def _column(slices: list[pa.RecordBatch], name: str) -> pa.Array:
-    return pa.chunked_array([b.column(name) for b in slices]).combine_chunks()
-
-
 def requests(documents: DataFrame, names: Keys) -> DataFrame:
     """part, block, keys, counts: the distinct n-grams of each block in each hash range, and how often its training texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, slices, words, rows in _blocks(batches):
-            learn = _column(slices, "learn").to_numpy(zero_copy_only=False).astype(bool)[rows]
-            for kind, (keys, ends) in enumerate(zip(*names.of(words, rows), strict=True)):
+        for block in blocks.cut(batches, sequence, BLOCK):
+            name, learn = block.name(), block.column("learn").to_numpy(zero_copy_only=False).astype(bool)[block.rows]
+            for kind, (keys, ends) in enumerate(zip(*names.of(block.words, block.rows), strict=True)):
                 order = np.argsort(keys, kind="stable")
                 keys, trained = keys[order], learn[np.concatenate(ends)[order]]
                 first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
@@ -175,102 +137,51 @@ def requests(documents: DataFrame, names: Keys) -> DataFrame:
                 part = names.parts_of(keys, kind)
                 cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 for a, b in zip(cut, np.append(cut[1:], len(keys)), strict=True):
-                    columns = [pa.array(part[a : a + 1]), pa.array([name], pa.int64()), pa.array([pack(np.diff(keys[a:b], prepend=U64(0)))], pa.binary()), pa.array([pack(counts[a:b])], pa.binary())]
+                    columns = [pa.array(part[a : a + 1]), pa.array([name], pa.int64()), *(pa.array([blocks.pack(x)], pa.binary()) for x in (np.diff(keys[a:b], prepend=U64(0)), counts[a:b]))]
                     yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "keys", "counts"])
 
     return documents.mapInArrow(run, "part long, block long, keys binary, counts binary")
 
 
-def _answers(words: int):
-    """Rows ordered by part: the counts over all blocks, for each block's keys in a part; of the first parts, which hold words, all tokens and different ones, too."""
+def _summed(words: int):
+    """The counts over all blocks, for each block's keys in a part; of the first parts, which hold words, all tokens and different ones, too."""
 
-    def report(part: int, held: list[dict]) -> pa.RecordBatch:
-        keys = [np.cumsum(unpack(r["keys"]), dtype=U64) for r in held]
+    def report(part: int, rows: list[dict]) -> pa.RecordBatch:
+        keys = [np.cumsum(blocks.unpack(r["keys"]), dtype=U64) for r in rows]
         every, of = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(of, weights=np.concatenate([unpack(r["counts"]) for r in held]), minlength=len(every)).astype(np.int64)
-        cut, n = np.cumsum([0, *(len(k) for k in keys)]), len(held)
+        total = np.bincount(of, weights=np.concatenate([blocks.unpack(r["counts"]) for r in rows]), minlength=len(every)).astype(np.int64)
+        cut, n = np.cumsum([0, *(len(k) for k in keys)]), len(rows)
         sums = [[int(x) * (part < words)] + [0] * (n - 1) for x in (total.sum(), (total > 0).sum())]
         return pa.RecordBatch.from_arrays(
-            [pa.array([r["block"] for r in held], pa.int64()), pa.array([1] * n, pa.int32()), pa.array([part] * n, pa.int64()), pa.array([pack(total[of[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), *(pa.array(x, pa.int64()) for x in sums)],
+            [pa.array([r["block"] for r in rows], pa.int64()), pa.array([1] * n, pa.int32()), pa.array([part] * n, pa.int64()), pa.array([blocks.pack(total[of[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), *(pa.array(x, pa.int64()) for x in sums)],
             names=["block", "kind", "at", "data", "n", "v"],
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = -1, []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if held and r["part"] != part:
-                    yield report(part, held)
-                    held = []
-                part = r["part"]
-                held.append(r)
-        if held:
-            yield report(part, held)
-
-    return run
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The slices of each block, compressed, on their way to the block's answers."""
-    import zstandard
-
-    squeeze = zstandard.ZstdCompressor(level=1)
-    for name, slices, _, _ in _blocks(batches):
-        for at, batch in enumerate(slices):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as writer:
-                writer.write_batch(batch)
-            data = squeeze.compress(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([0], pa.int32()), pa.array([at], pa.int64()), pa.array([data], pa.binary())], names=["block", "kind", "at", "data"])
-
-
-_ROW = "block long, kind int, at long, data binary"
+    return report
 
 
 def _scored(total: int, distinct: int, names: Keys):
-    def block(parts: dict[int, list], answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        slices = [pa.ipc.open_stream(zstandard.decompress(parts[at][0])).read_all().combine_chunks().to_batches()[0] for at in sorted(parts)]
-        got = [sequence(b.column("text")) for b in slices]
-        first = np.cumsum([0, *(b.num_rows for b in slices)])
-        words, rows = np.concatenate([w for w, _ in got]), np.concatenate([r + n for (_, r), n in zip(got, first, strict=False)])
-        c = []
-        for kind, (keys, ends) in enumerate(zip(*names.of(words, rows), strict=True)):
+    def finish(block: blocks.Block, got: dict[int, bytes]):
+        c, n = [], len(block.words)
+        for kind, (keys, ends) in enumerate(zip(*names.of(block.words, block.rows), strict=True)):
             every, of = np.unique(keys, return_inverse=True)
-            counts = np.concatenate([np.zeros(0, U64), *(unpack(answers[at]) for at in sorted(answers) if (at >= names.parts[0]) == bool(kind))])
-            if len(counts) != len(every):
-                raise ValueError("the documents came in another order when they were read again; write them to a table first")
+            counts = blocks.joined(got, len(every), lambda at, kind=kind: (at >= names.parts[0]) == bool(kind))
             value, low = counts[of].astype(float), 0
             for at in ends:
-                c.append(np.zeros(len(words)))
+                c.append(np.zeros(n))
                 c[-1][at] = value[low : low + len(at)]
                 low += len(at)
-        automaton = Automaton(c, rows, total, distinct)
-        n = int(first[-1])
-        sums = [np.bincount(rows, weights=x, minlength=n) for x in (np.ones(len(rows)), c[0] > 0, np.log10(automaton.base), automaton.walk())]
-        for at, batch, low in zip(sorted(parts), slices, first, strict=False):
+        automaton = Automaton(c, block.rows, total, distinct)
+        sums = [np.bincount(block.rows, weights=x, minlength=block.n) for x in (np.ones(n), c[0] > 0, np.log10(automaton.base), automaton.walk())]
+
+        def rows(batch: pa.RecordBatch, low: int) -> pa.RecordBatch:
             own = [x[low : low + batch.num_rows] for x in sums]
-            columns = [batch.column("doc_id"), batch.column("learn"), pa.array(own[0].astype(np.int64)), pa.array(own[1].astype(np.int64)), pa.array(own[2]), pa.array(own[3])]
-            for _ in parts[at]:  # blocks with the same documents have one name
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "learn", "n_tokens", "n_known", "base_score", "score"])
+            columns = [batch.column("doc_id"), batch.column("learn"), *(pa.array(x.astype(np.int64)) for x in own[:2]), *(pa.array(x) for x in own[2:])]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "learn", "n_tokens", "n_known", "base_score", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, parts, answers = None, {}, {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["block"] != name and parts:
-                    yield from block(parts, answers)
-                    parts, answers = {}, {}
-                name = r["block"]
-                if r["kind"]:
-                    answers[r["at"]] = r["data"]
-                else:
-                    parts.setdefault(r["at"], []).append(r["data"])
-        if parts:
-            yield from block(parts, answers)
-
-    return run
+        return rows
+
+    return finish
 
 
 def score(documents: DataFrame, learn: Column) -> DataFrame:
@@ -278,12 +189,11 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
     spark = shared.prepare(documents.sparkSession)
     rows = shared.texts(documents, F.coalesce(learn, F.lit(False)).alias("learn"))
     names = Keys(rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0)
-    answers = requests(rows, names).repartition("part").sortWithinPartitions("part").mapInArrow(_answers(names.parts[0]), f"{_ROW}, n long, v long")
-    answers = shared.cut(answers)
+    answers = shared.cut(blocks.answered(requests(rows, names), _summed(names.parts[0]), f"{blocks.ROW}, n long, v long"))
     got = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total, distinct = got["n"] or 0, got["v"] or 0
-    both = rows.mapInArrow(_texts, _ROW).union(answers.drop("n", "v")).repartition("block").sortWithinPartitions("block", "kind", "at")
-    out = both.mapInArrow(_scored(total, distinct, names), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
+    schema = "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double"
+    out = blocks.finished(blocks.texts(rows, sequence, BLOCK), answers.drop("n", "v"), sequence, _scored(total, distinct, names), schema)
     return out.withColumn("train_tokens", F.lit(total).cast("long"))
 
 

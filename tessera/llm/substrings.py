@@ -1,262 +1,223 @@
-"""Substring dedup: a truncated, prefix-partitioned suffix tree over word sequences.
+"""Substring dedup: prefix-partitioned suffix trees over word sequences.
 
 A passage of ``length`` words repeats if the same words start at a place of a
-document with a smaller id.  Suffixes are grouped by prefix, and the tree is
-kept as hashed path labels of three depths, each deeper one only where the one
-above does not settle the matter:
-
-1. Of the 4-word prefixes within a passage the one with the least hash is its
-   anchor (equal passages have equal anchors, and neighbours mostly share
-   one).  Anchors of one document only have no repeated suffix below them.
-2. Under the others, the words of all neighbouring passages with the same
-   anchor form one long path.  Where an anchor has a single path, that is a
-   deep internal node: all its passages belong to the node's first document.
-3. Anchors with several paths are extended to the prefixes of full length.
-
-Groups are never gathered: for each label the smallest id is aggregated and
-joined back, so that a passage in a third of all documents costs each of them
-a row.  A bitmap of fixed size of the labels that go on keeps all others from
-being dealt at all; only documents that lose words are dealt by id.
+document with a smaller id.  Every word from which ``length`` words are left
+begins a suffix.  The suffix tree of all of them, cut off at that depth, is
+never in one place:
+
+1. The suffixes are counted by their first word.  Words are put together, in
+   the order of the tree's edges, until a group has ``GROUP`` suffixes; a word
+   that begins more of them is extended by two more, and its subtree is split
+   below these.  So prefixes are as long as it takes for a group to fit memory.
+2. A suffix is a path of edges: the first word (16 bits of a hash), the first
+   three (16 bits) and all words (48 bits).  Each block of documents sends its
+   different paths, in the tree's order, to the tasks of their groups, with the
+   smallest id below each.
+3. A group's subtree is the merged, sorted list of paths, its internal nodes the
+   runs that agree down to a depth.  The nodes of full depth with leaves of
+   several documents are the repeats; each block is told at which of its paths
+   a document with a smaller id is below the node.
+4. With the answers a block marks its repeated passages; passages that follow
+   each other make up the maximal repeats, whose words go.
+
+A passage in a third of all documents is one path for each block, and no group
+is larger for it.
 
 Defined cases: null and empty texts have no words and lose none; very long
 texts are read whole; repeated rows have one id and do not make each other
 lose words, each gives a row; rows without an id are kept as they are and
-remove nothing; an empty table gives an empty result; other columns are
-ignored or, where documents are returned, kept.
+remove nothing; an empty table gives an empty result; other columns, whatever
+their names, are ignored or, where documents are returned, kept; a text that
+loses all its words is empty.  The documents must come in the same order
+whenever they are read, as files do; else an error says so.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm import shared, tokens
+from tessera.llm import blocks, shared, tokens
 
-#: Words of an anchor, and bits of the three filters.
-ANCHOR = 4
-ANCHOR_BITS, DOCUMENT_BITS = 26, 23
-#: Bits of an anchor by which it is counted; collisions cost time only.
-COUNT_BITS = 40
+#: Words of a block, and suffixes (about) of a group.
+BLOCK, GROUP = 3 << 18, 1 << 20
+#: Words of a longer prefix.
+LONGER = 3
 U64 = np.uint64
 
 
-class Passages:
-    """All passages of a slice's rows: where they start, their rows and anchors."""
+def sequence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word."""
+    data, offsets = tokens.buffers(column)
+    start, end, row = tokens.word_spans(data, offsets)
+    return tokens.word_hashes(data, start, end), row
 
-    def __init__(self, column: pa.Array, length: int):
-        data, offsets = tokens.buffers(column)
-        start, end, self.word_row = tokens.word_spans(data, offsets)
-        self.data, self.start, self.end, self.length = data, start, end, length
-        self.words = tokens.word_hashes(data, start, end)
-        self.at = tokens.ngram_rows(self.word_row, length)
-        grams, width = tokens.ngram_hashes(self.words, min(ANCHOR, length)), 1
-        span = length - min(ANCHOR, length) + 1
-        while width < span:  # running minimum by doubling
-            step = min(width, span - width)
-            grams = np.minimum(grams[:-step], grams[step:])
-            width += step
-        self.anchor = grams[self.at]
-        self.row = self.word_row[self.at]
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """First passage and number of passages of each longest run with one anchor."""
-        if not len(self.at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        new = np.r_[True, (self.at[1:] != self.at[:-1] + 1) | (self.anchor[1:] != self.anchor[:-1]) | (self.row[1:] != self.row[:-1])]
-        first = np.flatnonzero(new)
-        return first, np.diff(np.append(first, len(self.at)))
+class Paths:
+    """The suffixes of a block's documents that have an id: where they start, their ids, and their paths, whose lowest 16 bits are kept apart."""
 
-    def paths(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Hash of all words of each run."""
-        q = tokens.NGRAM[0]
-        power, inverse = (np.cumprod(np.r_[U64(1), np.full(len(self.words), U64(x))], dtype=U64) for x in (q, pow(q, -1, 1 << 64)))
-        total = np.r_[U64(0), np.cumsum(self.words * power[:-1], dtype=U64)]
-        begin, size = self.at[first], count + self.length - 1
-        return tokens.mix((total[begin + size] - total[begin]) * inverse[begin] + size.astype(U64))
+    def __init__(self, block: blocks.Block, length: int):
+        ids = block.column("doc_id")
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        at = tokens.ngram_rows(block.rows, length)
+        self.at = at[known[block.rows[at]]]
+        self.doc = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[block.rows[self.at]]
+        whole, longer = (tokens.ngram_hashes(block.words, min(n, length))[self.at] for n in (length, LONGER))
+        first = block.words[self.at]
+        self.path = first >> U64(48) << U64(48) | longer >> U64(48) << U64(32) | whole >> U64(32)
+        self.rest = whole & U64(0xFFFF)
 
-    def places(self, at: np.ndarray) -> np.ndarray:
-        """Word numbers within the row."""
-        bounds = np.searchsorted(self.word_row, np.arange(self.word_row[-1] + 1 if len(self.word_row) else 0))
-        return at - bounds[self.word_row[at]]
+    def order(self) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes in the order of the tree, and where each different path begins."""
+        order = np.lexsort((self.rest, self.path))
+        path, rest = self.path[order], self.rest[order]
+        return order, np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (rest[1:] != rest[:-1])][: len(path)])
 
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
-def _known(documents: DataFrame) -> DataFrame:
-    return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-
-
-def _first_of_each(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Sorted distinct keys, the columns in the same order, and where each key begins."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[new], [c[order] for c in columns], new
-
-
-def _by_row(keys: np.ndarray, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Where the first of each (row, key) stands, and the values of each as a list: a passage that a text repeats is one row."""
-    order = np.lexsort((keys, rows))
-    k, r = keys[order], rows[order]
-    new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
-    return order[new], pa.ListArray.from_arrays(pa.array(np.append(new, len(k)).astype(np.int32)), pa.array(values[order]))
-
-
-def repeated_anchors(documents: DataFrame, length: int) -> DataFrame:
-    """h: the first ``COUNT_BITS`` bits of anchors that more than one row has (and of a few others, by collision)."""
+def prefixes(documents: DataFrame, length: int) -> np.ndarray:
+    """The first 32 bits of the path at which each group of suffixes begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
         for batch in tokens.row_slices(batches):
-            p = Passages(batch.column("text"), length)
-            first, _ = p.runs()
-            if len(first):
-                h = p.anchor[first] >> U64(64 - COUNT_BITS)
-                pair = np.unique(h << U64(10) | p.row[first].astype(U64))  # a row counts once
-                h, n = np.unique(pair >> U64(10), return_counts=True)
-                yield pa.RecordBatch.from_arrays([_long(h), pa.array(n.astype(np.int32))], names=["h", "n"])
-
-    rows = _known(documents).mapInArrow(run, "h long, n int")
-    return rows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-
-
-def nodes(documents: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
-    """anchor, low, fork: anchors of more than one document, their smallest id, and whether their paths differ."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.row_slices(batches):
-            p = Passages(batch.column("text"), length)
-            first, count = p.runs()
-            use = shared.in_bitmap(wanted, p.anchor[first] >> U64(64 - COUNT_BITS))
-            first, count = first[use], count[use]
-            if len(first):
-                anchor, (doc, path), new = _first_of_each(p.anchor[first], batch.column("doc_id").to_numpy()[p.row[first]], p.paths(first, count).view(np.int64))
-                columns = [_long(anchor), *(pa.array(f.reduceat(c, new)) for c in (doc, path) for f in (np.minimum, np.maximum))]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "low", "high", "one", "other"])
-
-    rows = _known(documents).mapInArrow(run, "anchor long, low long, high long, one long, other long")
-    rows = rows.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("one").alias("one"), F.max("other").alias("other"))
-    return rows.where("low < high").select("anchor", "low", (F.col("one") != F.col("other")).alias("fork"))
+            words, rows = sequence(batch.column("text"))
+            total += np.bincount((words[tokens.ngram_rows(rows, length)] >> U64(48)).astype(np.int64), minlength=1 << 16)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["edge", "n"])
 
+    counted = documents.mapInArrow(run, "edge long, n long").groupBy("edge").agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    return group_bounds(counted.column("edge").to_numpy(), counted.column("n").to_numpy())
 
-def runs_under(documents: DataFrame, length: int, wanted: np.ndarray) -> DataFrame:
-    """anchor, doc_id, runs (first word and number of passages in one number each) under wanted anchors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.row_slices(batches):
-            p = Passages(batch.column("text"), length)
-            first, count = p.runs()
-            use = shared.in_bitmap(wanted, p.anchor[first])
-            first, count = first[use], count[use]
-            if len(first):
-                one, runs = _by_row(p.anchor[first], p.row[first], p.places(p.at[first]) << 32 | count)
-                columns = [_long(p.anchor[first][one]), batch.column("doc_id").take(pa.array(p.row[first][one])), runs]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "runs"])
+def group_bounds(edges: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """See ``prefixes``: light edges are put together, a heavy one is split by its longer prefixes."""
+    bounds, held = [0], 0
+    for edge, n in sorted(zip(edges.tolist(), counts.tolist(), strict=True)):
+        if held and held + n > GROUP:
+            bounds.append(edge << 16)
+            held = 0
+        held += n
+        if n > GROUP:
+            parts = min(1 << 16, -(-n // GROUP))
+            bounds += [(edge << 16) + (k << 16) // parts for k in range(1, parts)] + [(edge + 1) << 16]
+            held = 0
+    return np.array(bounds, np.int64)
 
-    return _known(documents).mapInArrow(run, "anchor long, doc_id long, runs array<long>")
 
-
-def full_prefixes(documents: DataFrame, length: int, wanted: np.ndarray, places: bool) -> DataFrame:
-    """h0, h1, doc_id (and runs): single passages, by 96 bits of two hashes of all their words, under wanted anchors."""
+def requests(documents: DataFrame, length: int, bounds: np.ndarray) -> DataFrame:
+    """part, block, paths, rests, low, docs (less low): the different paths of each block under each prefix, and the smallest id below each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.row_slices(batches):
-            p = Passages(batch.column("text"), length)
-            use = np.flatnonzero(shared.in_bitmap(wanted, p.anchor))
-            if len(use):
-                at = p.at[use]
-                other = tokens.word_hashes(p.data, p.start, p.end, lane=1)
-                h0, h1 = (tokens.ngram_hashes(w, length, lane)[at] for lane, w in enumerate((p.words, other)))
-                one, runs = _by_row(h0, p.row[use], p.places(at) << 32 | 1)
-                columns = [_long(h0[one]), pa.array((h1[one] >> U64(32)).astype(np.uint32).view(np.int32)), batch.column("doc_id").take(pa.array(p.row[use][one])), runs]
-                names = ["h0", "h1", "doc_id", "runs"]
-                yield pa.RecordBatch.from_arrays(columns[: 3 + places], names=names[: 3 + places])
-
-    return _known(documents).mapInArrow(run, "h0 long, h1 int, doc_id long" + ", runs array<long>" * places)
-
-
-def repeats(documents: DataFrame, length: int = 13) -> DataFrame:
-    """doc_id, runs: the passages (first word << 32 | number of passages) that a document with a smaller id has, too."""
+        for block in blocks.cut(batches, sequence, BLOCK):
+            p, name = Paths(block, length), block.name()
+            order, first = p.order()
+            if not len(first):
+                continue
+            low = np.minimum.reduceat(p.doc[order], first)
+            path, rest = p.path[order][first], p.rest[order][first]
+            part = np.searchsorted(bounds, (path >> U64(32)).astype(np.int64), "right") - 1
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            for a, b in zip(starts, np.append(starts[1:], len(path)), strict=True):
+                least = int(low[a:b].min())
+                columns = [pa.array(part[a : a + 1]), pa.array([name], pa.int64()), *(pa.array([blocks.pack(x)], pa.binary()) for x in (np.diff(path[a:b], prepend=U64(0)), rest[a:b])), pa.array([least], pa.int64()), pa.array([blocks.pack((low[a:b] - least).view(U64))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "paths", "rests", "low", "docs"])
+
+    return documents.mapInArrow(run, "part long, block long, paths binary, rests binary, low long, docs binary")
+
+
+def subtree(part: int, rows: list[dict]) -> pa.RecordBatch:
+    """For each block's paths under a prefix whether a document with a smaller id is below the same node."""
+    paths = [np.cumsum(blocks.unpack(r["paths"]), dtype=U64) for r in rows]
+    path, rest = np.concatenate(paths), np.concatenate([blocks.unpack(r["rests"]) for r in rows])
+    doc = np.concatenate([blocks.unpack(r["docs"]).view(np.int64) + r["low"] for r in rows])
+    order = np.lexsort((rest, path))
+    path, rest = path[order], rest[order]
+    first = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (rest[1:] != rest[:-1])])
+    least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(path))))
+    smaller = np.zeros(len(path), U64)
+    smaller[order] = least < doc[order]
+    cut = np.cumsum([0, *(len(p) for p in paths)])
+    answers = [blocks.pack(smaller[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([1] * len(rows), pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array(answers, pa.binary())], names=["block", "kind", "at", "data"])
+
+
+def covered(block: blocks.Block, got: dict[int, bytes], length: int) -> np.ndarray:
+    """Which words of a block a repeated passage covers."""
+    p = Paths(block, length)
+    order, first = p.order()
+    smaller = blocks.joined(got, len(first)).astype(bool)
+    doc, times = p.doc[order], np.diff(np.append(first, len(order)))
+    gone = np.repeat(smaller, times) | (doc > np.repeat(np.minimum.reduceat(doc, first), times)) if len(first) else np.zeros(0, bool)
+    at = p.at[order[gone]]
+    change = np.bincount(at, minlength=len(block.words) + 1) - np.bincount(at + length, minlength=len(block.words) + 1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def without_repeats(documents: DataFrame, length: int, rows: Callable, schema) -> DataFrame:
+    """rows(batch, for each row the numbers of words that go, or None) of all documents; reads text and doc_id."""
     shared.prepare(documents.sparkSession)
-    found = nodes(documents, length, shared.bitmap(repeated_anchors(documents, length), ANCHOR_BITS))
-    found = shared.cut(found)
-    settled, forks = (found.where(c).select("anchor", "low") for c in ("NOT fork", "fork"))
-    whole = runs_under(documents, length, shared.bitmap(settled.select("anchor"), ANCHOR_BITS))
-    whole = whole.join(settled, "anchor").where("doc_id > low").select("doc_id", "runs")
-    extended = shared.bitmap(forks.select("anchor"), ANCHOR_BITS)
-    least = full_prefixes(documents, length, extended, False).groupBy("h0", "h1").agg(F.min("doc_id").alias("low"))
-    single = full_prefixes(documents, length, extended, True).join(least, ["h0", "h1"]).where("doc_id > low").select("doc_id", "runs")
-    return whole.union(single).groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-
-
-def kept_words(words: list[bytes], runs: list[int], length: int) -> list[bytes]:
-    """Words that no removed passage covers."""
-    first, count = np.divmod(np.array(runs, np.int64), 1 << 32)
-    change = np.bincount(np.minimum(first, len(words)), minlength=len(words) + 1) - np.bincount(np.minimum(first + count + length - 1, len(words)), minlength=len(words) + 1)
-    covered = np.cumsum(change)[:-1] > 0
-    return [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]
-
-
-def _with_runs(documents: DataFrame, length: int, finish, schema) -> DataFrame:
-    """finish(batch, runs by row) over all documents; only those that may lose words are dealt by id."""
-    found = shared.cut(repeats(documents, length))
-    losing = shared.bitmap(found.select("doc_id"), DOCUMENT_BITS)
-
-    def may_lose(batch: pa.RecordBatch) -> np.ndarray:
-        key = batch.column("doc_id")
-        return shared.in_bitmap(losing, key.fill_null(0).to_numpy().astype(np.int64).view(U64)) & key.is_valid().to_numpy(zero_copy_only=False)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.row_slices(batches):
-            own = batch.filter(pa.array(~may_lose(batch)))
-            yield finish(own, [[]] * own.num_rows)
+    answers = blocks.answered(requests(documents, length, prefixes(documents, length)), subtree, blocks.ROW)
+
+    def finish(block: blocks.Block, got: dict[int, bytes]) -> Callable:
+        at = np.flatnonzero(covered(block, got, length))
+        starts, bounds = tokens.row_bounds(block.rows, block.n), np.searchsorted(block.rows[at], np.arange(block.n + 1))
+        return lambda batch, low: rows(batch, [at[bounds[r] : bounds[r + 1]] - starts[r] if bounds[r + 1] > bounds[r] else None for r in range(low, low + batch.num_rows)])
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(may_lose(batch)))
+    return blocks.finished(blocks.texts(documents, sequence, BLOCK), answers, sequence, finish, schema)
 
-    def cut_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = [x or [] for x in batch.column("__runs").to_pylist()]
-            yield finish(batch.select([c for c in batch.schema.names if c != "__runs"]), runs)
 
-    dealt = documents.mapInArrow(some, documents.schema).join(found.select(F.col("doc_id").alias("__doc_id"), F.col("runs").alias("__runs")), F.col("doc_id") == F.col("__doc_id"), "left").drop("__doc_id")
-    return documents.mapInArrow(whole, schema).union(dealt.mapInArrow(cut_down, schema))
+def kept_words(text: str, gone: np.ndarray | None) -> tuple[int, list[bytes]]:
+    """Number of words, and those that stay."""
+    words = text.encode().split()
+    if gone is None:
+        return len(words), words
+    stays = np.ones(len(words), bool)
+    stays[gone] = False
+    return len(words), [w for w, s in zip(words, stays.tolist(), strict=True) if s]
 
 
 def digests(documents: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    documents = shared.texts(documents)
 
-    def finish(batch: pa.RecordBatch, runs: list) -> pa.RecordBatch:
+    def rows(batch: pa.RecordBatch, gone: list) -> pa.RecordBatch:
         total, removed, digest = [], [], []
-        for text, own in zip(batch.column("text").to_pylist(), runs, strict=True):
-            words = text.encode().split()
-            kept = kept_words(words, own, length) if own else words
-            total.append(len(words)), removed.append(len(words) - len(kept))
+        for text, own in zip(batch.column("text").to_pylist(), gone, strict=True):
+            n, kept = kept_words(text, own)
+            total.append(n), removed.append(n - len(kept))
             digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_runs(documents, length, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return without_repeats(shared.texts(documents), length, rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def repeats(documents: DataFrame, length: int = 13) -> DataFrame:
+    """doc_id, first_word, n_words: the longest runs of words that repeated passages cover."""
+
+    def rows(batch: pa.RecordBatch, gone: list) -> pa.RecordBatch:
+        out = [(doc_id, int(run[0]), len(run)) for doc_id, own in zip(batch.column("doc_id").to_pylist(), gone, strict=True) if own is not None for run in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1)]
+        columns = list(zip(*out, strict=True)) if out else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "first_word", "n_words"])
+
+    return without_repeats(shared.texts(documents), length, rows, "doc_id long, first_word long, n_words long")
 
 
 def deduplicated(documents: DataFrame, length: int = 13) -> DataFrame:
     """The documents with all their columns; a text that loses words is what is left, joined by blanks (n_chars follows, if there)."""
     names = documents.columns
 
-    def finish(batch: pa.RecordBatch, runs: list) -> pa.RecordBatch:
+    def rows(batch: pa.RecordBatch, gone: list) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        changed = {i: b" ".join(kept_words(texts[i].encode().split(), own, length)).decode() for i, own in enumerate(runs) if own}
+        changed = {i: b" ".join(kept_words(texts[i], own)[1]).decode() for i, own in enumerate(gone) if own is not None}
         columns = dict(zip(names, batch.columns, strict=True))
-        columns["text"] = pa.array([changed.get(i, x) for i, x in enumerate(texts)], batch.schema.field("text").type)
-        if "n_chars" in names and changed:
-            counts = columns["n_chars"].to_pylist()
-            columns["n_chars"] = pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(counts)], batch.schema.field("n_chars").type)
+        if changed:
+            columns["text"] = pa.array([changed.get(i, x) for i, x in enumerate(texts)], batch.schema.field("text").type)
+            if "n_chars" in names:
+                counts = columns["n_chars"].to_pylist()
+                columns["n_chars"] = pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(counts)], batch.schema.field("n_chars").type)
         return pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return _with_runs(documents, length, finish, documents.schema)
+    return without_repeats(documents, length, rows, documents.schema)

@@ -77,8 +77,10 @@ def removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length", [3, 13])
-def test_substring_dedup(spark, corpus, length):
+@pytest.mark.parametrize(("length", "size"), [(3, 1 << 20), (13, 1 << 20), (2, 60), (13, 60)])
+def test_substring_dedup(spark, corpus, monkeypatch, length, size):
+    monkeypatch.setattr(substrings, "BLOCK", size)
+    monkeypatch.setattr(substrings, "GROUP", size)
     got = substrings.digests(table(spark, corpus), length).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == removed(corpus, length)
 
@@ -91,6 +93,22 @@ def test_substring_rows(spark):
     assert substrings.digests(d.limit(0)).count() == 0
 
 
+def test_maximal_repeats(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    texts = [passage, f"a b {passage} c {passage}", "x " + passage[:40], None, ""]
+    rows = [(i, t, "u", "v", [1]) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, block string, data string, __runs array<int>")
+    assert sorted(tuple(r) for r in substrings.repeats(d, 5).collect()) == [(1, 2, 20), (1, 23, 20), (2, 1, len(passage[:40].split()) - (passage[40] != " "))]
+    got = {r["doc_id"]: r for r in substrings.deduplicated(d, 5).collect()}
+    assert got[1]["text"] == "a b c" and got[3]["text"] is None and got[0]["__runs"] == [1] and got[0]["block"] == "u"
+
+
+def test_prefixes_split_heavy_edges(monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP", 10)
+    bounds = substrings.group_bounds(np.array([1, 2, 5, 9]), np.array([4, 5, 35, 3]))
+    assert bounds.tolist() == [0, 5 << 16, (5 << 16) + (1 << 14), (5 << 16) + (2 << 14), (5 << 16) + (3 << 14), 6 << 16]
+
+
 def components(texts, k, percent):
     sets = {}
     for i, t in enumerate(texts):
