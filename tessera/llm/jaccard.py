@@ -134,7 +134,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for x in values)]).astype(np.int32)), _long(np.concatenate([np.zeros(0, U64), *values])))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for x in values)]).astype(np.int32)), _long(np.concatenate([np.zeros(0, values[0].dtype if values else U64), *values])))
 
 
 def _counted(percent: int) -> int:
@@ -264,10 +264,17 @@ def centres(groups: DataFrame, nodes: DataFrame, step: int) -> DataFrame:
     """g, centre: the shingles that most of a group's sample of up to ``SAMPLE`` members have."""
     part = F.pmod(F.xxhash64("a", "b", "g", F.lit(step)), F.lit(SAMPLE))
     sample = groups.groupBy("g", part.alias("_part")).agg(F.min(F.struct("a", "b")).alias("_s")).select("g", F.col("_s.a").alias("a"), F.col("_s.b").alias("b"))
-    sizes = sample.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
-    counts = sample.join(nodes.select("a", "b", "own"), ["a", "b"]).select("g", F.explode("own").alias("h")).groupBy("g", "h").agg(F.count(F.lit(1)).alias("_c"))
-    common = counts.join(sizes, "g").where("2 * _c > _n").groupBy("g").agg(F.array_sort(F.collect_list("h")).alias("centre"))
-    return sizes.select("g").join(common, "g", "left").select("g", F.coalesce("centre", F.expr("cast(array() AS array<bigint>)")).alias("centre"))
+    sample = sample.join(nodes.select("a", "b", "own"), ["a", "b"]).groupBy("g").agg(F.collect_list("own").alias("sample"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own in batch.column("sample").to_pylist():
+                value, count = np.unique(np.concatenate([np.array(x, np.int64) for x in own]), return_counts=True)
+                out.append(value[2 * count > len(own)])
+            yield pa.RecordBatch.from_arrays([batch.column("g"), _lists(out)], names=["g", "centre"])
+
+    return sample.mapInArrow(run, "g long, centre array<long>")
 
 
 def differences(groups: DataFrame, nodes: DataFrame, percent: int, step: int) -> DataFrame:
