@@ -4,11 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Fixed weights: patterns that speak for callers or callees of a symbol.
-CALLERS = ((r"(?i)who calls|callers? of|called by|used by", 3), (r"谁调用|被谁调用|调用方|上游", 3), (r"(?i)\busages?\b|\breferences?\b", 1))
-CALLEES = ((r"(?i)what does .* call|callees? of|calls made", 3), (r"调用了(哪些|什么)|下游|依赖哪些", 3), (r"(?i)\bdepends? on\b", 1))
-#: Fixed list: identifiers in questions that name no symbol.
-NO_SYMBOLS = ("who", "what", "where", "does", "call", "calls", "called", "callers", "callees", "function", "method", "class", "the", "how", "and", "for", "with", "this", "that")
+#: Patterns that speak for callers or callees of a symbol, with their weights.
+CALLERS = (
+    (r"在哪(里|些)?(地方|文件|模块)?(被)?调用", 3),
+    (r"被谁(调用|引用|使用|用到)", 3),
+    (r"谁(在)?(调用|引用|使用|用到)了?", 3),
+    (r"(哪些|什么)(地方|文件|模块|位置)(调用|引用|使用)", 2),
+    (r"被(引用|调用|使用)", 2),
+    (r"调用(方|点|处)", 2),
+    (r"(?i)(who calls|called by|callers|usages|references)", 3),
+    (r"(?i)\b(is|are|was|were)\s+[A-Za-z_$][\w$.]*\s+called\b", 3),
+    (r"(?i)\bcalled\b", 1),
+)
+CALLEES = (
+    (r"调用了?(谁|哪(些|个)|什么|哪些方法|哪些接口|哪些函数)", 3),
+    (r"(依赖|依赖了|依赖于)(谁|哪(些|个)|什么)?", 3),
+    (r"内部(调用|依赖)(了)?(谁|哪(些|个)|什么)?", 2),
+    (r"会调用(哪些|什么|谁)", 2),
+    (r"(?i)(calls into|depends on|callees|dependency)", 3),
+    (r"(?i)\b(what|which)\s+(does|do|did)?\s*[A-Za-z_$][\w$.]*\s+calls?\b", 3),
+)
+#: Words that name no symbol.
+NO_SYMBOLS = (
+    "http", "https", "www", "com", "cn", "net", "org", "api", "rest", "the", "and", "for", "how", "what", "where", "which", "does", "is", "are", "this", "that", "code", "file",
+    "function", "method", "class", "get", "post", "put", "delete", "v1", "v2", "v3",
+)
+#: Fixed value: addresses in a question.
+ADDRESS = """(?i)https?://[^\\s"'<>）)】\\],，。；;]+"""
 
 
 def _score(text: Column, patterns: tuple) -> Column:
@@ -19,17 +41,36 @@ def _score(text: Column, patterns: tuple) -> Column:
 
 
 def call_direction(question: Column) -> Column:
-    """callers, callees or both, by the weights of the patterns found; none without any."""
+    """callers or callees, whichever the patterns found speak for with more weight; both if neither."""
     up, down = _score(question, CALLERS), _score(question, CALLEES)
-    return F.when((up == 0) & (down == 0), "none").when(up > down, "callers").when(down > up, "callees").otherwise("both")
+    return F.when(up > down, "callers").when(down > up, "callees").otherwise("both")
+
+
+def is_symbol(name: Column) -> Column:
+    """3 to 80 signs with a capital inside or an underscore, and no common word; not three capitals or digits alone."""
+    common = F.lower(name).isin(*NO_SYMBOLS) | (name.rlike("^[A-Z0-9_]+$") & (F.length(name) <= 3))
+    return F.length(name).between(3, 80) & ~common & (name.rlike("^.+[A-Z]") | name.contains("_"))
 
 
 def symbol_tokens(question: Column, most: int = 12) -> Column:
-    """Names that a question may ask for: parts of paths, then camelCase, snake_case and dotted identifiers; distinct, up to so many."""
-    paths = F.flatten(F.transform(F.regexp_extract_all(question, F.lit(r"(/[A-Za-z0-9_/-]+)"), F.lit(1)), lambda p: F.filter(F.split(p, "/"), lambda x: F.length(x) > 1)))
-    names = F.filter(F.regexp_extract_all(question, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]{2,})\b"), F.lit(1)), lambda x: x.rlike("[a-z][A-Z]|_|^[A-Z][a-z]+[A-Z]"))
-    every = F.array_distinct(F.concat(paths, names))
-    return F.slice(F.filter(every, lambda x: ~F.lower(x).isin(*NO_SYMBOLS)), 1, most)
+    """Names that a question may ask for, distinct without case, up to so many.
+
+    First the last parts of addresses (those of later ones first), then their
+    other parts from the end on and the values of their queries, then the
+    identifiers in the rest of the text.
+    """
+    found = F.regexp_extract_all(question, F.lit(ADDRESS), F.lit(0))
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    path = lambda url: F.filter(F.split(F.regexp_replace(F.regexp_replace(url, "(?i)^https?://[^/?#]*", ""), "[?#].*$", ""), "/"), lambda s: s != "")
+    name = lambda part: F.regexp_replace(decoded(F.replace(part, F.lit("+"), F.lit("%2B"))), r"\.[A-Za-z0-9]+$", "")
+    symbols = lambda names: F.filter(names, lambda x: x.rlike("^[A-Za-z_$][A-Za-z0-9_$-]*$") & is_symbol(x))
+    last = F.flatten(F.transform(F.reverse(found), lambda u: symbols(F.transform(F.slice(F.reverse(path(u)), 1, 1), name))))
+    values = lambda url: F.transform(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda x: decoded(F.regexp_extract(x, "=(.*)$", 1)))
+    others = F.flatten(F.transform(found, lambda u: F.concat(symbols(F.transform(F.slice(F.reverse(path(u)), 2, 1 << 20), name)), F.filter(values(u), is_symbol))))
+    rest = F.filter(F.regexp_extract_all(F.regexp_replace(question, ADDRESS, " "), F.lit(r"[A-Za-z_$][A-Za-z0-9_$]{2,}"), F.lit(0)), is_symbol)
+    every = F.concat(last, others, rest)
+    first = F.filter(every, lambda x, i: F.array_position(F.transform(every, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+    return F.slice(first, 1, most)
 
 
 def asked_method(question: Column) -> Column:

@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Fixed list: words that carry no meaning in a search.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "were", "will", "with")
-#: Fixed list: frequent misspellings.
-TYPOS = {"fucntion": "function", "funtion": "function", "fuction": "function", "calss": "class", "clas": "class", "retrun": "return", "reutrn": "return", "improt": "import", "exprot": "export", "cosnt": "const", "varaible": "variable", "varible": "variable", "parmeter": "parameter", "paramter": "parameter", "reponse": "response", "respone": "response", "requst": "request", "reqeust": "request", "lenght": "length", "widht": "width", "heigth": "height", "defualt": "default", "udpate": "update", "delte": "delete", "qeury": "query"}
+#: Words that carry no meaning in a search; English, Chinese, Japanese.
+STOP_WORDS = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for",
+    "of", "with", "by", "from", "as", "is", "was", "are", "were", "be",
+    "been", "being", "have", "has", "had", "do", "does", "did", "will",
+    "would", "should", "could", "may", "might", "must", "can", "this",
+    "that", "these", "those", "i", "you", "he", "she", "it", "we", "they",
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一",
+    "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有",
+    "看", "好", "自己", "这", "那", "里", "什么", "如何", "怎么", "为什么",
+    "の", "に", "は", "を", "た", "が", "で", "て", "と", "し", "れ", "さ",
+    "ある", "いる", "も", "する", "から", "な", "こと", "として", "い", "や",
+)
+#: Frequent misspellings.
+TYPOS = {
+    "fucntion": "function", "funciton": "function", "retrun": "return", "reutrn": "return", "cosnt": "const", "conts": "const", "improt": "import", "imoprt": "import", "exoprt": "export", "exprot": "export",
+    "calss": "class", "clsas": "class", "interfce": "interface", "interafce": "interface", "asynch": "async", "awiat": "await", "promies": "promise", "promse": "promise", "obejct": "object", "ojbect": "object",
+    "arary": "array", "arry": "array", "lenght": "length", "heigth": "height", "widht": "width", "gt": "get", "pst": "post", "delte": "delete", "delet": "delete",
+    "athentication": "authentication", "authetication": "authentication", "autorization": "authorization", "authroization": "authorization", "valiation": "validation", "validtion": "validation",
+}
 
 
 def similarity_ratio(a: Column, b: Column) -> Column:
@@ -56,10 +72,19 @@ def keywords(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(split), r"[_\-\s]+"), lambda w: w != ""))
 
 
+def tokens(text: Column) -> Column:
+    """Lower-case tokens: cut at blanks, punctuation, _ and -, and before every capital letter.
+
+    Scripts without blanks are not segmented: that takes a dictionary, which is
+    up to the caller.
+    """
+    parts = F.split(F.regexp_replace(text, r"(\p{Lu})", " $1"), r"""[\s,;.!?()\[\]{}<>'"_-]+""")
+    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.lower(w))
+
+
 def search_terms(text: Column) -> Column:
-    """Keywords of more than one sign that are no stop words."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
-    return F.array_except(F.array_distinct(words), F.array(*(F.lit(x) for x in STOP_WORDS)))
+    """Distinct tokens of more than one sign that are no stop words."""
+    return F.array_except(F.array_distinct(F.filter(tokens(text), lambda w: F.length(w) > 1)), F.array(*(F.lit(x) for x in STOP_WORDS)))
 
 
 def context_lines(content: Column, first: Column, last: Column, around: int = 5) -> Column:
@@ -80,11 +105,11 @@ def round2(x: Column) -> Column:
 
 
 def intent(query: Column) -> Column:
-    """Struct (kind, confidence): url, function, class, constant or general, by the first pattern that fits."""
+    """Struct (kind, confidence), by fixed patterns: url, function, class, constant or general, by the first pattern that fits."""
     of = lambda kind, confidence: F.struct(F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"))
     url = query.rlike(r"(?i)/(api|rest|v\d+|graphql|endpoint)/|:\w+|/\{|\bhttps?://") | query.rlike("(?i)^/[a-z0-9_-]+/[a-z0-9_-]+") | query.rlike(r"(?i)/(get|post|put|delete|patch)\b")
     return (
-        F.when(url, of("url", 0.9)).when(query.rlike(r"\w+\s*\(|function\s+\w+|=>\s*\{"), of("function", 0.85)).when(query.rlike(r"class\s+\w+|interface\s+\w+|type\s+\w+"), of("class", 0.85))
+        F.when(url, of("url", 0.9)).when(query.rlike(r"\w+\s*\(|function\s+\w+|=>\s*\{"), of("function", 0.85)).when(query.rlike(r"(?i)class\s+\w+|interface\s+\w+|type\s+\w+"), of("class", 0.85))
         .when(query.rlike(r"^[A-Z_]+$|^E\d+$"), of("constant", 0.8)).otherwise(of("general", 0.5))
     )
 
@@ -110,12 +135,16 @@ def action(query: Column) -> Column:
     return out
 
 
-def question_kind(query: Column, looks_like_url: Column) -> Column:
+#: Fixed value: what makes a question one about a URL.
+URL_QUESTION = r"(?i)/(api|rest|v\d+|graphql)/|:\w+|/\{|\bhttps?://"
+
+
+def question_kind(query: Column) -> Column:
     """Kind of a question: listings first, then URLs, then the patterns in order."""
     out = F.lit("general")
     for name, pattern in reversed(QUESTION_KINDS):
         out = F.when(query.rlike(pattern), name).otherwise(out)
-    return F.when(query.rlike(LISTING[0]) & query.rlike(LISTING[1]), "enumeration").when(looks_like_url, "url_lookup").otherwise(out)
+    return F.when(query.rlike(LISTING[0]) & query.rlike(LISTING[1]), "enumeration").when(query.rlike(URL_QUESTION), "url_lookup").otherwise(out)
 
 
 def session_id(value: Column) -> Column:

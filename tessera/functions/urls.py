@@ -10,9 +10,9 @@ METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH")
 
 
 def normalize_url_pattern(url: Column) -> Column:
-    """UUIDs become :id; then path parts of 20 or more hex digits, or of digits, become /:id."""
-    out = F.regexp_replace(url, UUID, ":id")
-    out = F.regexp_replace(out, "/[0-9a-f]{20,}", "/:id")
+    """UUIDs become :id; then path parts of 20 or more hex digits (of any case), or of digits, become /:id."""
+    out = F.regexp_replace(url, f"(?i){UUID}", ":id")
+    out = F.regexp_replace(out, "(?i)/[0-9a-f]{20,}", "/:id")
     return F.regexp_replace(out, "/[0-9]+", "/:id")
 
 
@@ -88,28 +88,35 @@ def template_components(template: Column) -> Column:
 
 
 def is_placeholder(segment: Column) -> Column:
-    """${x}, :x, {x} and <x> stand for any value."""
-    return segment.rlike(r"^(\$\{.*\}|:.+|\{.+\}|<.+>)$")
+    """${x}, :x, {x} and <x> stand for any value; a name after a colon is an identifier."""
+    return segment.rlike(r"^(\$\{[^}]+\}|:[a-zA-Z_][a-zA-Z0-9_]*|\{[^}]+\}|<[^>]+>)$")
+
+
+def matched_parts(url: Column) -> Column:
+    """Non-empty parts after an http origin; a query stays with its part."""
+    return F.filter(F.split(F.regexp_replace(url, "^https?://[^/]+", ""), "/"), lambda s: s != "")
 
 
 def template_match(url: Column, template: Column) -> Column:
-    """Struct (score, params): parts must agree one to one, placeholders take any part; null if they don't.
+    """Struct (score, params): parts must agree one to one without case, placeholders take any part; null if they don't.
 
-    The score is the share of parts that agree, a placeholder counting whole.
+    The score is the share of literal parts that agree, so it is 1 for every
+    match; of a name that occurs twice the last value stays.
     """
-    u, t = segments(url), segments(template)
+    u, t = matched_parts(url), matched_parts(template)
     pairs = F.zip_with(u, t, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    fits = (F.size(u) == F.size(t)) & (F.size(t) > 0) & F.forall(pairs, lambda p: is_placeholder(p["b"]) | (p["a"] == p["b"]))
-    dynamic = F.filter(pairs, lambda p: is_placeholder(p["b"]))
-    params = F.map_from_arrays(F.transform(dynamic, lambda p: F.regexp_replace(p["b"], r"^(\$\{|[:{<])|[}>]$", "")), F.transform(dynamic, lambda p: p["a"]))
+    fits = (F.size(u) == F.size(t)) & (F.size(t) > 0) & F.forall(pairs, lambda p: is_placeholder(p["b"]) | (F.lower(p["a"]) == F.lower(p["b"])))
+    named = F.transform(F.filter(pairs, lambda p: is_placeholder(p["b"])), lambda p: F.struct(F.regexp_replace(p["b"], r"^(\$\{|[:{<])|[}>]$", "").alias("name"), p["a"].alias("value")))
+    last = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.greatest(F.size(named), F.lit(1))), lambda y: y["name"] == x["name"]))
+    params = F.map_from_arrays(F.transform(last, lambda x: x["name"]), F.transform(last, lambda x: x["value"]))
     return F.when(fits, F.struct(F.lit(1.0).alias("score"), params.alias("params")))
 
 
 def url_similarity(a: Column, b: Column) -> Column:
-    """Equal aligned parts over the longer number of parts; 0 if both are empty."""
-    x, y = segments(a), segments(b)
+    """Aligned parts that are equal without case over the longer number of parts; 0 if both are empty."""
+    x, y = matched_parts(a), matched_parts(b)
     most = F.greatest(F.size(x), F.size(y))
-    same = F.size(F.filter(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q) & p.isNotNull()), lambda s: s))
+    same = F.size(F.filter(F.zip_with(x, y, lambda p, q: F.lower(p).eqNullSafe(F.lower(q)) & p.isNotNull()), lambda s: s))
     return F.when(most == 0, 0.0).otherwise(same / most)
 
 
@@ -131,14 +138,14 @@ def suffix_match_score(url: Column, pattern: Column) -> Column:
 
 def version_family(query: Column, candidate: Column) -> Column:
     """Whether the query has v1 or the like where the candidate has a placeholder."""
-    pairs = F.zip_with(segments(query), segments(candidate), lambda a, b: F.coalesce(a.rlike("^v[0-9]+$"), F.lit(False)) & F.coalesce(is_placeholder(b), F.lit(False)))
+    pairs = F.zip_with(matched_parts(query), matched_parts(candidate), lambda a, b: F.coalesce(a.rlike("^v[0-9]+$"), F.lit(False)) & F.coalesce(is_placeholder(b), F.lit(False)))
     return F.exists(pairs, lambda x: x)
 
 
 def match_confidence(url: Column, pattern: Column) -> Column:
     """0 to 100: exact 100; a template part by part, literal 1 and placeholder a half; else equal aligned parts over the longer."""
     t = template_match(url, pattern)
-    p = segments(pattern)
+    p = matched_parts(pattern)
     weight = F.aggregate(p, F.lit(0.0), lambda s, x: s + F.when(is_placeholder(x), 0.5).otherwise(1.0)) / F.size(p)
     return F.when(url == pattern, 100).otherwise(F.floor(F.when(t.isNotNull(), weight).otherwise(url_similarity(url, pattern)) * 100 + 0.5)).cast("int")
 
@@ -150,8 +157,9 @@ def normalize_tail(path: Column) -> Column:
 
 
 def looks_like_url(text: Column) -> Column:
-    """A scheme and host, or two path parts in a row; without a leading slash three parts."""
-    return text.rlike(r"^https?://") | text.rlike(r"(^|\s)/[A-Za-z0-9_-]+/[A-Za-z0-9_-]+") | text.rlike(r"(^|\s)[A-Za-z0-9_-]+/[A-Za-z0-9_-]+/[A-Za-z0-9_-]+")
+    """An http address, or anywhere two path parts in a row."""
+    # fixed values: the characters of a path part
+    return text.rlike(r"^https?://") | text.rlike(r"/[A-Za-z0-9_\-.:{}$]+/[A-Za-z0-9_\-.:{}$]+")
 
 
 def interface_group(path: Column) -> Column:
@@ -166,33 +174,32 @@ def interface_group(path: Column) -> Column:
     )
 
 
+#: Patterns of route definitions, and of calls by a client.
+ROUTE = r"(?i)\b(router|app|route|server|express)\s*\.\s*(get|post|put|patch|delete|all|use|head|options)\s*\("
+CLIENT = r"(?i)(axios|fetch|got|superagent|request|ky|needle|urllib)"
+CLIENT_METHOD = r"(?i)\b(this\.)?(client|http|httpclient|apiclient|api|request|instance|agent|ajax|rpc)\s*\.\s*(get|post|put|patch|delete|head|options|request)\s*\("
+
+
 def usage_context(code: Column) -> Column:
-    """route_definition, api_call, router or unknown, by the first pattern that fits."""
-    verbs = "get|post|put|patch|delete"
-    return (
-        F.when(code.rlike(rf"(?i)\b(router|app|route|server|express)\s*\.\s*({verbs}|all|use|head|options)\s*\("), "route_definition")
-        .when(code.rlike("(?i)(axios|fetch|got|superagent|request|ky|needle|urllib)"), "api_call")
-        .when(code.rlike(rf"(?i)\b(this\.)?(client|http|httpclient|apiclient|api|request|instance|agent|ajax|rpc)\s*\.\s*({verbs}|head|options|request)\s*\("), "api_call")
-        .when(F.lower(code).contains("router"), "router")
-        .otherwise("unknown")
-    )
+    """route_definition, api_call, router (in lower case) or unknown, by the first that fits."""
+    return F.when(code.rlike(ROUTE), "route_definition").when(code.rlike(CLIENT) | code.rlike(CLIENT_METHOD), "api_call").when(code.contains("router"), "router").otherwise("unknown")
 
 
 def classify_undecided(path: Column, definition_file: Column) -> Column:
-    """interface, not-interface or unknown for an inventory row without a method."""
+    """interface, not-interface or unknown for an inventory row without a method, by the first rule that fits."""
+    real, file = F.coalesce(path, F.lit("")), F.coalesce(definition_file, F.lit(""))
     return (
-        F.when(path.rlike("^https?://"), "not-interface")
-        .when(definition_file.rlike(r"(^|/)router/|(^|/)(vite|webpack|vue)\.config\."), "not-interface")
-        .when(path.rlike(r"\.(js|css|png|svg|jpg|ico|woff2?|map|html)$"), "not-interface")
-        .when(definition_file.rlike("(?i)(menu|route)s?\\.[jt]s$|initializeRootMenu"), "not-interface")
-        .when(path.rlike("^/(rest|plugin|api)(/|$)"), "interface")
-        .when(path.rlike("^/[A-Z]"), "not-interface")
+        F.when(real.rlike("(?i)^https?://"), "not-interface")
+        .when(file.contains("vite.config") | file.contains("router/routes"), "not-interface")
+        .when(file.contains("initializeRootMenu") | file.contains("AppCreated"), "not-interface")
+        .when(real == "/Read/Write", "not-interface")
+        .when(real.startswith("/plugin/api/") | real.startswith("/rest/"), "interface")
         .otherwise("unknown")
     )
 
 
 def constant_type_sql(value: Column) -> Column:
-    """Constant kinds as the database function tells them."""
+    """Constant kinds as the database function tells them (fixed values: its patterns)."""
     return (
         F.when(value.rlike("^(https?://|/[a-z])"), "url_segment").when(value.rlike("^E[0-9]+$"), "error_code").when(value.contains(":"), "event_name")
         .when(value.rlike(r"^\."), "css_class").when(value.rlike("^[A-Z_]+$"), "env_var").otherwise("string")
@@ -200,7 +207,7 @@ def constant_type_sql(value: Column) -> Column:
 
 
 def constant_type_indexed(value: Column) -> Column:
-    """Constant kinds as the indexer tells them: URL test without case, css also with a dash, paths of any case."""
+    """Constant kinds as the indexer tells them (fixed values: its patterns): URL test without case, css also with a dash, paths of any case."""
     return (
         F.when(value.rlike("(?i)^(https?://|/[a-z])"), "url_segment").when(value.rlike("^E[0-9]+$"), "error_code").when(value.contains(":"), "event_name")
         .when(value.rlike(r"^[.\-]"), "css_class").when(value.rlike("^[A-Z_]+$"), "env_var").when(value.rlike(r"(?i)^/[a-z0-9\-_/]+$"), "api_path").otherwise("string")

@@ -17,12 +17,12 @@ def closure(edges: DataFrame, start: DataFrame, depth: int | None = 3, limit: in
 
     Level by level: a level is one join on the frontier and one anti-join on
     what is reached, so the work is bounded by edges x depth and no path is
-    listed twice.  Of several parents the smallest path wins; start nodes are
+    listed twice; the distinct edges are written once.  Of several parents the smallest path wins; start nodes are
     not in the result.  The frontier's lineage is cut at every level.
     """
     from tessera.sources import lineage
 
-    edges = edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
+    edges = lineage.cut(edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
     reached = frontier = start.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.array("node").alias("path")).distinct()
     for level in range(1, clamp_depth(depth) + 1):
         step = edges.join(frontier, edges["source"] == frontier["node"])
@@ -63,6 +63,18 @@ def edge_statistics(calls: DataFrame) -> DataFrame:
     )
 
 
+def functions_with_calls(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """id, calls_to, called_by: rows of calls that start in a function, and rows whose called symbol has its name.
+
+    functions: id, name; calls: source, symbol.  Each side is counted before
+    it is joined, so that no call is listed once for each call of the other side.
+    """
+    out = calls.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("calls_to"))
+    called = calls.groupBy(F.col("symbol").alias("name")).agg(F.count(F.lit(1)).alias("called_by"))
+    both = functions.join(out, "id", "left").join(called, "name", "left")
+    return both.select("id", F.coalesce("calls_to", F.lit(0)).alias("calls_to"), F.coalesce("called_by", F.lit(0)).alias("called_by"))
+
+
 def without_artefacts(calls: DataFrame) -> DataFrame:
     """One row for each (caller, symbol) with its first line, unless all its rows are self loops on the definition's line."""
     loop = F.coalesce((F.col("caller") == F.col("callee")) & (F.col("call_line") == F.col("line_start")), F.lit(False))
@@ -149,8 +161,12 @@ def _reach(reverse: DataFrame, member: DataFrame) -> DataFrame:
 def call_tree(edges: DataFrame, roots: DataFrame, depth: int = 2, most: int = 300) -> DataFrame:
     """key, parent_key, node, depth, cycle: the callee tree of each root, flattened; a node that its own path holds ends the branch.
 
-    depth is 1 to 4.  Rows are ordered by depth and key before the cap.
+    depth is 1 to 4.  Rows are ordered by depth and key before the cap, and a
+    row comes after its parent's, so a level needs no more than the first
+    ``most`` rows of the one above to be expanded, and gives no more itself.
     """
+    from tessera.sources import lineage
+
     edges = edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
     level = roots.select(F.array("node").alias("path"), "node", F.lit(False).alias("cycle"))
     key = lambda path: F.array_join(F.transform(path, lambda x: x.cast("string")), "/")
@@ -158,6 +174,7 @@ def call_tree(edges: DataFrame, roots: DataFrame, depth: int = 2, most: int = 30
     for d in range(1, max(1, min(depth, 4)) + 1):
         open_nodes = level.where("NOT cycle").select("path", "node")
         level = open_nodes.join(edges, open_nodes["node"] == edges["source"]).select(F.concat("path", F.array("target")).alias("path"), F.col("target").alias("node"), F.array_contains("path", F.col("target")).alias("cycle"))
+        level = lineage.cut(level.orderBy(key(F.col("path"))).limit(most))
         tree = tree.union(level.select(key(F.col("path")), key(F.slice("path", 1, d)), "node", F.lit(d), "cycle"))
     return tree.orderBy("depth", "key").limit(most)
 

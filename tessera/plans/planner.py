@@ -40,14 +40,14 @@ def analyze(query: str) -> tuple[str, float]:
         return "url", 0.9
     if re.search(r"\w+\s*\(|function\s+\w+|=>\s*\{", query):
         return "function", 0.85
-    if re.search(r"class\s+\w+|interface\s+\w+|type\s+\w+", query):
+    if re.search(r"class\s+\w+|interface\s+\w+|type\s+\w+", query, re.IGNORECASE):
         return "class", 0.85
     return ("constant", 0.8) if re.search(r"^[A-Z_]+$|^E\d+$", query) else ("general", 0.5)
 
 
 def searched_name(query: str, kind: str) -> str:
     """The name that a query of a kind asks for: a URL's path, the function or class named, else the query."""
-    patterns = {"url": r"(?:https?://[^/\s]+)?(/[^\s?#]+)", "function": r"function\s+(\w+)|(\w+)\s*\(", "class": r"(?:class|interface|type)\s+(\w+)"}
+    patterns = {"url": r"(?:https?://[^/\s]+)?(/[^\s?#]+)", "function": r"function\s+(\w+)|(\w+)\s*\(", "class": r"(?i:class|interface|type)\s+(\w+)"}
     m = re.search(patterns[kind], query) if kind in patterns else None
     return next((g for g in m.groups() if g), query) if m else query
 

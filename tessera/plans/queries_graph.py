@@ -64,12 +64,11 @@ def call_tree(spark, d):
     return graph.call_tree(model.calls(spark, d), spark.range(1, 4).withColumnRenamed("id", "node"), 2)
 
 
-@query(f"WITH c AS ({EDGES}) SELECT source, count(*) FILTER (WHERE target IS NOT NULL) AS calls, (SELECT count(*) FROM c x WHERE x.target = c.source) AS called FROM c GROUP BY source")
+@query(f"""WITH c AS (SELECT *, row_number() OVER () AS id FROM ({EDGES})), f AS (SELECT c_custkey AS id, CAST(c_custkey AS VARCHAR) AS name FROM customer)
+SELECT f.id, count(DISTINCT c1.id) AS calls_to, count(DISTINCT c2.id) AS called_by FROM f LEFT JOIN c c1 ON c1.source = f.id LEFT JOIN c c2 ON c2.symbol = f.name GROUP BY f.id""")
 def functions_with_calls(spark, d):
-    c = model.calls(spark, d)
-    called = c.where("target IS NOT NULL").groupBy(F.col("target").alias("source")).agg(F.count(F.lit(1)).alias("called"))
-    out = c.groupBy("source").agg(F.count_if(F.col("target").isNotNull()).alias("calls"))
-    return out.join(called, "source", "left").select("source", "calls", F.coalesce("called", F.lit(0)).alias("called"))
+    functions = model.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("string").alias("name"))
+    return graph.functions_with_calls(functions, model.calls(spark, d))
 
 
 @query(f"SELECT call_type, count(*) AS edges, count(*) FILTER (WHERE target IS NULL) AS unresolved, count(DISTINCT source) AS callers FROM ({EDGES}) GROUP BY 1")

@@ -21,46 +21,6 @@ def indexed_url_patterns(spark, d):
     return p.select("page_id", urls.normalize_indexed_url(F.col("url")).alias("pattern"))
 
 
-@query("SELECT event_id, contains(concat(event_type, '/x'), '/') AND event_type <> 'click' AS accepted FROM events")
-def accepted_urls(spark, d):
-    value = F.when(F.col("event_type") == "click", "application/json").otherwise(F.concat("event_type", F.lit("/x")))
-    return t(spark, d, "events").select("event_id", urls.accepts_url(value, F.lit(False)).alias("accepted"))
-
-
-@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'route_definition' WHEN 'view' THEN 'api_call' WHEN 'error' THEN 'api_call' WHEN 'signup' THEN 'router' ELSE 'unknown' END AS context FROM events""")
-def usage_contexts(spark, d):
-    kind = F.col("event_type")
-    code = F.when(kind == "click", "app.get('/x', f)").when(kind == "view", "axios.post(u)").when(kind == "error", "this.http.put(u)").when(kind == "signup", "useRouter()").otherwise("plain text")
-    return t(spark, d, "events").select("event_id", urls.usage_context(code).alias("context"))
-
-
-@query(f"SELECT page_id, CASE WHEN n = 0 THEN NULL ELSE concat('literal:/', page_id, '/|variable:id|literal:/', n) END AS parts FROM (SELECT page_id, len({SEGMENTS}) AS n FROM pages)")
-def template_components(spark, d):
-    n = F.size(urls.segments(F.col("url")))
-    template = F.concat(F.lit("/"), F.col("page_id").cast("string"), F.lit("/${id}/"), n.cast("string"))
-    parts = F.array_join(F.transform(urls.template_components(template), lambda x: F.concat(x["type"], F.lit(":"), x["value"])), "|")
-    return t(spark, d, "pages").select("page_id", F.when(n > 0, parts).alias("parts"))
-
-
-@query(f"""WITH p AS (SELECT page_id, {PATH} AS path, {NORMALIZED} AS pattern, {SEGMENTS} AS u, list_filter(string_split({NORMALIZED}, '/'), lambda s: s <> '') AS t FROM pages)
-SELECT page_id, CASE WHEN path = pattern THEN 100 ELSE CAST(floor(list_sum(list_transform(t, lambda s: CASE WHEN regexp_full_match(s, ':.+') THEN 0.5 ELSE 1.0 END)) / len(t) * 100 + 0.5) AS INTEGER) END AS confidence FROM p WHERE len(t) > 0""")
-def match_confidences(spark, d):
-    p = model.url_patterns(spark, d).where(F.size(urls.segments(F.col("normalized_pattern"))) > 0)
-    return p.select(F.col("id").alias("page_id"), urls.match_confidence(F.col("pattern"), F.col("normalized_pattern")).alias("confidence"))
-
-
-@query(f"""WITH c AS (SELECT page_id, len({SEGMENTS}) AS n, regexp_full_match({SEGMENTS}[1], 'v[0-9]+') AS v FROM pages) SELECT page_id, coalesce(v, false) AS same_family FROM c""")
-def version_families(spark, d):
-    p = t(spark, d, "pages")
-    return p.select("page_id", F.coalesce(urls.version_family(F.col("url"), F.lit("/:version/x")), F.lit(False)).alias("same_family"))
-
-
-@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'callers' WHEN turn % 3 = 1 THEN 'callees' ELSE 'none' END AS direction, CASE WHEN turn % 3 = 0 THEN 'loadUser,do_it' WHEN turn % 3 = 1 THEN 'api,users,sendMail' ELSE '' END AS symbols FROM conversations")
-def call_questions(spark, d):
-    q = F.when(F.col("turn") % 3 == 0, "who calls loadUser and do_it").when(F.col("turn") % 3 == 1, "callees of /api/users sendMail").otherwise("hello")
-    return t(spark, d, "conversations").select("conv_id", "turn", questions.call_direction(q).alias("direction"), F.array_join(questions.symbol_tokens(q), ",").alias("symbols"))
-
-
 @query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'GET' END AS method, {PATH} AS path FROM pages WHERE length({PATH}) > 1 AND regexp_full_match({PATH}, '/[A-Za-z0-9_:{{}}/.-]+')")
 def asked_interfaces(spark, d):
     p = model.url_patterns(spark, d).where((F.length("pattern") > 1) & F.col("pattern").rlike("^/[A-Za-z0-9_:{}/.-]+$"))
@@ -141,17 +101,6 @@ def related_layer(spark, d):
     return p.where("hits >= 1").select(F.col("id").alias("page_id"), F.when(F.col("hits") >= 2, 0.35).otherwise(0.28).alias("score"))
 
 
-@query(f"SELECT page_id, CASE WHEN regexp_matches(path, '\\.(js|css|png|svg|jpg|ico|woff2?|map|html)$') THEN 'not-interface' WHEN regexp_matches(path, '^/(rest|plugin|api)(/|$)') THEN 'interface' WHEN regexp_matches(path, '^/[A-Z]') THEN 'not-interface' ELSE 'unknown' END AS kind FROM (SELECT page_id, {PATH} AS path FROM pages)")
-def undecided_rows(spark, d):
-    p = model.url_patterns(spark, d)
-    return p.select(F.col("id").alias("page_id"), urls.classify_undecided(F.col("pattern"), F.lit("src/some/unknown.ts")).alias("kind"))
-
-
-@query("SELECT p_partkey, concat('function ', p_name, ' return') AS fixed FROM part")
-def corrected_typos(spark, d):
-    return t(spark, d, "part").select("p_partkey", text.correct_typos(F.concat(F.lit("fucntion "), F.col("p_name"), F.lit(" retrun"))).alias("fixed"))
-
-
 @query("SELECT o_orderkey, concat('src/f', o_orderkey % 9, '.ts') AS path, CAST(o_orderkey % 50 AS INTEGER) AS first, CAST(o_orderkey % 50 + 3 AS INTEGER) AS last FROM orders")
 def citations(spark, d):
     n = (F.col("o_orderkey") % 50).cast("int")

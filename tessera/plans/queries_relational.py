@@ -12,7 +12,7 @@ from tessera.sources import files, model
 t = model.table
 FILES = "SELECT doc_id AS id, doc_id % 5 AS repo_id, concat(lang, '/', source, '/', doc_id, '.txt') AS path, lang AS language, text AS content FROM documents"
 LINES = "SELECT doc_id AS file_id, doc_id % 5 AS repo_id, concat(lang, '/', source, '/', doc_id, '.txt') AS path, unnest(string_split(text, chr(10))) AS code_text, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER) AS line FROM documents"
-EDGES = "SELECT o_custkey AS source, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % (SELECT count(*) FROM customer) END AS target, CAST(o_orderkey % (SELECT count(*) FROM customer) AS VARCHAR) AS symbol, o_orderstatus AS call_type, o_orderkey % 500 AS call_line FROM orders WHERE o_orderpriority = '1-URGENT'"
+EDGES = "SELECT o_custkey AS source, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % (SELECT count(*) FROM customer) END AS target, CAST(o_orderkey % (SELECT count(*) FROM customer) AS VARCHAR) AS symbol, o_orderstatus AS call_type, o_orderkey % 500 AS call_line FROM orders"
 IMPORTS = "SELECT o_custkey % 97 AS source, o_orderkey % 97 AS target, o_orderstatus AS symbol, o_orderpriority AS import_type, o_orderkey % 50 AS line FROM orders"
 SPANS = "SELECT l_orderkey AS file_id, l_partkey AS name, l_linenumber * 10 AS line_start, l_linenumber * 10 + CAST(floor(l_quantity) AS BIGINT) AS line_end FROM lineitem"
 
@@ -87,14 +87,13 @@ def import_statistics(spark, d):
     return graph.import_statistics(model.imports(spark, d))
 
 
-@query("""SELECT l_suppkey AS symbol, count(*) AS incoming, count(*) FILTER (WHERE l_returnflag = 'R') AS unresolved, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_partkey % 50 = l_suppkey AND l_suppkey = l_suppkey AND l_linenumber = 1) AS artifact_self_loops,
-count(*) FILTER (WHERE l_returnflag <> 'R' AND l_suppkey + l_linenumber % 2 <> l_suppkey) AS resolved_elsewhere FROM lineitem GROUP BY 1""")
+@query("""WITH c AS (SELECT l_suppkey AS root, l_linenumber AS call_line, l_suppkey + l_partkey % 2 AS caller, CASE WHEN l_returnflag <> 'R' THEN l_suppkey + l_orderkey % 2 END AS callee FROM lineitem)
+SELECT root AS symbol, count(*) AS incoming, count(*) FILTER (WHERE callee IS NULL) AS unresolved, count(*) FILTER (WHERE caller = root AND callee = root AND call_line = 2) AS artifact_self_loops, count(*) FILTER (WHERE callee <> root) AS resolved_elsewhere FROM c GROUP BY 1""")
 def edge_statistics(spark, d):
-    li = t(spark, d, "lineitem")
     root = F.col("l_suppkey")
-    calls = li.select(root.alias("symbol"), root.alias("root"), F.lit(1).alias("root_line"), F.col("l_linenumber").alias("call_line"), F.when(F.col("l_partkey") % 50 == root, root).otherwise(root + 1).alias("caller"), F.when(F.col("l_returnflag") != "R", root + F.col("l_linenumber") % 2).alias("callee"))
-    loops = F.coalesce((F.col("caller") == F.col("root")) & (F.col("callee").isNotNull()) & (F.col("call_line") == 1), F.lit(False))
-    return calls.groupBy("symbol").agg(F.count(F.lit(1)).alias("incoming"), F.count_if(F.col("callee").isNull()).alias("unresolved"), F.count_if(loops).alias("artifact_self_loops"), F.count_if(F.col("callee").isNotNull() & (F.col("callee") != F.col("root"))).alias("resolved_elsewhere"))
+    callee = F.when(F.col("l_returnflag") != "R", root + F.col("l_orderkey") % 2)
+    calls = t(spark, d, "lineitem").select(root.alias("symbol"), root.alias("root"), F.lit(2).alias("root_line"), F.col("l_linenumber").alias("call_line"), (root + F.col("l_partkey") % 2).alias("caller"), callee.alias("callee"))
+    return graph.edge_statistics(calls)
 
 
 @query(f"SELECT source, symbol, min(target) AS callee, min(call_line) AS call_line FROM ({EDGES}) GROUP BY 1, 2 HAVING NOT bool_and(coalesce(source = target AND call_line = source % 500, false))")

@@ -10,7 +10,6 @@ from tessera.sources import model
 
 t = model.table
 TRIGRAM = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring(concat('  ', w, ' '), i, 3)))))"
-STOP = "[" + ", ".join(f"'{x}'" for x in text.STOP_WORDS) + "]"
 
 
 @query("WITH p AS (SELECT p_partkey, p_name AS a, lead(p_name) OVER (ORDER BY p_partkey) AS b FROM part) SELECT p_partkey, CAST(levenshtein(a, b) AS INTEGER) AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS ratio FROM p WHERE b IS NOT NULL")
@@ -32,11 +31,6 @@ def keyword_split(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(text.keywords(F.col("source")), " ").alias("words"))
 
 
-@query(f"SELECT item_id, array_to_string(list_sort(list_filter(list_distinct(string_split_regex(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^\\p{{L}}\\p{{N}}]+')), lambda w: length(w) > 1 AND NOT list_contains({STOP}, w))), ' ') AS terms FROM benchmark")
-def search_terms(spark, d):
-    return t(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(text.search_terms(F.col("text"))), " ").alias("terms"))
-
-
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 12), chr(10)) AS context FROM documents")
 def context_windows(spark, d):
     return t(spark, d, "documents").select("doc_id", text.context_lines(F.col("text"), F.lit(7), F.lit(7)).alias("context"))
@@ -52,18 +46,6 @@ def clamped_scores(spark, d):
     return t(spark, d, "events").select("event_id", F.round(text.round2(text.clamp01(F.col("value") / 100)), 2).alias("score"))
 
 
-@query("""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)/(api|rest|v\\d+|graphql|endpoint)/|:\\w+|/\\{|\\bhttps?://') OR regexp_matches(url, '(?i)^/[a-z0-9_-]+/[a-z0-9_-]+') OR regexp_matches(url, '(?i)/(get|post|put|delete|patch)\\b') THEN 'url' WHEN regexp_matches(url, '\\w+\\s*\\(|function\\s+\\w+|=>\\s*\\{') THEN 'function' WHEN regexp_matches(url, 'class\\s+\\w+|interface\\s+\\w+|type\\s+\\w+') THEN 'class' WHEN regexp_matches(url, '^[A-Z_]+$|^E\\d+$') THEN 'constant' ELSE 'general' END AS kind FROM pages""")
-def query_intents(spark, d):
-    return t(spark, d, "pages").select("page_id", text.intent(F.col("url"))["kind"].alias("kind"))
-
-
-@query("""SELECT conv_id, turn, CASE WHEN contains(lower(text), 'usage') THEN 'find_usages' WHEN contains(lower(text), 'where') THEN 'find_usages' WHEN contains(lower(text), 'called') THEN 'find_usages' WHEN contains(lower(text), 'references') THEN 'find_usages' WHEN contains(lower(text), 'definition') THEN 'find_definition' WHEN contains(lower(text), 'implementation') THEN 'find_implementations' WHEN contains(lower(text), 'callers') THEN 'find_callers' ELSE 'general_search' END AS action,
-CASE WHEN regexp_matches(text, 'bug') THEN 'bug_analysis' WHEN regexp_matches(text, 'vs') THEN 'comparison' ELSE 'general' END AS kind FROM conversations""")
-def question_actions(spark, d):
-    c = t(spark, d, "conversations")
-    return c.select("conv_id", "turn", text.action(F.col("text")).alias("action"), text.question_kind(F.col("text"), F.lit(False)).alias("kind"))
-
-
 @query("SELECT c_custkey, nullif(substring(trim(c_mktsegment), 1, 128), '') AS session_id, regexp_replace(concat('https://user:', c_custkey, '@host/', c_name), '://[^/@]+@', '://***@') AS safe, lower(regexp_replace(concat('https://host/group/', c_name, '.git'), '^.*/(.*)\\.git$', '\\1')) AS repo FROM customer")
 def identifiers(spark, d):
     c = t(spark, d, "customer")

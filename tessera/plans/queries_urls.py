@@ -11,7 +11,7 @@ from tessera.sources import model
 
 UUID = urls.UUID
 PATH = r"regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '')"
-NORMALIZED = f"regexp_replace(regexp_replace(regexp_replace({PATH}, '{UUID}', ':id', 'g'), '/[0-9a-f]{{20,}}', '/:id', 'g'), '/[0-9]+', '/:id', 'g')"
+NORMALIZED = f"regexp_replace(regexp_replace(regexp_replace({PATH}, '(?i){UUID}', ':id', 'g'), '(?i)/[0-9a-f]{{20,}}', '/:id', 'g'), '/[0-9]+', '/:id', 'g')"
 SEGMENTS = f"list_filter(string_split({PATH}, '/'), lambda s: s <> '')"
 FILE = "concat('src/file', page_id % 17, '.ts')"
 USAGES = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages"
@@ -49,24 +49,6 @@ def url_path_segments(spark, d):
     return model.table(spark, d, "pages").select("page_id", F.array_join(urls.path_segments(F.col("url")), "/").alias("parts"))
 
 
-@query(f"""SELECT page_id, CASE WHEN regexp_matches(url, '^(https?://|/[a-z])') THEN 'url_segment' WHEN regexp_matches(url, '^E[0-9]+$') THEN 'error_code' WHEN contains(url, ':') THEN 'event_name' ELSE 'string' END AS url_kind,
-CASE WHEN regexp_matches({PATH}, '^(https?://|/[a-z])') THEN 'url_segment' WHEN regexp_matches({PATH}, '^E[0-9]+$') THEN 'error_code' WHEN contains({PATH}, ':') THEN 'event_name' WHEN regexp_matches({PATH}, '^\\.') THEN 'css_class' WHEN regexp_matches({PATH}, '^[A-Z_]+$') THEN 'env_var' ELSE 'string' END AS path_kind FROM pages""")
-def constant_types(spark, d):
-    p = model.table(spark, d, "pages")
-    return p.select("page_id", urls.constant_type_sql(F.col("url")).alias("url_kind"), urls.constant_type_sql(urls.path_of(F.col("url"))).alias("path_kind"))
-
-
-@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '(?i)^(https?://|/[a-z])') THEN 'url_segment' WHEN regexp_matches(p_brand, '^E[0-9]+$') THEN 'error_code' WHEN contains(p_brand, ':') THEN 'event_name' WHEN regexp_matches(p_brand, '^[.\\-]') THEN 'css_class'
-WHEN regexp_matches(p_brand, '^[A-Z_]+$') THEN 'env_var' WHEN regexp_matches(p_brand, '(?i)^/[a-z0-9\\-_/]+$') THEN 'api_path' ELSE 'string' END AS kind FROM part""")
-def constant_types_indexed(spark, d):
-    return model.table(spark, d, "part").select("p_partkey", urls.constant_type_indexed(F.col("p_brand")).alias("kind"))
-
-
-@query("""SELECT event_id, CASE WHEN contains(upper(event_type), 'GET') THEN 'GET' WHEN contains(upper(event_type), 'POST') THEN 'POST' WHEN contains(upper(event_type), 'PUT') THEN 'PUT' WHEN contains(upper(event_type), 'DELETE') THEN 'DELETE' WHEN contains(upper(event_type), 'PATCH') THEN 'PATCH' END AS method FROM events""")
-def http_methods(spark, d):
-    return model.table(spark, d, "events").select("event_id", urls.http_method(F.col("event_type")).alias("method"))
-
-
 @query(f"""WITH p AS (SELECT page_id, {NORMALIZED} AS pattern FROM pages)
 SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(pattern, '[:{{]([A-Za-z_][A-Za-z0-9_]*)', 1))), ',') AS params FROM p""")
 def path_parameters(spark, d):
@@ -74,17 +56,8 @@ def path_parameters(spark, d):
     return p.select(F.col("id").alias("page_id"), F.array_join(F.array_sort(urls.path_params(F.col("normalized_pattern"))), ",").alias("params"))
 
 
-@query(f"""WITH p AS (SELECT page_id, url, {SEGMENTS} AS u, list_filter(string_split({NORMALIZED}, '/'), lambda s: s <> '') AS t FROM pages),
-z AS (SELECT *, list_zip(u, t) AS zz FROM p)
-SELECT page_id, CAST(1.0 AS DOUBLE) AS score, array_to_string(list_transform(list_filter(zz, lambda x: regexp_full_match(x[2], ':.+')), lambda x: x[1]), ',') AS params
-FROM z WHERE len(u) = len(t) AND len(t) > 0 AND len(list_filter(zz, lambda x: NOT (regexp_full_match(x[2], ':.+') OR x[1] = x[2]))) = 0""")
-def template_matches(spark, d):
-    p = model.url_patterns(spark, d).withColumn("m", urls.template_match(F.col("url"), F.col("normalized_pattern"))).where("m IS NOT NULL")
-    return p.select(F.col("id").alias("page_id"), "m.score", F.array_join(F.map_values("m.params"), ",").alias("params"))
-
-
 @query(f"""WITH p AS (SELECT page_id, {SEGMENTS} AS a FROM pages), q AS (SELECT page_id - 1 AS page_id, {SEGMENTS} AS b FROM pages)
-SELECT page_id, round(CASE WHEN greatest(len(a), len(b)) = 0 THEN 0.0 ELSE len(list_filter(list_zip(a, b), lambda x: x[1] = x[2])) / greatest(len(a), len(b)) END, 6) AS similarity FROM p JOIN q USING (page_id)""")
+SELECT page_id, round(CASE WHEN greatest(len(a), len(b)) = 0 THEN 0.0 ELSE len(list_filter(list_zip(a, b), lambda x: lower(x[1]) = lower(x[2]))) / greatest(len(a), len(b)) END, 6) AS similarity FROM p JOIN q USING (page_id)""")
 def url_similarities(spark, d):
     p = model.table(spark, d, "pages")
     q = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other"))
@@ -148,8 +121,3 @@ def interface_groups(spark, d):
 def orphan_patterns(spark, d):
     p, u = model.url_patterns(spark, d), model.url_usages(spark, d).where("usage_line > 5")
     return p.join(u, p["id"] == u["pattern_id"], "left_anti").select(F.col("id").alias("page_id"))
-
-
-@query("""SELECT page_id, regexp_matches(url, '^https://') OR regexp_matches(url, '(^|\\s)/[A-Za-z0-9_-]+/[A-Za-z0-9_-]+') OR regexp_matches(url, '(^|\\s)[A-Za-z0-9_-]+/[A-Za-z0-9_-]+/[A-Za-z0-9_-]+') OR regexp_matches(url, '^https?://') AS is_url FROM pages""")
-def url_like_queries(spark, d):
-    return model.table(spark, d, "pages").select("page_id", urls.looks_like_url(F.col("url")).alias("is_url"))

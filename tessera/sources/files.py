@@ -70,8 +70,9 @@ def progress(processed: Column, total: Column, elapsed_ms: Column) -> tuple[Colu
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    """CSV with a header and a byte order mark."""
-    rows.write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
+    """CSV files with a header and, before it, a byte order mark; every column in quotes where it needs them."""
+    first, *rest = rows.columns
+    rows.select(F.col(first).alias("\ufeff" + first), *rest).write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -207,3 +207,30 @@ def test_planner(spark):
     t = spark.createDataFrame(rows, "id string, file_path string, name string, line_start int, line_end int, content string")
     got = planner.search(planner.Tables({"code_chunks": t, "functions": t}), "fucntion orderTotal", threshold=0.3, reranker=search.lexical_overlap).collect()
     assert got[0]["file_path"] == "a.ts"
+
+
+def test_enclosing_names_of_any_type(spark):
+    spans = spark.createDataFrame([(1, "outer", 1, 90), (1, "b", 5, 20), (1, "a", 5, 20), (1, "late", 8, 9), (2, "x", 1, 3)], "file_id long, name string, line_start long, line_end long")
+    points = spark.createDataFrame([(1, 6, 7), (1, 8, 8), (1, 50, 80), (1, 95, 95), (2, 4, 4)], "file_id long, line_start long, line_end long")
+    got = {(r["file_id"], r["line_start"]): r["name"] for r in relations.enclosing(points, spans).collect()}
+    assert got == {(1, 6): "a", (1, 8): "late", (1, 50): "outer", (1, 95): None, (2, 4): None}
+
+
+def test_report_begins_with_a_byte_order_mark(spark, tmp_path):
+    files.write_report(spark.createDataFrame([(1, "a,b")], "id long, v string"), str(tmp_path / "r"))
+    (part,) = (tmp_path / "r").glob("part-*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfid,v\n") and b'1,"a,b"' in part.read_bytes()
+
+
+def test_call_tree_levels_are_capped(spark):
+    edges = spark.createDataFrame([(a, b) for a in range(12) for b in range(12) if a != b], "source long, target long")
+    roots = spark.createDataFrame([(0,)], "node long")
+    full = graph.call_tree(edges, roots, 3, 10_000).collect()
+    assert [tuple(r) for r in graph.call_tree(edges, roots, 3, 40).collect()] == [tuple(r) for r in full[:40]]
+
+
+def test_symbols_of_addresses(spark):
+    from tessera.functions import questions
+
+    frame = spark.createDataFrame([("see https://h.io/a/getOne.json and https://h.io/b/getTwo/ok_it?x=get%5FX plus GETONE myVar AB",)], "q string")
+    assert frame.select(questions.symbol_tokens(F.col("q")).alias("s")).first()["s"] == ["ok_it", "getOne", "getTwo", "get_X", "myVar"]
