@@ -217,7 +217,7 @@ def test_enclosing_names_of_any_type(spark):
 
 
 def test_report_begins_with_a_byte_order_mark(spark, tmp_path):
-    files.write_report(spark.createDataFrame([(1, "a,b")], "id long, v string"), str(tmp_path / "r"))
+    files.write_report(spark.createDataFrame([(1, "a,b")], "id long, v string").coalesce(1), str(tmp_path / "r"))
     (part,) = (tmp_path / "r").glob("part-*.csv")
     assert part.read_bytes().startswith(b"\xef\xbb\xbfid,v\n") and b'1,"a,b"' in part.read_bytes()
 
