@@ -49,11 +49,37 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_MIT_0 = _MIT.replace(", subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ".")
+_APACHE_FILE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GPL_FILE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_MPL_FILE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 #: Whole licences: (id, text with its usual heading or without).
 LICENCES = (
     ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT), ("MIT", _MIT), ("ISC", "ISC License\n\n" + _ISC), ("ISC", _ISC), ("0BSD", "Zero-Clause BSD\n\n" + _0BSD), ("0BSD", _0BSD),
     ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_HEAD + _BSD_TAIL), ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_HEAD + _BSD_THIRD + _BSD_TAIL), ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
-    ("Zlib", "zlib License\n\n" + _ZLIB), ("Zlib", _ZLIB),
+    ("Zlib", "zlib License\n\n" + _ZLIB), ("Zlib", _ZLIB), ("Unlicense", _UNLICENSE), ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>"), ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <http://unlicense.org/>"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BOOST), ("BSL-1.0", _BOOST), ("MIT-0", "MIT No Attribution\n\n" + _MIT_0), ("MIT-0", _MIT_0), ("Apache-2.0", _APACHE_FILE), ("GPL-3.0-or-later", _GPL_FILE),
+    ("LGPL-3.0-or-later", _GPL_FILE.replace("GNU General", "GNU Lesser General")), ("AGPL-3.0-or-later", _GPL_FILE.replace("GNU General", "GNU Affero General")), ("MPL-2.0", _MPL_FILE),
 )
 #: Notices of one line; a document that consists of one has that licence, too.
 NOTICES = (
@@ -109,14 +135,18 @@ def _joined(lines: Column) -> Column:
     return out
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """digest, licence_id of the module's licences and notices."""
+def known(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """digest, licence_id of the module's licences and notices, and of more (licence_id, text) that a caller has."""
     rows = spark.createDataFrame([*LICENCES, *NOTICES], "licence_id string, text string")
+    rows = rows if more is None else rows.union(more.select("licence_id", "text"))
     return rows.select(F.sha2(_joined(canonical(F.col("text"))), 256).alias("digest"), "licence_id").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
 
 
 def scan(documents: DataFrame, licences: DataFrame | None = None) -> DataFrame:
-    """doc_id, digest, licence_id (null: none) of each entire text; n_notices and notices of its lines."""
+    """doc_id, digest, licence_id (null: none) of each entire text; n_notices and notices of its lines.
+
+    licences: what ``known`` gives, with longer licences, say; it is broadcast, so some thousands of rows at most.
+    """
     spark = documents.sparkSession
     notices = {r["digest"]: r["licence_id"] for r in known(spark).collect()}
     name_of = F.create_map(*(F.lit(x) for pair in notices.items() for x in pair))
