@@ -12,10 +12,17 @@ enough of the item's words, it is aligned with the item: a match counts 1
 score.  Items are handled in blocks of a fixed number of words, so what is sent
 to the executors is bounded whatever the size of the benchmark.
 
-Defined cases: null and empty texts match nothing, and neither do items of
-fewer than ``MIN_WORDS`` words; very long documents are read whole; documents
-that occur repeatedly are reported each; an empty table on either side gives an
-empty result; other columns are ignored.
+An item of fewer than ``MIN_WORDS`` words is found where its whole sequence
+stands; one of fewer than ``FEWEST`` words and ``SHORTEST`` signs names no
+passage and is not searched.  The index of a block goes to the executors (its
+size is bounded by ``BLOCK``) instead of every document's words to a join: on
+whole tables that would deal each word that some item holds.
+
+Defined cases: null and empty texts match nothing; very long documents are read
+whole; documents that occur repeatedly are reported each, and so are repeated
+items; of several places with the best score the first is told; an empty table
+on either side gives an empty result; other columns are ignored or, where
+documents are returned, kept.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import shared, tokens
 
-MIN_WORDS = 8
+MIN_WORDS, FEWEST, SHORTEST = 8, 3, 12
 #: Words of items sent to the executors at once.
 BLOCK = 1 << 20
 #: Seeds that must lie close together; the more, the more seeds there are.
@@ -93,10 +100,11 @@ class Items:
 
     def choose(self, frequency: np.ndarray, threshold: float) -> None:
         """Takes the rarest words as seeds; frequency: by key."""
-        self.need = np.array([max(1, int(np.ceil(threshold * len(d) - 1e-9))) for d in self.distinct])
+        self.threshold = [threshold if len(w) >= MIN_WORDS else 1.0 for w in self.words]
+        self.need = np.array([max(1, int(np.ceil(t * len(d) - 1e-9))) for t, d in zip(self.threshold, self.distinct, strict=True)])
         self.together = np.minimum(self.need, TOGETHER)
         #: Words that an alignment can span: gaps cost what the matches leave above the threshold.
-        self.span = np.array([len(w) + int(max(0.0, MATCH - threshold) / -OTHER * len(w) + 1e-9) for w in self.words])
+        self.span = np.array([len(w) + int(max(0.0, MATCH - t) / -OTHER * len(w) + 1e-9) for t, w in zip(self.threshold, self.words, strict=True)])
         seeds = []
         for d, need, together in zip(self.distinct, self.need, self.together, strict=True):
             rarest = d[np.argsort(frequency[np.searchsorted(self.key, d)], kind="stable")]
@@ -135,7 +143,7 @@ class Items:
         return int(np.cumsum(change).max()) >= self.need[i]
 
     def matches(self, words: np.ndarray, row: np.ndarray, n_rows: int) -> list[tuple[int, int, float, int, int]]:
-        """(row, item, score, first word, last word) of every item that may reach the threshold in a row."""
+        """(row, item, score, first word, last word) of every item found in a row."""
         bounds, out = tokens.row_bounds(row, n_rows), []
         of, item, place = self.places(words, row)
         cuts = [*np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (item[1:] != item[:-1])][: len(of)]).tolist(), len(of)]
@@ -153,8 +161,9 @@ class Items:
                     found = align(self.words[i], words[low:high], self.weights[i])
                     if found[0] > best[0]:
                         best = (found[0], found[1] + low - bounds[r], found[2] + low - bounds[r])
-            if best[0] > 0:
-                out.append((r, i, best[0] / self.weights[i].sum(), int(best[1]), int(best[2])))
+            score = round(best[0] / self.weights[i].sum(), 9)
+            if score >= self.threshold[i]:
+                out.append((r, i, score, int(best[1]), int(best[2])))
         return out
 
 
@@ -164,7 +173,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
     ids, words, size = [], [], 0
     for r in rows.toLocalIterator():
         own, _ = words_of(pa.array([r["text"]]))
-        if len(own) < MIN_WORDS:
+        if not len(own) or len(own) < FEWEST and len(r["text"].strip()) < SHORTEST:
             continue
         if ids and size + len(own) > BLOCK:
             yield Items(ids, words)
@@ -204,7 +213,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
         def find(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in tokens.row_slices(batches):
-                found = [x for x in block.matches(*words_of(batch.column("text")), batch.num_rows) if x[2] >= threshold]
+                found = block.matches(*words_of(batch.column("text")), batch.num_rows)
                 if found:
                     row, item, score, first, last = (list(x) for x in zip(*found, strict=True))
                     columns = [batch.column("doc_id").take(pa.array(row)), pa.array([block.ids[i] for i in item], pa.int64()), pa.array(score), pa.array([len(block.words[i]) for i in item], pa.int32()), pa.array(first), pa.array(last)]
@@ -225,7 +234,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
         def clean(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in tokens.row_slices(batches):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[x[0] for x in block.matches(*words_of(batch.column("text")), batch.num_rows) if x[2] >= threshold]] = False
+                keep[[x[0] for x in block.matches(*words_of(batch.column("text")), batch.num_rows)]] = False
                 yield batch.filter(pa.array(keep))
 
         documents = documents.mapInArrow(clean, documents.schema)

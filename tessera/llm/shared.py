@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import tokens
+from tessera.sources import lineage
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches; sets a checkpoint folder where the cluster names none (local tests)."""
+    """Bounds Arrow batches, for good, as frames run after the call; sets a checkpoint folder where none is set (see ``lineage.folder``)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(tokens.BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(lineage.folder(spark))
     return spark
 
 

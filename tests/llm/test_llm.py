@@ -266,6 +266,18 @@ def test_decontamination(spark):
     assert decontamination.scan(d.limit(0), b).count() == 0 and decontamination.scan(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    """Whole sequences only; clashing and more columns, repeated rows and items."""
+    items = [(1, "red fox jumps", "u"), (1, "red fox jumps", "u"), (2, "yes", "u"), (3, "素早い茶色の狐が犬を飛び越える", "u"), (4, None, "u")]
+    b = spark.createDataFrame(items, "item_id long, text string, score string")
+    texts = ["a red, FOX jumps high", "red fox never jumps", "yes", "x 素早い茶色の狐が犬を飛び越える y", "jumps fox red", None, ""]
+    d = spark.createDataFrame([(i, t, "s", "w") for i, t in enumerate(texts)] + [(0, texts[0], "s", "w"), (None, texts[0], "s", "w")], "doc_id long, text string, score string, words string")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["item_id"], r["score"]) for r in decontamination.scan(d, b).collect())
+    assert got == [(-1, 1, 1.0)] * 2 + [(0, 1, 1.0)] * 4 + [(3, 3, 1.0)]
+    kept = decontamination.keep_clean(d, b)
+    assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5, 6]
+
+
 def test_decontamination_of_frequent_passages(spark):
     """Edited copies in many documents are found, though all seeds that they hold are frequent and others occur nowhere."""
     rng = random.Random(14)
@@ -331,7 +343,7 @@ def test_wrapped_licences(spark):
     rows, expected = [], []
     for i, (name, text) in enumerate(licences.LICENCES):
         for width in (20, 45, 71, 80):
-            rows.append(statements[i % len(statements)] + "\n\n" + "\n\n".join(textwrap.fill(x, width) for x in text.split("\n\n")))
+            rows.append(statements[i % len(statements)] + "\n\n" + "\n\n".join(textwrap.fill(x, width, break_long_words=False) for x in text.split("\n\n")))
             expected.append(name)
         rows.append(statements[(i + 5) % len(statements)] + "\n\n" + re.sub(" (copyright|\\(c\\))", "\n\\1", text, flags=re.I))
         expected.append(name)
@@ -342,6 +354,43 @@ def test_wrapped_licences(spark):
     assert [got[i] for i in range(len(rows))] == expected
 
 
+def plain_canonical(text):
+    """Words of a text by the rules of the canonical form, written without patterns."""
+    out = []
+    for line in lower(text or "").split("\n"):
+        bare = line.strip(" \t")
+        rest = bare.removeprefix("copyright").strip()
+        if bare.startswith("copyright") and (rest.startswith(("(c)", "©")) or rest[:1].isdigit()) or bare.startswith(("(c) 2", "©")) or bare.strip(" .") == "all rights reserved":
+            continue
+        kept = "".join(" " if c.isascii() and not c.isalnum() or c in "“”‘’«»–—…" else c for c in line)
+        out += kept.split()
+    same = {"licence": "license", "licens": "license", "licenced": "licensed", "merchantibility": "merchantability", "acknowledgement": "acknowledgment", "organisation": "organization"}
+    joined = " " + " ".join(same.get(w, w) for w in out) + " "
+    for a, b in (("sub license", "sublicense"), ("non infringement", "noninfringement"), ("copyright owners", "copyright holder"), ("copyright owner", "copyright holder"), ("copyright holders", "copyright holder"), ("as is", "asis")):
+        joined = joined.replace(f" {a} ", f" {b} ")
+    for n in "0123456789":
+        joined = joined.replace(f" version {n} 0 ", f" version {n} ")
+    return joined.strip()
+
+
+def test_licences_against_plain_canonical_texts(spark):
+    """Varied and damaged licences match just where the plain canonical texts are equal."""
+    rng = random.Random(8)
+    by_text = {plain_canonical(t): name for name, t in reversed((*licences.LICENCES, *licences.NOTICES))}
+    rows = [None, "", " \n ", "Copyright 2020 X"]
+    for _, text in (*licences.LICENCES, *licences.NOTICES):
+        words = text.split(" ")
+        rows += [text.upper(), text.replace(" ", "  "), "Copyright (c) 1999 Me\n" + text.replace("license", "licence"), text.replace('"', "“"), " ".join(words[:-1]), " ".join(words[: len(words) // 2] + words[len(words) // 2 + 1 :]), text + " More.", "\n".join(textwrap.wrap(text, rng.randint(30, 90), break_long_words=False))]
+    d = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(rows)] + [(None, rows[4], "x", "y", 1)] * 2, "doc_id long, text string, _lines string, digest string, _key int")
+    got = licences.scan(d).collect()
+    assert len(got) == len(rows) + 2 and {r["licence_id"] for r in got if r["doc_id"] is None} == {by_text[plain_canonical(rows[4])]}
+    assert {r["doc_id"]: r["licence_id"] for r in got if r["doc_id"] is not None} == {i: by_text.get(plain_canonical(t)) for i, t in enumerate(rows)}
+    longer = spark.createDataFrame([("Own", "Do what you like, " * 3000)], "licence_id string, text string")
+    table_ = licences.known(spark, longer)
+    assert licences.scan(spark.createDataFrame([(1, "do WHAT you like " * 3000)], "doc_id long, text string"), table_).first()["licence_id"] == "Own"
+    assert licences.scan(d.limit(0)).count() == 0
+
+
 def plain_model(seqs, held):
     """Counts by order, and a walk through the automaton from token to token with its state in hand."""
     counts = [collections.Counter(g for i, s in enumerate(seqs) if i not in held for g in zip(*(s[j:] for j in range(n)), strict=False)) for n in (1, 2, 3)]
