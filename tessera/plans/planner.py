@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions import text
-from tessera.operators import search as ops
+from tessera.operators import layers, search as ops
 from tessera.sources import model
 
 #: Columns of a result row.
@@ -17,12 +17,17 @@ RESULT = ("id", "type", "strategy", "score", "file_path", "line_start", "line_en
 
 @dataclass
 class Tables:
-    """What is searched: entity tables by name, each with id, file_path, name, line_start, line_end, content (and embedding)."""
+    """What is searched: entity tables by name, each with id, file_path, name, line_start, line_end, content (and embedding).
+
+    imports: file_path, symbol, target_path (and import_type); calls: source,
+    target (ids of functions).  A strategy whose table is missing finds nothing.
+    """
 
     entities: dict[str, DataFrame]
     imports: DataFrame | None = None
     definitions: DataFrame | None = None
     query_vector: Column | None = None
+    calls: DataFrame | None = None
     extra: dict = field(default_factory=dict)
 
     @classmethod
@@ -62,7 +67,15 @@ def _rows(frame: DataFrame, kind: str, strategy: str, score: Column, order: str
     return frame.select(F.col("id").cast("string").alias("id"), F.lit(kind).alias("type"), F.lit(strategy).alias("strategy"), score.alias("score"), "file_path", "line_start", "line_end", "content")
 
 
-def search(tables: Tables, query: str, limit: int = 20, threshold: float = 0.5, wanted: tuple[str, ...] = ("vector", "exact", "fuzzy"), follow: bool = False, reranker=None, legacy_weights: bool = False) -> DataFrame:
+def _imports_of(tables: Tables, matches: DataFrame, limit: int) -> DataFrame:
+    """Files that import what was found, as result rows."""
+    kind = F.col("import_type") if "import_type" in tables.imports.columns else F.lit("named")
+    imports = tables.imports.select(F.col("file_path").alias("importer"), F.col("target_path").alias("imported"), "symbol", kind.alias("import_type"))
+    rows = layers.dependency_results(matches.select("file_path", F.col("name").alias("symbol")), imports, limit)
+    return _rows(rows.withColumns({"line_start": F.lit(0), "line_end": F.lit(0)}), "chunk", "dependency", F.col("score"))
+
+
+def search(tables: Tables, query: str, limit: int = 20, threshold: float = 0.5, wanted: tuple[str, ...] = ("vector", "exact", "fuzzy", "dependency", "graph"), follow: bool = False, reranker=None, legacy_weights: bool = False) -> DataFrame:
     """Results, best first: typos corrected, strategies run over the tables of the kind, fused by place, filtered, freed of near duplicates, reranked.
 
     Every strategy is cut to a top-k before anything is joined, so all steps
@@ -73,15 +86,24 @@ def search(tables: Tables, query: str, limit: int = 20, threshold: float = 0.5,
     names = [n for n in ops.TABLES[kind] if n in tables.entities]
     width = max(limit, 50) if reranker else limit
     found: list[DataFrame] = []
+    if kind in ("url", "constant", "function"):
+        first = lambda name, n: ops.exact(tables.entities[name], "name", searched_name(query, kind)).orderBy("match_rank", "id").limit(n)
     for strategy in strategies(kind, confidence, wanted):
+        if strategy == "dependency" and names and tables.imports is not None:
+            found.append(_imports_of(tables, first(names[0], 5), width))
+            continue
+        if strategy == "graph" and tables.calls is not None and "functions" in tables.entities:
+            functions = tables.entities["functions"]
+            near = layers.graph_results(first("functions", 5).select("id"), tables.calls, width).select("id").distinct()
+            found.append(_rows(functions.join(F.broadcast(near), "id", "left_semi"), "call_graph", strategy, F.lit(0.5)))  # a limit's rows
+            continue
         for name in ["code_chunks"] if strategy == "fuzzy" and "code_chunks" in tables.entities else names:
             rows = tables.entities[name]
             if strategy == "vector" and tables.query_vector is not None and "embedding" in rows.columns:
                 top = ops.vector_top_k(rows, tables.query_vector, width)
                 found.append(_rows(top, name, strategy, ops.row_score(F.col("similarity"), F.lit(None).cast("double"))))
             elif strategy == "exact" and kind in ("url", "constant", "function"):
-                top = ops.exact(rows, "name", searched_name(query, kind)).orderBy("match_rank", "id").limit(width)
-                found.append(_rows(top, name, strategy, F.lit(0.5)))
+                found.append(_rows(first(name, width), name, strategy, F.lit(0.5)))
             elif strategy == "fuzzy" and name == "code_chunks":
                 top = ops.trigram_top_k(rows, "content", query, width, threshold=0.1)
                 found.append(_rows(top, name, strategy, ops.row_score(F.col("similarity"), F.lit(None).cast("double"))))

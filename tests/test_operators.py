@@ -234,3 +234,15 @@ def test_symbols_of_addresses(spark):
 
     frame = spark.createDataFrame([("see https://h.io/a/getOne.json and https://h.io/b/getTwo/ok_it?x=get%5FX plus GETONE myVar AB",)], "q string")
     assert frame.select(questions.symbol_tokens(F.col("q")).alias("s")).first()["s"] == ["ok_it", "getOne", "getTwo", "get_X", "myVar"]
+
+
+def test_planner_runs_all_strategies(spark):
+    schema = "id string, file_path string, name string, line_start int, line_end int, content string"
+    functions = spark.createDataFrame([("1", "a.ts", "load", 1, 5, "function load() { read everything }"), ("2", "b.ts", "other", 1, 9, "something else entirely"), ("3", "c.ts", "third", 2, 3, "a third thing of its own")], schema)
+    imports = spark.createDataFrame([("d.ts", "load", "a.ts", "named"), ("e.ts", "x", "d.ts", "namespace")], "file_path string, symbol string, target_path string, import_type string")
+    calls = spark.createDataFrame([("2", "1"), ("1", "3")], "source string, target string")
+    tables = planner.Tables({"functions": functions, "code_chunks": functions}, imports=imports, calls=calls)
+    got = {r["file_path"]: r for r in planner.search(tables, "function load", threshold=0.2).collect()}
+    assert set(got) == {"a.ts", "b.ts", "c.ts", "d.ts"} and got["d.ts"]["id"] == "dep:d.ts:load"  # e.ts has the text of d.ts
+    assert got["a.ts"]["score"] > got["b.ts"]["score"] > got["d.ts"]["score"]
+    assert got["d.ts"]["score"] == pytest.approx(0.35 * 0.8) and got["b.ts"]["score"] == pytest.approx(0.5 * 1.1)
