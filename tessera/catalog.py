@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from tessera.plans import queries_graph, queries_layers, queries_more, queries_relational, queries_rules, queries_search, queries_text, queries_urls  # noqa: E402, F401
+from tessera.plans import queries_builds, queries_graph, queries_layers, queries_more, queries_relational, queries_rules, queries_search, queries_text, queries_urls  # noqa: E402, F401

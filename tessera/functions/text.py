@@ -147,6 +147,18 @@ def question_kind(query: Column) -> Column:
     return F.when(query.rlike(LISTING[0]) & query.rlike(LISTING[1]), "enumeration").when(query.rlike(URL_QUESTION), "url_lookup").otherwise(out)
 
 
+#: Fixed order: the first matching pattern decides what a question is treated as.
+TASK_TYPES = (("root_cause_analysis", "为什么|原因|bug|问题|错误|异常|失败"), ("impact_analysis", "影响|修改.*会|如果.*改"), ("architecture_analysis", "架构|设计|模式|结构|整体"))
+
+
+def task_type(query: Column) -> Column:
+    """root_cause_analysis, impact_analysis, architecture_analysis or general_query, by the first pattern that fits."""
+    out = F.lit("general_query")
+    for name, pattern in reversed(TASK_TYPES):
+        out = F.when(F.lower(query).rlike(pattern), name).otherwise(out)
+    return out
+
+
 def session_id(value: Column) -> Column:
     """Trimmed, up to 128 signs; null for a blank one."""
     return F.nullif(F.substring(F.trim(value), 1, 128), F.lit(""))

@@ -217,3 +217,96 @@ def import_statistics(imports: DataFrame) -> DataFrame:
 def latest_by_key(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order."""
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def file_graph(files: DataFrame, imports: DataFrame, calls: DataFrame, root: int, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label, path) of the files within depth - 1 imports of a file, and their edges (source, target, type, weight).
+
+    files: id, path; imports: source, target; calls: source, target (files).
+    One edge of weight 1 for each import with a file and each call into another
+    file; ends of edges at the rim are no nodes.
+    """
+    start = files.sparkSession.createDataFrame([(root,)], "node long")
+    inside = start if depth <= 1 else start.union(closure(imports, start, depth - 1).select("node"))
+    inside = inside.join(files.select(F.col("id").alias("node")), "node", "left_semi")
+    nodes = files.join(inside, files["id"] == inside["node"], "left_semi").select("id", F.regexp_extract("path", "([^/]*)$", 1).alias("label"), "path")
+    ends = imports.where("target IS NOT NULL").select("source", "target", F.lit("imports").alias("type"))
+    ends = ends.union(calls.where("target IS NOT NULL AND target <> source").select("source", "target", F.lit("calls")))
+    return nodes, ends.join(inside, ends["source"] == inside["node"], "left_semi").withColumn("weight", F.lit(1))
+
+
+def symbol_tree(definitions: DataFrame, calls: DataFrame, symbol: str, chunk: int | None = None, depth: int | None = 2, direction: str = "both", most: int = 400) -> DataFrame:
+    """direction, depth, key, parent_key, node, symbol, path, call_line, ambiguous, candidates, cyclic: who calls a symbol and what it calls, flattened.
+
+    definitions: id, symbol, path, line_start; calls: source, target, symbol,
+    call_line.  The root is the definition ``chunk`` of the symbol, else the
+    first by place; without a definition there are no rows.  A callee is the
+    only definition of the called name in the caller's file, else the first by
+    place (ambiguous, if there are more); a name without one is a row without
+    node.  Of several callers with one name the smallest id stays.  Nodes that
+    their own path holds are cyclic and end a branch, calls of a definition's
+    own line to itself are left out.  At most ``most`` rows: callers first, by
+    depth and key; each level expands no more, so frontiers are of that size.
+    """
+    from tessera.sources import lineage
+
+    d = definitions.select("id", "symbol", "path", "line_start")
+    place = F.struct("path", "line_start", "id")
+    own = d.where(F.col("symbol") == symbol)
+    root = own.agg(F.min_by(F.struct("id", "symbol", "path"), F.struct(F.col("id") != F.lit(chunk), place) if chunk is not None else place).alias("_r"), F.count(F.lit(1)).alias("candidates")).where("candidates > 0")
+    root = lineage.cut(root.select("_r.id", "_r.symbol", "_r.path", "candidates"))
+    columns = ["direction", "depth", "key", "parent_key", "node", "symbol", "path", "call_line", "ambiguous", "candidates", "cyclic"]
+    none = lambda kind: F.lit(None).cast(kind)
+    tree = root.select(F.lit("root").alias("direction"), F.lit(0).alias("depth"), F.lit("root").alias("key"), none("string").alias("parent_key"), F.col("id").cast("long").alias("node"), "symbol", "path", none("long").alias("call_line"), (F.col("candidates") > 1).alias("ambiguous"), F.col("candidates").cast("long").alias("candidates"), F.lit(False).alias("cyclic"))
+    loop = F.coalesce((F.col("source") == F.col("target")) & (F.col("symbol") == F.col("_own")) & (F.col("call_line") == F.col("line_start")), F.lit(False))
+    edges = calls.join(d.select(F.col("id").alias("source"), F.col("symbol").alias("_own"), F.col("path").alias("_path"), "line_start"), "source")
+    for way in ("callers", "callees") if direction == "both" else (direction,):
+        level = root.select(F.lit(way[:-1]).alias("key"), F.col("id").cast("long").alias("node"), "symbol", "path", F.array(F.col("id").cast("long")).alias("_up"))
+        for n in range(1, clamp_depth(depth, 2, 4) + 1):
+            open_nodes = F.broadcast(level.select(F.col("key").alias("parent_key"), F.col("node").alias("_node"), F.col("symbol").alias("_symbol"), F.col("path").alias("_file"), "_up"))
+            if way == "callers":
+                pairs = edges.join(open_nodes, F.col("symbol") == F.col("_symbol")).groupBy("parent_key", "_up", "source", "_own", "_path").agg(F.min("call_line").alias("call_line"), F.bool_and(loop).alias("_loop")).where("NOT _loop AND _own <> ''")
+                step = pairs.groupBy("parent_key", "_up", F.col("_own").alias("symbol")).agg(F.min_by(F.struct(F.col("source").alias("node"), F.col("_path").alias("path"), "call_line"), "source").alias("_c"))
+                step = step.select("parent_key", "_up", F.col("_c.node").cast("long").alias("node"), "symbol", "_c.path", F.col("_c.call_line").cast("long").alias("call_line"), F.lit(False).alias("ambiguous"), F.lit(1).cast("long").alias("candidates"))
+            else:
+                pairs = edges.join(open_nodes, F.col("source") == F.col("_node")).groupBy("parent_key", "_up", "_file", "symbol").agg(F.min("call_line").alias("call_line"), F.bool_and(loop).alias("_loop")).where("NOT _loop AND symbol IS NOT NULL")
+                named = pairs.select("symbol").distinct()
+                places = d.join(named, "symbol").groupBy("symbol", "path").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_p"))
+                every = places.groupBy("symbol").agg(F.sum("_n").alias("_all"), F.min("_p").alias("_first"))
+                step = pairs.join(every, "symbol", "left").join(places.where("_n = 1").select("symbol", F.col("path").alias("_file"), F.col("_p").alias("_same")), ["symbol", "_file"], "left")
+                pick = F.coalesce("_same", "_first")
+                step = step.select("parent_key", "_up", pick["id"].cast("long").alias("node"), "symbol", pick["path"].alias("path"), F.col("call_line").cast("long").alias("call_line"), (F.col("_same").isNull() & (F.coalesce("_all", F.lit(0)) > 1)).alias("ambiguous"), F.coalesce("_all", F.lit(0)).cast("long").alias("candidates"))
+            step = step.withColumns({"key": F.concat("parent_key", F.lit("."), "symbol"), "cyclic": F.coalesce(F.array_contains("_up", F.col("node")), F.lit(False))})
+            step = lineage.cut(step.orderBy("key", "node").limit(most))
+            tree = tree.union(step.withColumns({"direction": F.lit(way), "depth": F.lit(n)}).select(*columns))
+            level = step.where("node IS NOT NULL AND NOT cyclic").select("key", "node", "symbol", "path", F.concat("_up", F.array("node")).alias("_up"))
+    first = F.when(F.col("direction") == "root", 0).when(F.col("direction") == "callers", 1).otherwise(2)
+    return tree.orderBy(first, "depth", "key").limit(most)
+
+
+def question_tree(definitions: DataFrame, calls: DataFrame, question: str, evidence: tuple[str, ...] = (), depth: int | None = 2, direction: str | None = None) -> tuple[dict, DataFrame | None]:
+    """What a question about calls asks for (direction, tokens, matched_by, root, alternatives), and the tree of its symbol; no tree without one.
+
+    The root is the first definition of the first name of the question that
+    has any, in either case; else of the first symbol of the evidence.
+    """
+    from tessera.functions import questions
+    from tessera.operators import search
+
+    spark = definitions.sparkSession
+    asked = spark.createDataFrame([(question,)], "q string").select(questions.call_direction(F.col("q")).alias("way"), questions.symbol_tokens(F.col("q")).alias("tokens")).first()
+    way, tokens = direction or asked["way"], list(asked["tokens"])
+    names = list(dict.fromkeys([*tokens, *(x.strip() for x in evidence if x.strip())]))
+    found: dict = {}
+    if names:
+        rows = search.named_symbols(definitions, names).withColumn("_k", F.lower("symbol"))
+        firsts = rows.groupBy("_k").agg(F.min(F.struct("symbol", "path", "line_start", "id")).alias("_f"))  # one row a name of the question
+        found = {r["_k"]: r["_f"] for r in firsts.collect()}
+    roots = list(dict.fromkeys(found[t.lower()] for t in tokens if t.lower() in found))
+    matched = "query-token" if roots else "none"
+    if not roots and evidence and evidence[0].strip().lower() in found:
+        roots, matched = [found[evidence[0].strip().lower()]], "evidence-top"
+    about = {"direction": way, "tokens": tokens, "matched_by": matched, "root": roots[0].asDict() if roots else None, "alternatives": [r.asDict() for r in roots[1:]]}
+    if not roots:
+        return about, None
+    return about, symbol_tree(definitions, calls, roots[0]["symbol"], roots[0]["id"], depth, way)

@@ -1,7 +1,9 @@
-"""Incremental re-indexing: change feeds, snapshot differences, propagation."""
+"""Incremental re-indexing: change feeds, snapshot differences, propagation, rebuilds."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -11,9 +13,9 @@ def candidate_paths(changes: DataFrame) -> DataFrame:
 
 
 def change_summary(changes: DataFrame) -> DataFrame:
-    """total and the number of each status."""
+    """total and the number of each status, whether it is a letter or a word."""
     by = {"added": "A", "modified": "M", "deleted": "D", "renamed": "R"}
-    return changes.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("status") == v).alias(k) for k, v in by.items()))
+    return changes.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("status").isin(k, v)).alias(k) for k, v in by.items()))
 
 
 def content_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -62,3 +64,27 @@ def capped(diff: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
 
     rows = diff.withColumn("_rn", F.row_number().over(Window.partitionBy("change").orderBy("path", "symbol"))).where(F.col("_rn") <= most).drop("_rn")
     return rows, diff.groupBy("change").agg(F.count(F.lit(1)).alias("n")).withColumn("truncated", F.col("n") > most)
+
+
+def promoted(unresolved: DataFrame, added: DataFrame) -> DataFrame:
+    """file: importers whose unresolved import (importer, target) may mean a file that was added (path)."""
+    from tessera.operators import relations
+
+    may = unresolved.select("importer", "target").distinct().select("importer", F.explode(relations.import_candidates(F.col("importer"), F.col("target"))).alias("path"))
+    return may.join(added.select("path").distinct(), "path", "left_semi").select(F.col("importer").alias("file")).distinct()
+
+
+def rebuilt(tables: dict[str, DataFrame], files: DataFrame, targets: DataFrame, derive: Callable[[DataFrame], dict[str, DataFrame]], key: str = "file_id") -> dict[str, DataFrame]:
+    """The derived tables with the rows of target files taken out of all of them and then derived anew.
+
+    files: id, …; targets: id.  Targets that are no files any more lose their
+    rows.  Both passes are one plan: nothing derived reads what is taken out.
+    """
+    gone = targets.select(F.col("id").alias(key)).distinct()
+    new = derive(files.join(targets.select("id").distinct(), "id", "left_semi"))
+    return {name: table.join(gone, key, "left_anti").unionByName(new[name]) if name in new else table.join(gone, key, "left_anti") for name, table in tables.items()}
+
+
+def reindexed(files: DataFrame, derive: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """All derived tables from all files, nothing kept."""
+    return derive(files)

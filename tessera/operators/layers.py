@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import text, urls
 from tessera.operators import search, urls as url_ops
+from tessera.operators.evidence import unseen
 from tessera.sources import lineage
 
 
@@ -132,3 +135,68 @@ def usage_chunks(chunks: DataFrame, target: str, limit: int = 10, column: str =
 def vector_layer(constants: DataFrame, query: Column, limit: int = 10) -> DataFrame:
     """The most similar constants, at 0.8 of their similarity."""
     return search.vector_top_k(constants, query, limit).withColumn("score", F.round(F.col("similarity") * 0.8, 6))
+
+
+#: Fixed scores: usages by way of a wrapper that share two parts, template helpers for a templated target, paths with a version in place of a placeholder.
+INDIRECT, HELPER, VERSIONS = 0.35, 0.3, 0.28
+
+
+def related_layer(usages: DataFrame, patterns: DataFrame, target: str, shown: DataFrame, most: int = 30) -> DataFrame:
+    """id, kind, score, file_path, line_start, content: what is near a target but no answer, at places not shown yet.
+
+    usages: file_path, line, code, context, pattern, normalized_pattern;
+    patterns: id, pattern, file_path, line, code; shown: file_path, line_start.
+    """
+    segments = [s for s in target.split("?")[0].split("#")[0].split("/") if s]
+    lits = [s.strip().lower() for s in segments if len(s.strip()) >= 2 and not re.match(r"^(\$\{[^}]+\}|:[a-zA-Z_][a-zA-Z0-9_]*|\{[^}]+\}|<[^>]+>)$", s.strip())]
+    hay = F.lower(F.concat_ws(" ", F.coalesce("pattern", F.lit("")), F.coalesce("normalized_pattern", F.lit(""))))
+    shared = _hits(hay, lits)
+    near = usages.where(F.col("context").isin("indirect_call", "template_helper")).withColumn("_shared", shared)
+    if lits:
+        near = near.where("_shared > 0")
+    templated = re.search(r"[:$]\{?[A-Za-z_][\w$]*", target) is not None
+    score = F.when((F.col("context") == "indirect_call") & (F.col("_shared") >= 2), INDIRECT).when((F.col("context") == "template_helper") & F.lit(templated), HELPER)
+    name = F.concat_ws("-", F.lit("related"), "context", "file_path", F.col("line").cast("string"))
+    out = near.select(name.alias("id"), F.col("context").alias("kind"), score.alias("score"), "file_path", F.col("line").alias("line_start"), F.coalesce("code", "pattern").alias("content"))
+    if any(re.fullmatch(r"v\d+", s.strip().lower()) for s in segments):
+        family = patterns.where(urls.version_family(F.lit(target), F.col("pattern")))
+        out = out.union(family.select(F.concat(F.lit("related-version_family-"), F.col("id").cast("string")), F.lit("version_family"), F.lit(VERSIONS), "file_path", F.col("line"), F.coalesce("code", "pattern")))
+    out = out.where("score IS NOT NULL AND file_path <> '' AND line_start > 0")
+    return unseen(out, shown).select(*out.columns).orderBy(F.desc("score"), "file_path", "line_start").limit(most)
+
+
+def search_url(question: str, constants: DataFrame, patterns: DataFrame, usages: DataFrame, chunks: DataFrame, limit: int = 20, more: DataFrame | None = None, wanted: str | None = None) -> DataFrame:
+    """id, type, score, file_path, line_start, content, usage_chain: places that answer a question for a URL, best first, then what is related to them.
+
+    constants: id, name, value, file_path, line; patterns: id, pattern,
+    normalized_pattern, method, file_path, line, code; usages: id, and the
+    columns of ``related_layer``; chunks: id, file_path, line_start, code_text.
+    ``more`` holds further scored rows (derivations, vector results), taken for
+    general questions only; ``wanted`` is the method asked for.  The best of a
+    place stays; constants get up to five chunks that hold their name.
+    """
+    spark = constants.sparkSession
+    got = spark.createDataFrame([(question,)], "q string").select(text.action(F.col("q")).alias("action"), F.regexp_extract("q", r"(https?://\S+|/[A-Za-z0-9_\-.:{}$/]+)", 1).alias("t")).first()
+    target = got["t"] or question
+    cast = lambda rows, kind, score, line, content: rows.select(F.concat_ws(":", F.lit(kind), F.col("id").cast("string")).alias("id"), F.lit(kind).alias("type"), score.cast("double").alias("score"), "file_path", F.col(line).cast("long").alias("line_start"), F.col(content).alias("content"))
+    scored = constant_layer(constants.select("id", "value"), target).groupBy("id").agg(F.max("score").alias("_s"))
+    found = cast(constants.join(scored, "id"), "constant", F.col("_s"), "line", "value")
+    ranked = url_ops.ranked_candidates(patterns, "pattern", target)
+    ladder = url_ops.method_adjusted(url_ops.ladder_score(F.col("pattern"), F.lit(target)), F.col("method"), wanted)
+    found = found.union(cast(ranked, "pattern", F.round(ladder, 6), "line", "code"))
+    used = usage_layer(usages, target).where("score > 0")
+    found = found.union(cast(used, "usage", F.col("score"), "line", "code"))
+    found = found.union(cast(usage_chunks(chunks, target), "chunk", F.col("score"), "line_start", "code_text"))
+    if more is not None and got["action"] not in ("find_usages", "find_definition"):
+        found = found.union(more.select("id", "type", F.col("score").cast("double"), "file_path", F.col("line_start").cast("long"), "content"))
+    place = found.groupBy("file_path", "line_start").agg(F.min_by(F.struct(*found.columns), F.struct(-F.col("score"), F.col("type"), F.col("id"))).alias("_r")).select("_r.*")
+    top = place.orderBy(F.desc("score"), "file_path", "line_start").limit(limit)
+    names = constants.where("name <> ''").select(F.concat(F.lit("constant:"), F.col("id").cast("string")).alias("id"), F.col("name").alias("_name"))
+    named = top.where("type = 'constant'").join(names, "id").select("id", "_name")  # a limit's rows at most
+    holding = chunks.join(F.broadcast(named), F.contains(F.lower("code_text"), F.lower("_name")))
+    holding = holding.select(named["id"].alias("_id"), F.struct(F.col("file_path").alias("file"), F.col("line_start").cast("long").alias("line"), F.substring("code_text", 1, 200).alias("code")).alias("_u"))
+    chain = holding.withColumn("_rn", F.row_number().over(Window.partitionBy("_id").orderBy("_u"))).where("_rn <= 5").groupBy(F.col("_id").alias("id")).agg(F.array_sort(F.collect_list("_u")).alias("usage_chain"))
+    answers = top.join(chain, "id", "left").withColumn("_last", F.lit(False))
+    near = related_layer(usages, patterns, target, top)
+    near = near.select("id", F.lit("related").alias("type"), "score", "file_path", F.col("line_start").cast("long").alias("line_start"), "content").withColumns({"usage_chain": F.lit(None).cast(chain.schema["usage_chain"].dataType), "_last": F.lit(True)})
+    return answers.select(*near.columns).union(near).orderBy("_last", F.desc("score"), "file_path", "line_start").drop("_last")

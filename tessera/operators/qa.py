@@ -54,6 +54,45 @@ def consistency(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     return got.select("id", verdict.alias("verdict"), F.when(verdict == "unsupported_refs", F.col("unsupported")).otherwise(F.array().cast("array<string>")).alias("unsupported"))
 
 
+def enumeration(question: str, inventory: DataFrame, most: int = 20) -> dict | None:
+    """The inventory's answer to a question that asks for a list of interfaces, None for any other question.
+
+    inventory: method, path, patterns, usages, …  rows holds all rows that fit
+    the method and the path that the question names, evidence the first
+    ``most`` of them, by_method their number for each method.
+    """
+    from tessera.functions import questions
+    from tessera.operators import urls
+
+    spark = inventory.sparkSession
+    q = F.col("q")
+    asked = spark.createDataFrame([(question,)], "q string").select(text.question_kind(q).alias("kind"), questions.asked_method(q).alias("method"), questions.asked_path(q).alias("path")).first()
+    if asked["kind"] != "enumeration":
+        return None
+    rows = urls.inventory_filter(inventory, method=asked["method"], keyword=asked["path"])
+    name = F.concat_ws(" ", F.coalesce("method", F.lit("(undecided)")), "path")
+    evidence = rows.orderBy("path", "method").limit(most).select("path", name.alias("content"), F.lit("url_pattern").alias("symbol_type"), F.lit(1.0).alias("score"))
+    by_method = rows.groupBy(F.coalesce("method", F.lit("(undecided)")).alias("method")).agg(F.count(F.lit(1)).alias("n"))
+    return {"method": asked["method"], "path": asked["path"], "rows": rows, "evidence": evidence, "by_method": by_method}
+
+
+def inventory_markdown(rows: DataFrame) -> DataFrame:
+    """part, place, line: an inventory (method, path, usages) as Markdown: a table for each first path part, largest first, and one of undecided methods last.
+
+    Lines are ordered by part and place within it; no line needs more than its
+    group's number of rows, so the answer is whole whatever its length.
+    """
+    plain = F.coalesce(F.col("path"), F.lit(""))
+    first = F.regexp_extract(plain, "^/([^/]+)", 1)
+    group = F.when(F.col("method").isNull(), "undecided methods").when(F.startswith(plain, F.lit("http")), "external URLs").when(first != "", F.concat(F.lit("/"), first)).otherwise("(not expanded)")
+    listed = rows.select(group.alias("_g"), "method", plain.alias("path"), F.coalesce("usages", F.lit(0)).alias("usages"))
+    sizes = listed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.concat(F.when(F.col("_g") == "undecided methods", "1").otherwise("0"), F.lpad((F.lit(10**12) - F.col("_n")).cast("string"), 13, "0"), "_g")
+    heads = sizes.select(part.alias("part"), F.explode(F.array(F.struct(F.lit("0").alias("place"), F.concat(F.lit("### "), "_g", F.lit(" ("), F.col("_n").cast("string"), F.lit(")")).alias("line")), *(F.struct(F.lit(i).alias("place"), F.lit(x).alias("line")) for i, x in (("1", "| Method | Path | Usages |"), ("2", "| --- | --- | --- |"))))).alias("_h")).select("part", "_h.*")
+    body = listed.join(sizes, "_g").select(part.alias("part"), F.concat_ws("\t", F.lit("3"), "path", "method").alias("place"), F.concat(F.lit("| "), F.coalesce("method", F.lit("(undecided)")), F.lit(" | `"), "path", F.lit("` | "), F.col("usages").cast("string"), F.lit(" |")).alias("line"))
+    return heads.union(body).orderBy("part", "place")
+
+
 #: Fixed plan: rows, threshold and strategies of each retrieval round.
 ROUNDS = ((10, 0.3, ("vector", "exact")), (15, 0.25, ("vector", "dependency")), (20, 0.2, ("vector", "exact", "fuzzy", "graph")))
 

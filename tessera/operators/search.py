@@ -205,3 +205,23 @@ def sufficiency(evidence: DataFrame, by: str) -> DataFrame:
     ranked = evidence.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"))))
     got = ranked.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("file_path").alias("_f"), F.avg(F.when(F.col("_rn") <= 3, text.clamp01(F.col("score")))).alias("_t"))
     return got.select(by, text.round2(0.45 * F.least(F.col("_n") / 3, F.lit(1.0)) + 0.25 * F.least(F.col("_f") / 2, F.lit(1.0)) + 0.3 * F.col("_t")).alias("sufficiency"))
+
+
+def named_symbols(definitions: DataFrame, names: list[str]) -> DataFrame:
+    """Definitions (symbol, path, line_start, …) of the names, as they are or in other case, ordered by symbol and place."""
+    return definitions.where(F.col("symbol").isin(names) | F.lower("symbol").isin([x.lower() for x in names])).orderBy("symbol", "path", "line_start")
+
+
+def symbol_candidates(definitions: DataFrame, name: str) -> DataFrame:
+    """All definitions of exactly this name by place; nothing is picked."""
+    return definitions.where(F.col("symbol") == name).orderBy("path", "line_start")
+
+
+def dictionary(terms: DataFrame, column: str) -> DataFrame:
+    """term: the distinct keywords of three signs or more."""
+    return terms.select(F.explode(text.keywords(F.col(column))).alias("term")).where(F.length("term") >= 3).distinct()
+
+
+def is_templated(value: Column) -> Column:
+    """Whether a text holds a placeholder's sign."""
+    return value.like("%${%") | value.like("%:%") | value.like("%{%")
