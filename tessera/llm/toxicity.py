@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import sampling, shared, tokens
 
-#: Labelled documents to learn from at most, and mined tokens kept at most: these bound what the driver gathers.
-SAMPLE, TOKENS = 30_000, 4096
+#: Labelled documents to learn from at most; this bounds what the driver gathers, mined tokens included.
+SAMPLE = 30_000
 #: Least share of toxic documents among those with a mined token.
 PURITY = 0.6
 #: Copies are found in the sample by so many minima of hashes.
@@ -208,9 +208,10 @@ def fit(documents: DataFrame, labels: DataFrame, of: int = 5, remainder: int = 0
     ratio = 2 * (F.col("t") * F.log(part / share) + F.col("c") * F.log(F.greatest(1 - part, F.lit(1e-9)) / (1 - share)))
     bound = 2 * (math.log(max(2, counted.count())) + math.log(10))
     pure = (F.col("t0") + F.col("t1")) / (F.col("t0") + F.col("t1") + F.col("c0") + F.col("c1")) >= PURITY
-    mined = counted.where((F.col("t") > 0) & (part >= max(PURITY, share)) & pure & (ratio >= bound)).orderBy(ratio.desc(), "token").limit(TOKENS).toArrow()
+    mined = counted.where((F.col("t") > 0) & (part >= max(PURITY, share)) & pure & (ratio >= bound)).toArrow()
     mined = mined.set_column(0, "token", pa.array(mined.column("token").to_numpy().view(np.uint64))).sort_by("token")
     keys, kind = mined.column("token").to_numpy(), mined.column("kind").to_numpy()
+    size = max(1, len(keys))
     lexicons = {}
     for h in (0, 1):
         t, c = (mined.column(f"{x}{h}").to_numpy() for x in "tc")
@@ -223,14 +224,14 @@ def fit(documents: DataFrame, labels: DataFrame, of: int = 5, remainder: int = 0
             all_keys, all_rows, _ = token_keys(*tokens.buffers(batch.column("text")))
             n = batch.num_rows
             place = find(keys, all_keys)
-            code = np.unique(all_rows[place >= 0] * TOKENS + place[place >= 0])
-            cut = np.searchsorted(code, np.arange(n + 1) * TOKENS).astype(np.int32)
+            code = np.unique(all_rows[place >= 0] * size + place[place >= 0])
+            cut = np.searchsorted(code, np.arange(n + 1) * size).astype(np.int32)
             flags = np.zeros((n, 4), bool)
             for j, words in enumerate((nouns, adjectives)):
                 flags[all_rows[find(words, all_keys) >= 0], j] = True
             for i, text in enumerate(batch.column("text").to_pylist()):
                 flags[i, 2:] = flags[i, :2].any() and _ADDRESS.search(text) is not None, flags[i, :2].any() and _SHOUT.search(text) is not None
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array((code % TOKENS).astype(np.int32))), pa.FixedSizeListArray.from_arrays(pa.array(flags.astype(np.int32).ravel()), 4).cast(pa.list_(pa.int32()))]
+            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array((code % size).astype(np.int32))), pa.FixedSizeListArray.from_arrays(pa.array(flags.astype(np.int32).ravel()), 4).cast(pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], names=["doc_id", "label", "found", "flags"])
 
     got = rows.mapInArrow(features, "doc_id long, label int, found array<int>, flags array<int>").toArrow().sort_by("doc_id")
@@ -247,9 +248,9 @@ def scores(model: dict, batch: pa.RecordBatch) -> np.ndarray:
         return np.full(batch.num_rows, model["constant"])
     keys, rows, _ = token_keys(*tokens.buffers(batch.column("text")))
     place = find(model["keys"], keys)
-    hit = place >= 0
-    code = np.unique(rows[hit] * np.int64(TOKENS) + place[hit])
-    z = np.bincount(code // TOKENS, weights=model["weights"][code % TOKENS], minlength=batch.num_rows) + model["bias"]
+    hit, size = place >= 0, max(1, len(model["keys"]))
+    code = np.unique(rows[hit] * np.int64(size) + place[hit])
+    z = np.bincount(code // size, weights=model["weights"][code % size], minlength=batch.num_rows) + model["bias"]
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 

@@ -527,6 +527,24 @@ def test_toxicity(spark):
     assert toxicity.classify(d.limit(0), labels_of(spark, [])).count() == 0
 
 
+def test_long_and_repeated_texts(spark):
+    """What stands at the very end of a long text counts; repeated rows are scored alike, each on its own."""
+    rng = random.Random(12)
+    bad = [i % 3 == 0 for i in range(300)]
+    texts = [sentence(rng, 30) + " grimblo grimblo" * b for i, b in enumerate(bad)]
+    far = sentence(rng, 200_000)
+    d = table(spark, [*texts, far, far + " grimblo"])
+    got = toxicity.classify(d.union(d.where("doc_id >= 299")), labels_of(spark, [(i, 1, int(b)) for i, b in enumerate(bad)])).where("doc_id >= 299").collect()
+    scores = collections.defaultdict(set)
+    for r in got:
+        scores[r["doc_id"]].add((r["score"], r["predicted"]))
+    assert len(got) == 6 and all(len(x) == 1 for x in scores.values()) and {k: p for k, x in scores.items() for _, p in x} == {299: 0, 300: 0, 301: 1}
+    names = ["xx" if i % 2 else "yy" for i in range(300)]
+    d = table(spark, [*(sentence(rng, 30, LANGUAGES[n]) for n in names), sentence(rng, 100_000, LANGUAGES["yy"])], [*names, None])
+    got = [tuple(r) for r in language.identify(d.union(d.where("doc_id = 300"))).select("lang_pred", "score").where("doc_id = 300").collect()]
+    assert len(got) == 2 and got[0] == got[1] and got[0][0] == "yy"
+
+
 def test_label_model_joins_correlated_voters():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
