@@ -8,7 +8,7 @@ Defined cases: rows with a null or empty text stay up to the last stage, where
 each is a piece that holds the end id; so do texts of which a stage leaves no
 word.  Rows with a null id are judged by their text alone: they link with
 nothing, lose no passage and can be toxic or hold a test item.  Of rows with
-the same id and text one stays.  Very long texts are read whole, other columns
+one id the Jaccard stage keeps one.  Very long texts are read whole, other columns
 are kept whatever their names, and an empty table gives an empty result.
 """
 
