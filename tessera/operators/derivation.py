@@ -13,8 +13,9 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from tessera.functions import urls
 from tessera.operators import extract
 
 #: Fixed limits: nesting, steps of one evaluation, ways that are followed.
@@ -195,3 +196,17 @@ def derived_urls(files: DataFrame) -> DataFrame:
 
     found = files.select("repo_id", "path", "content").mapInPandas(scan, "repo_id long, path string, name string, params string, expression string, line int")
     return found.groupBy("repo_id").applyInPandas(evaluate, "repo_id long, path string, line int, name string, url string").distinct()
+
+
+def entry_points(values: DataFrame, target: str) -> DataFrame:
+    """Symbols (id, kind, value: what it evaluates to) that hold parts of a target, with score: the share of its parts, a tenth more for functions; best first, of equal ones the smaller id.
+
+    A target without parts has no entry points.
+    """
+    parts = [x.lower() for x in values.sparkSession.createDataFrame([(target,)], "u string").select(urls.path_segments(F.col("u"))).first()[0] or []]
+    if not parts:
+        return values.withColumn("score", F.lit(0.0)).limit(0)
+    value = F.lower(F.coalesce("value", F.lit("")))
+    hits = sum((F.contains(value, F.lit(x)).cast("int") for x in parts), F.lit(0))
+    score = hits / len(parts) * F.when(F.col("kind") == "function", 1.1).otherwise(1.0)
+    return values.withColumn("score", F.round(score, 6)).where("score > 0").orderBy(F.desc("score"), "id")

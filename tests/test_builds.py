@@ -4,7 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from tessera.operators import evidence, graph, incremental, layers, qa, relations, search, urls as url_ops
+from tessera.operators import derivation, evidence, graph, incremental, layers, qa, relations, search, urls as url_ops
 from tessera.sources import feeds
 
 
@@ -134,3 +134,9 @@ def test_symbols_and_evidence(spark):
     assert [r["line_start"] for r in search.symbol_candidates(d, "foo").collect()] == [2]
     row = evidence.evidence(spark.createDataFrame([(1, None)], "id int, similarity double")).first()
     assert (row["file_path"], row["line_start"], row["symbol_type"], row["score"]) == ("", 0, "unknown", 0.0)
+
+
+def test_entry_points(spark):
+    values = spark.createDataFrame([(1, "const", "/api/users"), (2, "function", "/api/:id"), (3, "const", "/x"), (4, "function", "/API/users/list"), (5, "const", None)], "id int, kind string, value string")
+    assert [(r["id"], r["score"]) for r in derivation.entry_points(values, "/api/users").collect()] == [(4, 1.1), (1, 1.0), (2, 0.55)]
+    assert derivation.entry_points(values, "").count() == 0
