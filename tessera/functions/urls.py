@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: Fixed patterns: identifiers in paths.
@@ -92,6 +94,11 @@ def is_placeholder(segment: Column) -> Column:
     return segment.rlike(r"^(\$\{[^}]+\}|:[a-zA-Z_][a-zA-Z0-9_]*|\{[^}]+\}|<[^>]+>)$")
 
 
+def is_wild(segment: Column) -> Column:
+    """A part with anything after a leading colon stands for any value: :id, and :id.html of a normalised /7.html."""
+    return segment.rlike(r"^:[^\n]+\z")
+
+
 def matched_parts(url: Column) -> Column:
     """Non-empty parts after an http origin; a query stays with its part."""
     return F.filter(F.split(F.regexp_replace(url, "^https?://[^/]+", ""), "/"), lambda s: s != "")
@@ -126,13 +133,16 @@ def segment_score(base: float, query: Column, matched: Column, candidate: Column
     return F.when(n == 0, 0.0).otherwise(F.lit(base) * (matched / n) * (n / F.greatest(n, m)))
 
 
-def suffix_match_score(url: Column, pattern: Column) -> Column:
-    """A pattern's parts against the last parts of a URL: 2 for each literal, 1 more if all are literal and the lengths agree; null if one differs."""
+def suffix_match_score(url: Column, pattern: Column, wild: Callable[[Column], Column] = lambda s: is_placeholder(s) | is_wild(s)) -> Column:
+    """A pattern's parts against the last parts of a URL: 2 for each literal, 1 more if all are literal and the lengths agree; null if one differs.
+
+    wild tells the parts that are no literals.
+    """
     u, p = segments(url), segments(pattern)
     tail = F.slice(u, F.greatest(F.size(u) - F.size(p) + 1, F.lit(1)), F.greatest(F.size(p), F.lit(1)))
     pairs = F.zip_with(tail, p, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    fits = (F.size(p) > 0) & (F.size(u) >= F.size(p)) & F.forall(pairs, lambda x: is_placeholder(x["b"]) | (x["a"] == x["b"]))
-    literal = F.size(F.filter(p, lambda x: ~is_placeholder(x)))
+    fits = (F.size(p) > 0) & (F.size(u) >= F.size(p)) & F.forall(pairs, lambda x: wild(x["b"]) | (x["a"] == x["b"]))
+    literal = F.size(F.filter(p, lambda x: ~wild(x)))
     return F.when(fits, literal * 2 + ((literal == F.size(p)) & (F.size(u) == F.size(p))).cast("int"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import urls
@@ -68,21 +70,25 @@ def method_adjusted(score: Column, method: Column, wanted: str | None) -> Column
     return F.when(method.isNull(), score).when(F.upper(method) == wanted.upper(), F.least(score * 1.2, F.lit(1.0))).otherwise(score * 0.5)
 
 
-def matched_patterns(calls: DataFrame, patterns: DataFrame) -> DataFrame:
+def matched_patterns(calls: DataFrame, patterns: DataFrame, wild: Callable[[Column], Column] = lambda s: urls.is_placeholder(s) | urls.is_wild(s)) -> DataFrame:
     """Each URL with the pattern that fits the end of its path best (most literals; of equal ones the smallest id).
 
-    calls: url; patterns: id, pattern.  The last literal part of a pattern must
-    stand at a fixed distance from the URL's end, so pairs come from an equi-join
-    on (part, distance); patterns of placeholders alone join by length.
+    calls: url; patterns: id, pattern; wild tells the parts that stand for any
+    value.  Patterns that differ in such parts alone fit the same URLs equally
+    well, so the one of the smallest id is kept.  The last literal part of a
+    pattern must stand at a fixed distance from the URL's end, so pairs come from
+    an equi-join on (part, distance); patterns of placeholders alone join by length.
     """
     p = patterns.select("id", "pattern", urls.segments(F.col("pattern")).alias("_p"))
+    shape = F.transform("_p", lambda s: F.when(~wild(s), s))
+    p = p.groupBy(shape.alias("_f")).agg(F.min(F.struct("id", "pattern", "_p")).alias("_b")).select("_b.*")
     n = F.size("_p")
-    distance = F.coalesce(F.array_max(F.transform("_p", lambda s, i: F.when(~urls.is_placeholder(s), i))), F.lit(-1))
+    distance = F.coalesce(F.array_max(F.transform("_p", lambda s, i: F.when(~wild(s), i))), F.lit(-1))
     p = p.where(n > 0).withColumn("_i", distance).select("id", "pattern", (n - F.col("_i")).alias("_d"), F.when(F.col("_i") >= 0, F.get("_p", F.col("_i"))).otherwise("").alias("_s"))
     u = calls.select("url").distinct().withColumn("_u", urls.segments(F.col("url")))
     u = u.select("url", F.explode(F.concat(F.transform("_u", lambda s, i: F.struct(s.alias("_s"), (F.size("_u") - i).alias("_d"))), F.transform(F.sequence(F.lit(2), F.size("_u") + 1), lambda d: F.struct(F.lit("").alias("_s"), d.alias("_d"))))).alias("_k"))
     pairs = u.select("url", "_k.*").join(p, ["_s", "_d"])
-    pairs = pairs.withColumn("score", urls.suffix_match_score(F.col("url"), F.col("pattern"))).where("score IS NOT NULL")
+    pairs = pairs.withColumn("score", urls.suffix_match_score(F.col("url"), F.col("pattern"), wild)).where("score IS NOT NULL")
     best = pairs.groupBy("url").agg(F.max(F.struct(F.col("score"), -F.col("id"), F.col("pattern"))).alias("_b"))
     return best.select("url", F.col("_b.score").alias("score"), F.col("_b.pattern").alias("pattern"))
 

@@ -28,6 +28,15 @@ def test_template_and_suffix_match(spark):
     assert one(spark, score, x=1) == pytest.approx(0.7 * 0.5 * 2 / 3)
 
 
+def test_matched_patterns(spark):
+    patterns = spark.createDataFrame([(1, "/en/:id.html"), (2, "/en/:id"), (3, "/:id-b"), (4, "/en/{x}/:id"), (5, "/en/list"), (6, "/:"), (7, "/:a/:b")], "id int, pattern string")
+    calls = spark.createDataFrame([("http://h/en/7",), ("http://h/en/7.html",), ("/x",), ("/en/list",), ("/en/{x}/8",), ("/en/9/8",), ("/:",), ("/",), (None,)], "url string")
+    both = {"http://h/en/7": (2, "/en/:id.html"), "http://h/en/7.html": (2, "/en/:id.html"), "/x": (0, "/:id-b"), "/en/list": (5, "/en/list"), "/:": (3, "/:")}
+    got = lambda *wild: {r["url"]: (r["score"], r["pattern"]) for r in url_ops.matched_patterns(calls, patterns, *wild).collect()}
+    assert got() == both | {"/en/{x}/8": (2, "/en/{x}/:id"), "/en/9/8": (2, "/en/{x}/:id")}
+    assert got(urls.is_wild) == both | {"/en/{x}/8": (4, "/en/{x}/:id"), "/en/9/8": (0, "/:id-b")}
+
+
 def test_components_and_params(spark):
     got = one(spark, urls.template_components(F.col("t")), t="/a/${b}/c${d}")
     assert [(x["type"], x["value"]) for x in got] == [("literal", "/a/"), ("variable", "b"), ("literal", "/c"), ("variable", "d")]
