@@ -76,6 +76,19 @@ def test_constant_references(spark):
     assert got == {(2, 1, 10, 2, "use(local)", "local_reference"), (1, 2, 20, 6, "get(BASE)", "direct_reference"), (1, 3, 30, 1, "consts.API_BASE", "namespace_access")}
 
 
+def test_constant_references_once(spark, monkeypatch):
+    monkeypatch.setattr(relations, "LIST", 2, raising=False)
+    constants = spark.createDataFrame([(k, 1, "A", True) for k in range(5)] + [(9, 2, "loc", False), (8, 2, "own", None)], "id int, file_id int, symbol string, exported boolean")
+    imports = spark.createDataFrame([(2, 1, "A", None, "named"), (2, 1, "A", "B", "named"), (2, 1, None, "A", "namespace"), (2, 1, "A", "", "named")], "importer int, imported int, symbol string, alias string, import_type string")
+    chunks = spark.createDataFrame([(10, 2, 1, "A B A\nconst locals; const own = loc + A1"), (10, 2, 1, "B\nown"), (11, 3, 1, "A loc")], "id int, file_id int, line_start int, code_text string")
+    frame = relations.constant_references(constants, imports, chunks).drop("context")
+    bare = relations.constant_references(constants, imports, chunks, context=False)
+    expected = sorted([(k, 2, 10, 1, kind) for k in range(5) for kind in ("direct_reference", "namespace_access")] + [(8, 2, 10, 2, "local_reference")])
+    assert sorted(map(tuple, bare.collect())) == expected and sorted(map(tuple, frame.distinct().collect())) == expected
+    top = frame._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in top  # rows of the result are not compared with each other
+
+
 def test_url_usages(spark):
     patterns = spark.createDataFrame([(1, 7, 1, 3, "GET", "/a", "a", "axios.get('/a')"), (1, 8, 2, 4, "GET", "/a", "a", "axios.get('/a')"), (1, 9, 2, 4, None, "/a", "a", "x")], "repo_id int, id int, file_id int, line int, method string, pattern string, normalized_pattern string, code string")
     spans = spark.createDataFrame([(1, "f", 1, 10), (1, "g", 3, 4)], "file_id int, name string, line_start int, line_end int")
