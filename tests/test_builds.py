@@ -89,6 +89,34 @@ def test_constant_references_once(spark, monkeypatch):
     assert "Aggregate" not in top  # rows of the result are not compared with each other
 
 
+def test_constant_references_by_kind(spark):
+    constants = spark.range(1000).selectExpr("id", "1L AS file_id", "'A' AS symbol", "true AS exported")
+    imports = spark.range(2, 62).selectExpr("id AS importer", "1L AS imported", "'A' AS symbol", "CASE WHEN id % 2 = 0 THEN 'B' END AS alias", "'named' AS import_type")
+    chunks = spark.createDataFrame([(10, 2, 1, "B\nA"), (11, 3, 1, "x A"), (12, 2, 7, "B")], "id int, file_id long, line_start int, code_text string")
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def stages():
+        bus.waitUntilEmpty()
+        rows = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {rows.apply(k).stageId(): rows.apply(k).shuffleWriteRecords() for k in range(rows.size())}
+
+    before = stages()
+    got = [tuple(r) for r in relations.constant_references(constants, imports, chunks, context=False).collect()]
+    after = stages()
+    dealt = sum(n for k, n in after.items() if k not in before)
+    assert sorted(got) == sorted((k, *at, "direct_reference") for k in range(1000) for at in ((2, 10, 1), (2, 12, 7), (3, 11, 1)))
+    assert 0 < dealt < 1000 * 60  # constants are not dealt out once for each file that imports them
+
+
+def test_constant_references_of_ids_with_two_declarations(spark):
+    constants = spark.createDataFrame([(1, 1, "A", True), (1, 1, "A", True), (1, 2, "A", True), (1, 3, "A", None), (2, 1, "A", True), (None, 1, "A", True), (3, None, "A", True)], "id int, file_id int, symbol string, exported boolean")
+    imports = spark.createDataFrame([(3, 1, "A", None, "named"), (3, 2, "A", "B", None), (3, None, "A", None, "named")], "importer int, imported int, symbol string, alias string, import_type string")
+    chunks = spark.createDataFrame([(10, 3, 1, "A B\nlet A\nB")], "id int, file_id int, line_start int, code_text string")
+    got = [tuple(r) for r in relations.constant_references(constants, imports, chunks, context=False).collect()]
+    direct = [(k, 3, 10, line, "direct_reference") for k, line in ((1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (None, 1), (None, 2))]
+    assert sorted(got, key=repr) == sorted([*direct, (1, 3, 10, 1, "local_reference")], key=repr)
+
+
 def test_url_usages(spark):
     patterns = spark.createDataFrame([(1, 7, 1, 3, "GET", "/a", "a", "axios.get('/a')"), (1, 8, 2, 4, "GET", "/a", "a", "axios.get('/a')"), (1, 9, 2, 4, None, "/a", "a", "x")], "repo_id int, id int, file_id int, line int, method string, pattern string, normalized_pattern string, code string")
     spans = spark.createDataFrame([(1, "f", 1, 10), (1, "g", 3, 4)], "file_id int, name string, line_start int, line_end int")
